@@ -73,6 +73,12 @@ def _merges_fn(alpha: float, linkage: str, vec: str):
     return fn
 
 
+def largest_input(pages: DataFrame) -> int:
+    """Page count of the largest input (one small aggregate; only ``input_id`` is read)."""
+    row = pages.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0]) if row and row[0] is not None else 0
+
+
 def split_by_size(pages: DataFrame, max_pages: int) -> tuple[DataFrame, DataFrame]:
     """(pages of inputs with <= max_pages pages, pages of the larger inputs)."""
     sizes = pages.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -116,10 +122,11 @@ def cluster_pages(
     from .rounds import cluster_rounds
 
     _check_linkage(linkage)
+    if largest_input(pages) <= max_grouped_pages:
+        return cluster_grouped(pages, alpha, [threshold], linkage, vec).drop("threshold")
     small, large = split_by_size(pages, max_grouped_pages)
     grouped = cluster_grouped(small, alpha, [threshold], linkage, vec).drop("threshold")
-    rounds = cluster_rounds(large, alpha, threshold, linkage, vec, lazy_empty=True)
-    return grouped.unionByName(rounds)
+    return grouped.unionByName(cluster_rounds(large, alpha, threshold, linkage, vec))
 
 
 def threshold_sweep(
@@ -129,5 +136,14 @@ def threshold_sweep(
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
 ) -> DataFrame:
-    """A4: labels of every input at many thresholds from one merge sequence per input."""
-    return cluster_grouped(pages, alpha, thresholds, linkage, vec)
+    """A4: labels of every input at many thresholds from one merge sequence per input.
+    Inputs above the grouped bound are cut by the rounds path once per threshold."""
+    if largest_input(pages) <= MAX_GROUPED_PAGES:
+        return cluster_grouped(pages, alpha, thresholds, linkage, vec)
+    from .rounds import cluster_rounds
+
+    small, large = split_by_size(pages, MAX_GROUPED_PAGES)
+    out = cluster_grouped(small, alpha, thresholds, linkage, vec)
+    for t in thresholds:
+        out = out.unionByName(cluster_rounds(large, alpha, t, linkage, vec).withColumn("threshold", F.lit(float(t))))
+    return out

@@ -1,9 +1,13 @@
 """P1 page numbering: dense 0-based position of each row inside its input.
 
 Equivalent to ``row_number() OVER (PARTITION BY key ORDER BY order) - 1`` but does not send a
-whole input to one task: rows are range-partitioned on (key, order...), numbered locally, and
-each partition's offset inside its input comes from a small table of per-partition counts.
-A hot input that spans many partitions is therefore numbered by many tasks in parallel.
+whole input to one task: the (key, order) columns alone are range-partitioned, numbered
+locally, and each partition's offset inside its input comes from a small table of
+per-partition counts. A hot input that spans many partitions is numbered by many tasks.
+
+The numbered key table is written once (reliable checkpoint) before the offsets are joined
+back: partition ids come from a shuffle, and two evaluations of a shuffle (e.g. after AQE
+coalesces partitions differently, or a lost executor) need not give the same ids.
 """
 
 from __future__ import annotations
@@ -11,31 +15,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition index << 33) + row in partition
 
 
 def number_rows(df: DataFrame, key: str, order: list[str], out: str = "page_no") -> DataFrame:
     """Add ``out`` (INT, 0-based) = rank of the row in ``order`` within ``key``.
 
-    ``key`` + ``order`` must be a total order (unique), so a recomputed partition numbers the
-    same rows the same way.
+    ``key`` + ``order`` must be unique (a total order), so ranks are well defined.
     """
     cols = [key, *order]
     tagged = (
-        df.repartitionByRange(*cols)
+        df.select(*cols)
+        .repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
-        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+        .select(*cols, F.shiftright("_mid", _LOCAL_BITS).alias("_part"), F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
     )
+    tagged = cut_lineage(tagged)
     spans = tagged.groupBy("_part", key).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (
-        tagged.join(spans, ["_part", key])
-        .withColumn(out, (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int"))
-        .drop("_mid", "_part", "_local", "_first", "_n", "_offset")
+    ranks = tagged.join(spans, ["_part", key]).select(
+        *[F.col(c).alias(f"_r_{c}") for c in cols], (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int").alias(out)
     )
+    cond = None
+    for c in cols:  # null-safe, so a null order value keeps its row
+        e = df[c].eqNullSafe(ranks[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return df.join(ranks, cond).drop(*[f"_r_{c}" for c in cols])
 
 
 def number_rows_window(df: DataFrame, key: str, order: list[str], out: str = "page_no") -> DataFrame:
@@ -45,7 +54,8 @@ def number_rows_window(df: DataFrame, key: str, order: list[str], out: str = "pa
 
 
 def dense_rank_within(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
-    """Dense 0-based rank of ``col`` within ``key``, ranked over the distinct (key, col) pairs only."""
+    """Dense 0-based rank of ``col`` within ``key``, ranked over the distinct (key, col) pairs
+    only (for low-cardinality ``col`` such as a language)."""
     distinct = df.select(key, col).distinct()
     ranked = distinct.withColumn(out, (F.dense_rank().over(Window.partitionBy(key).orderBy(col)) - 1).cast("int"))
     return df.join(ranked, [key, col])

@@ -10,9 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_ALPHA, DEFAULT_THRESHOLD
+from ..constants import DEFAULT_ALPHA, DEFAULT_BOUNDARY_THRESHOLD, DEFAULT_THRESHOLD
+from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster, pairs
+from ..operators import documents as D
+from ..operators import evaluate as E
+from ..operators import segment as S
+from ..operators import topics as TP
+from ..operators.numbering import number_rows
+from ..operators.vectorize import embed_missing, sparse_vectors, text_vectors
+from ..sinks import outputs as O
+from ..sources import pages as SP
 from ..sources import tables
 
 OUT = 6  # decimals of float outputs
@@ -115,6 +124,236 @@ def q_threshold_sweep(spark, sf):
     return s.groupBy("input_id", "threshold").agg(F.countDistinct("label").cast("int").alias("clusters"))
 
 
+# ---------------------------------------------------------------- text pages (F2): P3-P5, S4
+def _f2_vectors(spark, sf):
+    """F2 pages with their hashed-term vectors (computed once per page)."""
+    return text_vectors(tables.text_pages(spark, sf))
+
+
+def q_text_vectors(spark, sf):
+    sv = sparse_vectors(tables.text_pages(spark, sf), ["input_id", "page_no"])
+    return sv.select("input_id", "page_no", "cell", _r("value", "value"))
+
+
+def q_embed_missing(spark, sf):
+    """Vectors computed once per distinct text (hash-keyed store), reused for copies."""
+    vecs, _ = embed_missing(tables.text_pages(spark, sf), None)
+    cells = vecs.select("input_id", "page_no", "text_hash", F.posexplode("embedding").alias("cell", "value"))
+    return cells.where(F.col("value") != 0).select("input_id", "page_no", "text_hash", F.col("cell").cast("int").alias("cell"), _r("value", "value"))
+
+
+def q_short_segments(spark, sf):
+    p = tables.text_pages(spark, sf)
+    return p.select(
+        "input_id", "page_no",
+        F.size(F.split("text", "\n")).cast("int").alias("segments"),
+        F.size(T.long_segments("text")).cast("int").alias("kept"),
+    )
+
+
+def q_page_text(spark, sf):
+    p = tables.raw_pages(spark, sf)
+    return p.select("input_id", "page_no", "page_id", T.html_to_text("html").alias("text"))
+
+
+def q_file_scan(spark, sf):
+    """S2's suffix predicate over page URLs (path part, case-sensitive)."""
+    p = tables.table(spark, sf, "pages").select("page_id", "url")
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return p.where(T.has_page_suffix(path)).select("page_id", path.alias("path"))
+
+
+# ---------------------------------------------------------------- S1, P2, J6, S9
+def _f3_pages(spark, sf):
+    return SP.explode_pages(tables.long_texts(spark, sf), tables.LINES_PER_PAGE)
+
+
+def q_page_explode(spark, sf):
+    return _f3_pages(spark, sf).select("input_id", "page_no", "page_name", "n_lines", F.md5("text").alias("text_md5"))
+
+
+def q_name_parts(spark, sf):
+    p = _f3_pages(spark, sf)
+    return p.select(
+        "input_id", "page_no", "page_name",
+        T.file_stem("page_name").alias("stem"),
+        T.text_file_name("page_name").alias("text_name"),
+        T.vectors_file_name(F.concat(F.lit("doc_"), F.col("input_id"), F.lit(".pdf"))).alias("vectors_name"),
+    )
+
+
+def q_missing_pages(spark, sf):
+    """Each input requests as many pages as its length suggests (one per 1,000 characters)."""
+    d = tables.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("input_id"), "n_chars")
+    req = d.select("input_id", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_chars") / 1000.0), F.lit(1)) - 1).cast("int"))).alias("page_no"))
+    return D.missing_pages(req, _f3_pages(spark, sf))
+
+
+def q_missing_inputs(spark, sf):
+    """Labelled documents that are not in the document table."""
+    req = tables.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("input_id"))
+    have = tables.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("input_id"))
+    return SP.missing_inputs(req, have)
+
+
+# ---------------------------------------------------------------- W1, W2
+def q_boundary_detection(spark, sf):
+    return S.boundary_detection(_f2_vectors(spark, sf), DEFAULT_BOUNDARY_THRESHOLD)
+
+
+def q_boundary_chunked(spark, sf):
+    """W1 through the chunked path large inputs take (chunks of 16 pages here)."""
+    return S.boundary_chunked(_f2_vectors(spark, sf), DEFAULT_BOUNDARY_THRESHOLD, chunk=16)
+
+
+def _scattered_labels(spark, sf):
+    """F1 pages in vec_id order, labelled by gold: gold labels scattered with page gaps."""
+    e = tables.table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / tables.VECTORS_PER_INPUT).cast("string").alias("input_id"), "vec_id", F.col("label").cast("int").alias("label")
+    )
+    return number_rows(e, "input_id", ["vec_id"]).select("input_id", "page_no", "label")
+
+
+def q_gap_split(spark, sf):
+    return S.gap_split(_scattered_labels(spark, sf), 2)
+
+
+# ---------------------------------------------------------------- documents (F2 clustered)
+def _f2_labels(spark, sf):
+    return cluster.cluster_pages(_f2_vectors(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "average")
+
+
+def _f2_docs(spark, sf):
+    labels = _f2_labels(spark, sf)
+    docs = D.documents_from_labels(labels)
+    doc_text = D.page_texts(D.document_pages(labels, docs), tables.text_pages(spark, sf))
+    return labels, docs, doc_text
+
+
+def q_documents_from_labels(spark, sf):
+    _, docs, _ = _f2_docs(spark, sf)
+    return docs.select("input_id", "document_no", "document_id", "topic_name", "page_start", "page_end", "n_pages")
+
+
+def q_renumber_documents(spark, sf):
+    labels = cluster.cluster_pages(tables.vector_pages(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete")
+    return D.documents_from_labels(labels).select("input_id", "document_no", "page_start")
+
+
+def q_label_pages(spark, sf):
+    p = tables.vector_pages(spark, sf)
+    labels = cluster.cluster_pages(p, DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete")
+    return labels.join(p.select("input_id", "page_no", "gold"), ["input_id", "page_no"])
+
+
+def q_document_text(spark, sf):
+    _, _, doc_text = _f2_docs(spark, sf)
+    return doc_text.select("input_id", "document_no", "page_no", F.length("text").cast("int").alias("n_chars"))
+
+
+def q_first_page_text(spark, sf):
+    _, _, doc_text = _f2_docs(spark, sf)
+    return D.first_page_text(doc_text).select("input_id", "document_no", F.md5("text").alias("text_md5"))
+
+
+def q_sample_pages(spark, sf):
+    _, _, doc_text = _f2_docs(spark, sf)
+    return D.sample_pages(doc_text).select("input_id", "document_no", "n_sampled", F.md5("text").alias("text_md5"))
+
+
+def q_concat_pages(spark, sf):
+    c = D.concat_in_order(tables.text_pages(spark, sf), ["input_id", "gold"], " ")
+    return c.select("input_id", "gold", F.length("text").cast("int").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_reassemble_documents(spark, sf):
+    _, _, doc_text = _f2_docs(spark, sf)
+    return D.reassemble(doc_text).select("input_id", "document_no", F.length("text").cast("int").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_document_topics(spark, sf):
+    _, _, doc_text = _f2_docs(spark, sf)
+    return TP.tfidf_topics(D.first_page_text(doc_text))
+
+
+def _named_docs(spark, sf, strategy="first_page"):
+    _, docs, doc_text = _f2_docs(spark, sf)
+    return TP.assign_topics(docs, doc_text, strategy)
+
+
+def q_assign_topics(spark, sf):
+    return _named_docs(spark, sf).select("input_id", "document_no", "topic_name")
+
+
+def q_output_manifest(spark, sf):
+    return O.output_names(_named_docs(spark, sf)).select("input_id", "name", "position")
+
+
+def q_split_summary(spark, sf):
+    return D.split_summary(_named_docs(spark, sf))
+
+
+def q_split_levels(spark, sf):
+    """Documents per input at every split level 0.1..5.0 (average linkage, text vectors)."""
+    levels = [round(x / 10.0, 1) for x in range(1, 51)]
+    s = cluster.threshold_sweep(_f2_vectors(spark, sf), DEFAULT_ALPHA, levels, "average")
+    return s.groupBy("input_id", "threshold").agg(F.countDistinct("label").cast("int").alias("documents"))
+
+
+# ---------------------------------------------------------------- evaluation
+def q_gold_labels(spark, sf):
+    p = tables.vector_pages(spark, sf)
+    return E.gold_from_ranges(p, E.runs_as_ranges(p))
+
+
+def _f2_gold(spark, sf):
+    return tables.text_pages(spark, sf).select("input_id", "page_no", "gold")
+
+
+def q_contingency(spark, sf):
+    return E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
+
+
+def q_adjusted_rand(spark, sf):
+    cont = E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
+    return E.adjusted_rand(cont, ["input_id"]).select("input_id", _r("ari", "ari"))
+
+
+def q_nmi(spark, sf):
+    cont = E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
+    return E.nmi(cont, ["input_id"]).select("input_id", _r("nmi", "nmi"))
+
+
+def q_param_grid(spark, sf):
+    """The grid for every F2 input with the page band each setting allows (None = all pairs).
+    The 396 grid points are a literal array exploded per input (a generator, no join)."""
+    from ..constants import ALPHA_GRID, LINKAGE_GRID, THRESHOLD_GRID
+
+    n = tables.text_pages(spark, sf).groupBy("input_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    points = []
+    for ia, a in enumerate(ALPHA_GRID):
+        for it, t in enumerate(THRESHOLD_GRID):
+            for il, lk in enumerate(LINKAGE_GRID):
+                pos = ia * len(THRESHOLD_GRID) * len(LINKAGE_GRID) + it * len(LINKAGE_GRID) + il
+                points.append(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(t)).alias("threshold"), F.lit(lk).alias("linkage"), F.lit(pos).alias("grid_pos")))
+    g = n.select("input_id", "n_pages", F.explode(F.array(*points)).alias("g")).select("input_id", "n_pages", "g.*")
+    band = F.when(F.col("alpha") < 1.0, F.least(F.ceil(F.col("threshold") / (1.0 - F.col("alpha"))), F.col("n_pages")).cast("int"))
+    return g.select("input_id", "n_pages", "alpha", "threshold", "linkage", "grid_pos", band.alias("band_pages"))
+
+
+def _search(spark, sf):
+    return E.grid_search(_f2_vectors(spark, sf), _f2_gold(spark, sf))
+
+
+def q_grid_search(spark, sf):
+    return _search(spark, sf).select("input_id", "alpha", "threshold", "linkage", "grid_pos", _r("ari", "ari"), _r("nmi", "nmi"))
+
+
+def q_best_params(spark, sf):
+    b = E.best_params(_search(spark, sf))
+    return b.select("input_id", "alpha", "threshold", "linkage", _r("ari", "ari"), _r("nmi", "nmi"))
+
+
 def registry() -> dict:
     return {
         "page_numbering": q_page_numbering,
@@ -131,4 +370,36 @@ def registry() -> dict:
         "cluster_single": q_cluster_single,
         "cluster_rounds": q_cluster_rounds,
         "threshold_sweep": q_threshold_sweep,
+        "text_vectors": q_text_vectors,
+        "embed_missing": q_embed_missing,
+        "short_segments": q_short_segments,
+        "page_text": q_page_text,
+        "file_scan": q_file_scan,
+        "page_explode": q_page_explode,
+        "name_parts": q_name_parts,
+        "missing_pages": q_missing_pages,
+        "missing_inputs": q_missing_inputs,
+        "boundary_detection": q_boundary_detection,
+        "boundary_chunked": q_boundary_chunked,
+        "gap_split": q_gap_split,
+        "documents_from_labels": q_documents_from_labels,
+        "renumber_documents": q_renumber_documents,
+        "label_pages": q_label_pages,
+        "document_text": q_document_text,
+        "first_page_text": q_first_page_text,
+        "sample_pages": q_sample_pages,
+        "concat_pages": q_concat_pages,
+        "reassemble_documents": q_reassemble_documents,
+        "document_topics": q_document_topics,
+        "assign_topics": q_assign_topics,
+        "output_manifest": q_output_manifest,
+        "split_summary": q_split_summary,
+        "split_levels": q_split_levels,
+        "gold_labels": q_gold_labels,
+        "contingency": q_contingency,
+        "adjusted_rand": q_adjusted_rand,
+        "nmi": q_nmi,
+        "param_grid": q_param_grid,
+        "grid_search": q_grid_search,
+        "best_params": q_best_params,
     }

@@ -16,10 +16,29 @@ VECTORS_PER_INPUT = 50
 LINES_PER_PAGE = 3
 
 
+_VIEWS: dict = {}
+
+
+def _memo(fn):
+    """One definition of a page view per (session, folder): its numbering is written once and
+    every query of the session reuses it."""
+
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if k not in _VIEWS:
+            _VIEWS[k] = fn(spark, sf_dir)
+        return _VIEWS[k]
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@_memo
 def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` cut into inputs of 50 vectors, pages ordered by (label, vec_id).
 
@@ -34,6 +53,7 @@ def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(e, "input_id", ["gold", "vec_id"])
 
 
+@_memo
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` bundled per source, pages ordered by (lang, doc_id), gold = rank of lang.
 
@@ -55,6 +75,7 @@ def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """web ``pages`` bundled per host, ordered by page_id. Columns: input_id, page_no, page_id, url, html."""
     p = table(spark, sf_dir, "pages").select(
@@ -63,6 +84,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(p, "input_id", ["page_id"])
 
 
+@_memo
 def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations``, one input per conversation, page = rank of turn."""
     c = table(spark, sf_dir, "conversations").select(
