@@ -8,8 +8,11 @@ e.g. a ``mapInPandas`` model, with the same output columns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..constants import HASH_CELLS
 from ..functions.text import explode_words
@@ -24,22 +27,44 @@ def word_cells(texts: DataFrame, keys: list[str], text: str = "text", cells: int
     return per_word.groupBy(*keys, cell.alias("cell")).agg(F.sum("n").alias("n"))
 
 
+def _packed(texts: DataFrame, keys: list[str], text: str, cells: int) -> DataFrame:
+    """``(keys..., _cells ARRAY<STRUCT<cell, n>>, _norm)``: at most ``cells`` entries per text, so
+    the per-text list is bounded by the vector width whatever the text length."""
+    c = word_cells(texts, keys, text, cells)
+    packed = c.groupBy(*keys).agg(F.collect_list(F.struct("cell", "n")).alias("_cells"))
+    norm = F.sqrt(F.aggregate("_cells", F.lit(0.0), lambda acc, e: acc + (e["n"] * e["n"]).cast("double")))
+    return packed.withColumn("_norm", norm)
+
+
 def sparse_vectors(texts: DataFrame, keys: list[str], text: str = "text", cells: int = HASH_CELLS) -> DataFrame:
     """``(keys..., cell, value)`` of the L2-normalised hashed counts, non-zero cells only."""
-    c = word_cells(texts, keys, text, cells)
-    norms = c.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-    return c.join(norms, keys).select(*keys, "cell", (F.col("n") / F.col("_norm")).alias("value"))
+    p = _packed(texts, keys, text, cells)
+    return p.select(*keys, "_norm", F.explode("_cells").alias("e")).select(
+        *keys, F.col("e.cell").alias("cell"), (F.col("e.n") / F.col("_norm")).alias("value")
+    )
+
+
+def _densify(cells: int):
+    @pandas_udf("array<double>")
+    def densify(entries: pd.Series, norm: pd.Series) -> pd.Series:
+        out = np.zeros((len(entries), cells))
+        for k, (ents, nv) in enumerate(zip(entries, norm)):
+            if ents is None or len(ents) == 0:
+                continue
+            idx = np.fromiter((e["cell"] for e in ents), dtype=np.int64, count=len(ents))
+            val = np.fromiter((e["n"] for e in ents), dtype=np.float64, count=len(ents))
+            out[k, idx] = val / nv
+        return pd.Series(list(out))
+
+    return densify
 
 
 def text_vectors(texts: DataFrame, keys: list[str] | None = None, text: str = "text", cells: int = HASH_CELLS, out: str = "embedding") -> DataFrame:
-    """Dense ``ARRAY<DOUBLE>`` vector per text row; a text without words gets the zero vector."""
+    """Dense ``ARRAY<DOUBLE>`` vector per text row; a text without words gets the zero vector.
+    The scatter into a dense array is an Arrow-batched pandas UDF (numpy per batch)."""
     keys = keys or ["input_id", "page_no"]
-    sv = sparse_vectors(texts, keys, text, cells)
-    packed = sv.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "value"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    return texts.join(packed, keys, "left").withColumn(
-        out, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), cells)).otherwise(dense)
-    ).drop("_m")
+    p = _packed(texts, keys, text, cells)
+    return texts.join(p, keys, "left").withColumn(out, _densify(cells)(F.col("_cells"), F.col("_norm"))).drop("_cells", "_norm")
 
 
 def embed_missing(pages: DataFrame, store: DataFrame | None, text: str = "text", cells: int = HASH_CELLS) -> tuple[DataFrame, DataFrame]:

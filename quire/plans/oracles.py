@@ -400,4 +400,13 @@ SELECT input_id, arg_min(alpha, (-round(ari, 9), grid_pos)) AS alpha, arg_min(th
        arg_min(linkage, (-round(ari, 9), grid_pos)) AS linkage, round(arg_min(ari, (-round(ari, 9), grid_pos)), 6) AS ari,
        round(arg_min(nmi, (-round(ari, 9), grid_pos)), 6) AS nmi
 FROM ranked GROUP BY input_id"""
+    o["stream_boundaries"] = o["boundary_detection"]
+    o["text_scan"] = f"WITH {F3} SELECT input_id, page_no, md5(text) AS text_md5 FROM f3"
+    o["write_documents"] = f2_docs + f""",\n{TOPICS}
+SELECT n.input_id, n.document_no, printf('document_%d_%s', n.document_no, n.topic_name) AS name,
+       CAST(length(b.body) AS INTEGER) AS n_chars
+FROM named n JOIN (SELECT input_id, document_no, string_agg(text, chr(10) ORDER BY page_no) AS body FROM doc_text GROUP BY 1, 2) b
+USING (input_id, document_no)"""
+    o["stream_intake"] = f"WITH RECURSIVE {F1},\n{cluster_ctes('f1', a, t, 'average')},\n{docs_ctes(pages='f1')}" + """
+SELECT input_id, document_no, page_start, page_end, n_pages FROM docs"""
     return o

@@ -285,6 +285,11 @@ def q_assign_topics(spark, sf):
     return _named_docs(spark, sf).select("input_id", "document_no", "topic_name")
 
 
+def q_split_documents(spark, sf):
+    """Flagship: named documents of every F2 input."""
+    return _named_docs(spark, sf).select("input_id", "document_no", "document_id", "topic_name", "page_start", "page_end", "n_pages")
+
+
 def q_output_manifest(spark, sf):
     return O.output_names(_named_docs(spark, sf)).select("input_id", "name", "position")
 
@@ -354,6 +359,87 @@ def q_best_params(spark, sf):
     return b.select("input_id", "alpha", "threshold", "linkage", _r("ari", "ari"), _r("nmi", "nmi"))
 
 
+# ---------------------------------------------------------------- S3, S6, R1/S8, R2 (side effects
+# go to a fresh folder under the session's checkpoint folder; results are read back)
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def q_text_scan(spark, sf):
+    """S3: F3 pages written as one ``{stem}_page_{n}.txt`` file each, scanned back whole."""
+    import os
+
+    import pandas as pd
+
+    root = _scratch(spark, "texts")
+    if root.startswith("file:"):
+        root = root[len("file:"):]
+
+    def write_files(batches):
+        os.makedirs(root, exist_ok=True)
+        for pdf in batches:
+            for name, text in zip(pdf["page_name"], pdf["text"]):
+                with open(os.path.join(root, name[:-4] + ".txt"), "w", encoding="utf-8") as fh:
+                    fh.write(text)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    if not root.startswith("/") and "://" in root:
+        raise RuntimeError("text_scan staging writes plain files; it needs a local or mounted checkpoint folder")
+    _f3_pages(spark, sf).select("page_name", "text").mapInPandas(write_files, "n long").collect()
+    got = SP.scan_page_texts(spark, root)
+    return got.select(F.regexp_replace("input_stem", "^doc_", "").alias("input_id"), "page_no", F.md5("text").alias("text_md5"))
+
+
+def q_write_documents(spark, sf):
+    """Every F2 document body written under input_id=/document_no= and read back."""
+    out = _scratch(spark, "documents")
+    named = _named_docs(spark, sf)
+    _, _, doc_text = _f2_docs(spark, sf)
+    O.write_documents(D.reassemble(doc_text), named, out)
+    back = spark.read.schema("text string, name string, input_id string, document_no int").parquet(out)
+    return back.select("input_id", F.col("document_no").cast("int").alias("document_no"), "name", F.length("text").cast("int").alias("n_chars"))
+
+
+def q_stream_intake(spark, sf):
+    """F1 inputs arrive as Parquet files (whole inputs per file); each micro-batch is
+    split by the batch plan and written with per-input dynamic overwrite."""
+    from ..streaming.intake import start_intake
+
+    intake, out, ck = _scratch(spark, "intake"), _scratch(spark, "intake-out"), _scratch(spark, "intake-ck")
+    pages = tables.vector_pages(spark, sf).select("input_id", "page_no", "embedding")
+    pages.repartition(4, "input_id").write.parquet(intake)
+    q = start_intake(spark, intake, pages.schema, out, ck, max_files_per_trigger=1)
+    q.awaitTermination()
+    schema = "document_no int, document_id string, topic_name string, page_start int, page_end int, n_pages int, input_id string"
+    back = spark.read.schema(schema).parquet(out)
+    return back.select("input_id", F.col("document_no").cast("int").alias("document_no"), "page_start", "page_end", "n_pages")
+
+
+def q_stream_boundaries(spark, sf):
+    """R2: F2 page vectors arrive out of order in several files; the stateful stream must give
+    the batch boundary labels."""
+    from ..streaming.online import STATE_STORE, online_boundaries
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    src, out, ck = _scratch(spark, "online"), _scratch(spark, "online-out"), _scratch(spark, "online-ck")
+    v = _f2_vectors(spark, sf).select("input_id", "page_no", "embedding")
+    # pages of one input land in different files: partition by a hash of the page, not the input
+    v.repartition(4, F.col("page_no")).write.parquet(src)
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (
+        online_boundaries(stream, DEFAULT_BOUNDARY_THRESHOLD)
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    back = spark.read.parquet(out)
+    return back.where(F.col("status") == "ok").select("input_id", "page_no", "label")
+
+
 def registry() -> dict:
     return {
         "page_numbering": q_page_numbering,
@@ -402,4 +488,8 @@ def registry() -> dict:
         "param_grid": q_param_grid,
         "grid_search": q_grid_search,
         "best_params": q_best_params,
+        "text_scan": q_text_scan,
+        "write_documents": q_write_documents,
+        "stream_intake": q_stream_intake,
+        "stream_boundaries": q_stream_boundaries,
     }

@@ -50,7 +50,7 @@ def scan_page_texts(spark: SparkSession, path: str) -> DataFrame:
     ``(input_stem, page_no, text)`` - the page number is parsed from ``..._page_<n>.txt``
     (1-based in the name, 0-based here), so the page order never depends on listing order.
     """
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*)$", 1)
     return df.select(
         F.regexp_extract(name, r"^(.*)_page_\d+\.txt$", 1).alias("input_stem"),

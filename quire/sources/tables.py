@@ -34,8 +34,20 @@ def _memo(fn):
     return wrapper
 
 
+# a row id per given table, used to spread a scan that arrives in too few splits
+_ROW_IDS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id", "labels": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table. A file with one row group is one split; when the scan has fewer splits
+    than the cluster has cores it is hash-spread on its row id, so per-row work (text
+    splitting, hashing) runs on every core. Large scans already have enough splits and are
+    left alone (no extra shuffle)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _ROW_IDS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, _ROW_IDS[name])
+    return df
 
 
 @_memo
