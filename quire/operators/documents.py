@@ -17,10 +17,14 @@ def documents_from_labels(labels: DataFrame) -> DataFrame:
     ``document_id`` is md5(input_id:page_start), stable across re-runs. Page membership stays in
     ``document_pages`` rows rather than an array, so a huge document is never one value.
     """
+    from ..session import cut_lineage
+
     docs = labels.groupBy("input_id", "label").agg(
         F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), F.count(F.lit(1)).cast("int").alias("n_pages")
     )
-    docs = number_rows(docs, "input_id", ["page_start"], out="document_no")
+    # one row per document: written once, since numbering reads it twice and the labels
+    # upstream may come from a Python task
+    docs = number_rows(cut_lineage(docs), "input_id", ["page_start"], out="document_no")
     return docs.select(
         "input_id",
         "document_no",

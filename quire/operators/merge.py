@@ -29,24 +29,35 @@ def blended_matrix(x: np.ndarray, pages: np.ndarray, alpha: float, decimals: int
 
 def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float | None = None):
     """Merge sequence ``[(a, b, height, size)]`` (indices, a < b) until one cluster remains,
-    no finite distance is left, or the next height is ``>= stop``."""
+    no finite distance is left, or the next height is ``>= stop``.
+
+    Keeps the upper triangle ``u[r, c]`` (c > r) of cluster linkages and every row's nearest
+    partner; after a merge only the rows whose partner changed are re-scanned, all in one
+    vectorised call. Single and complete linkage combine already-rounded page distances, so
+    only average linkage needs rounding before comparing.
+    """
     n = d.shape[0]
     if n < 2:
         return []
+    if linkage not in ("average", "complete", "single"):
+        raise ValueError(f"unknown linkage: {linkage}")
     u = np.triu(d.astype(np.float64), 1)
     u[np.tril_indices(n)] = INF
     size = np.ones(n, dtype=np.float64)
     active = np.ones(n, dtype=bool)
+    rounding = linkage == "average"
 
-    def row_best(r):
-        rr = np.round(u[r], decimals)
-        c = int(np.argmin(rr))
-        return rr[c], c
+    def rescan(rows: np.ndarray) -> None:
+        sub = u[rows]
+        if rounding:
+            sub = np.round(sub, decimals)
+        c = np.argmin(sub, axis=1)
+        bestc[rows] = c
+        bestd[rows] = sub[np.arange(len(rows)), c]
 
     bestd = np.full(n, INF)
     bestc = np.zeros(n, dtype=np.int64)
-    for r in range(n - 1):
-        bestd[r], bestc[r] = row_best(r)
+    rescan(np.arange(n))
     merges = []
     for _ in range(n - 1):
         a = int(np.argmin(bestd))
@@ -61,10 +72,8 @@ def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float |
             new = (size[a] * da + size[b] * db) / (size[a] + size[b])
         elif linkage == "complete":
             new = np.maximum(da, db)
-        elif linkage == "single":
-            new = np.minimum(da, db)
         else:
-            raise ValueError(f"unknown linkage: {linkage}")
+            new = np.minimum(da, db)
         new[a] = INF
         new[b] = INF
         new[~active] = INF
@@ -78,16 +87,12 @@ def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float |
         redo = active & ((bestc == a) | (bestc == b))
         redo[a] = True
         # rows above a may now find a nearer (or tied, lower-id) partner in a
-        above = np.arange(a)
-        cand = np.round(u[:a, a], decimals)
+        cand = np.round(u[:a, a], decimals) if rounding else u[:a, a]
         better = active[:a] & ~redo[:a] & ((cand < bestd[:a]) | ((cand == bestd[:a]) & (a < bestc[:a])))
-        bestd[above[better]] = cand[better]
-        bestc[above[better]] = a
-        for r in np.nonzero(redo)[0]:
-            if r == n - 1:
-                bestd[r] = INF
-                continue
-            bestd[r], bestc[r] = row_best(r)
+        idx = np.nonzero(better)[0]
+        bestd[idx] = cand[idx]
+        bestc[idx] = a
+        rescan(np.nonzero(redo)[0])
     return merges
 
 

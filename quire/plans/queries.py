@@ -125,9 +125,18 @@ def q_threshold_sweep(spark, sf):
 
 
 # ---------------------------------------------------------------- text pages (F2): P3-P5, S4
+_VECTORS: dict = {}
+
+
 def _f2_vectors(spark, sf):
-    """F2 pages with their hashed-term vectors (computed once per page)."""
-    return text_vectors(tables.text_pages(spark, sf))
+    """F2 pages with their hashed-term vectors, computed once per session and stored (the
+    vector store of S4: later queries read it instead of re-vectorising)."""
+    from ..session import cut_lineage
+
+    k = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"))
+    if k not in _VECTORS:
+        _VECTORS[k] = cut_lineage(text_vectors(tables.text_pages(spark, sf)).select("input_id", "page_no", "embedding"))
+    return _VECTORS[k]
 
 
 def q_text_vectors(spark, sf):
@@ -224,7 +233,9 @@ def _f2_labels(spark, sf):
 
 
 def _f2_docs(spark, sf):
-    labels = _f2_labels(spark, sf)
+    from ..session import cut_lineage
+
+    labels = cut_lineage(_f2_labels(spark, sf))  # written once, read by every branch below
     docs = D.documents_from_labels(labels)
     doc_text = D.page_texts(D.document_pages(labels, docs), tables.text_pages(spark, sf))
     return labels, docs, doc_text
@@ -319,13 +330,19 @@ def q_contingency(spark, sf):
     return E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
 
 
+def _f2_contingency(spark, sf):
+    from ..session import cut_lineage
+
+    return cut_lineage(E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"]))
+
+
 def q_adjusted_rand(spark, sf):
-    cont = E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
+    cont = _f2_contingency(spark, sf)
     return E.adjusted_rand(cont, ["input_id"]).select("input_id", _r("ari", "ari"))
 
 
 def q_nmi(spark, sf):
-    cont = E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
+    cont = _f2_contingency(spark, sf)
     return E.nmi(cont, ["input_id"]).select("input_id", _r("nmi", "nmi"))
 
 

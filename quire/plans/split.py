@@ -49,9 +49,12 @@ def split_pages(
     page_end, n_pages)``. ``pages`` needs ``embedding``; with a ``text`` column the documents are
     named by topic, otherwise they keep ``Cluster n``. Without ``embedding`` but with ``text``,
     the vectors are computed first."""
+    from ..session import cut_lineage
+
     if "embedding" not in pages.columns:
-        pages = text_vectors(pages.select("input_id", "page_no", "text"))
-    labels = page_labels(pages, method, alpha, threshold, linkage, gap)
+        pages = cut_lineage(text_vectors(pages.select("input_id", "page_no", "text")))
+    # labels feed the documents, their pages and their texts: write them once
+    labels = cut_lineage(page_labels(pages, method, alpha, threshold, linkage, gap))
     docs = D.documents_from_labels(labels)
     if "text" in pages.columns:
         doc_text = D.page_texts(D.document_pages(labels, docs), pages)
