@@ -199,21 +199,34 @@ def boundary_detection(
 # ---------------------------------------------------------------- W2
 def gap_split(labels: DataFrame, gap: int) -> DataFrame:
     """Split each cluster once, at its first page gap ``> gap``: that page and all later pages of
-    the cluster get a new label ``max(label)+1, ...`` in ascending old-label order."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("input_id", "label").orderBy("page_no")
-    gaps = labels.withColumn("_gap", F.col("page_no") - F.lag("page_no").over(w))
-    first_cut = gaps.where(F.col("_gap") > gap).groupBy("input_id", "label").agg(F.min("page_no").alias("_cut"))
-    top = labels.groupBy("input_id").agg(F.max("label").alias("_max"))
-    ranked = first_cut.join(top, "input_id").withColumn(
-        "_new", F.col("_max") + F.dense_rank().over(Window.partitionBy("input_id").orderBy("label"))
-    )
-    return (
-        labels.join(ranked, ["input_id", "label"], "left")
-        .select(
-            "input_id",
-            "page_no",
-            F.when(F.col("_cut").isNotNull() & (F.col("page_no") >= F.col("_cut")), F.col("_new")).otherwise(F.col("label")).cast("int").alias("label"),
-        )
+    the cluster get a new label ``max(label)+1, ...`` in ascending old-label order.
+
+    No window over a cluster: a page opens a gap when no page of its cluster lies in the ``gap``
+    pages before it but the cluster has an earlier page. That test is an equi-join of each page
+    with its ``gap`` predecessors (``explode(sequence)``), so work per page is bounded by
+    ``gap`` whatever the cluster size; the first cut per cluster is a plain aggregate.
+    """
+    from ..operators.numbering import number_rows
+
+    g = int(gap)
+    lab = labels.select("input_id", "page_no", "label")
+    firsts = lab.groupBy("input_id", "label").agg(F.min("page_no").alias("_first"))
+    if g >= 1:
+        near = lab.select(
+            "input_id", "label", F.explode(F.sequence(F.col("page_no") + 1, F.col("page_no") + g)).alias("page_no")
+        ).distinct()
+        covered = lab.join(near, ["input_id", "label", "page_no"], "left_semi")
+        opens = lab.join(covered, ["input_id", "label", "page_no"], "left_anti")
+    else:
+        opens = lab
+    opens = opens.join(firsts, ["input_id", "label"]).where(F.col("page_no") > F.col("_first"))
+    first_cut = opens.groupBy("input_id", "label").agg(F.min("page_no").alias("_cut"))
+    top = lab.groupBy("input_id").agg(F.max("label").alias("_max"))
+    # new labels in ascending old-label order, numbered without a window over the input
+    ranked = number_rows(first_cut, "input_id", ["label"], out="_rank").join(top, "input_id")
+    ranked = ranked.select("input_id", "label", "_cut", (F.col("_max") + F.col("_rank") + 1).alias("_new"))
+    return lab.join(ranked, ["input_id", "label"], "left").select(
+        "input_id",
+        "page_no",
+        F.when(F.col("_cut").isNotNull() & (F.col("page_no") >= F.col("_cut")), F.col("_new")).otherwise(F.col("label")).cast("int").alias("label"),
     )

@@ -416,9 +416,12 @@ def q_write_documents(spark, sf):
     out = _scratch(spark, "documents")
     named = _named_docs(spark, sf)
     _, _, doc_text = _f2_docs(spark, sf)
-    O.write_documents(D.reassemble(doc_text), named, out)
-    back = spark.read.schema("text string, name string, input_id string, document_no int").parquet(out)
-    return back.select("input_id", F.col("document_no").cast("int").alias("document_no"), "name", F.length("text").cast("int").alias("n_chars"))
+    O.write_documents(doc_text, named, out)
+    back = spark.read.schema("page_no int, text string, name string, input_id string, document_no int").parquet(out)
+    # body length as the pages joined by line breaks would have it
+    return back.groupBy("input_id", "document_no", "name").agg(
+        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).cast("int").alias("n_chars")
+    )
 
 
 def q_stream_intake(spark, sf):

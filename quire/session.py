@@ -52,6 +52,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
+
+    The result survives executor loss (files in the cluster's folder, not executor memory), its
+    plan is a plain file scan whatever came before (iterative rounds do not grow their plans),
+    and the scan carries real file sizes, so later joins can be planned on them.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -13,21 +13,29 @@ def output_names(named_docs: DataFrame) -> DataFrame:
     (so ``document_10_...`` comes before ``document_2_...``)."""
     from pyspark.sql import Window
 
+    from ..operators.numbering import number_rows
+
     names = named_docs.select("input_id", "document_no", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"))
-    w = Window.partitionBy("input_id").orderBy("name", "document_no")
-    return names.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
+    return number_rows(names, "input_id", ["name", "document_no"], out="position")
 
 
-def write_documents(doc_bodies: DataFrame, named_docs: DataFrame, path: str, max_records_per_file: int = 0) -> None:
-    """S6 + S5: write every document's body under ``input_id=/document_no=`` partitions.
+def write_documents(doc_pages: DataFrame, named_docs: DataFrame, path: str, max_records_per_file: int = 0) -> None:
+    """Write every document under ``input_id=/document_no=`` partitions, one row per page
+    ``(page_no, text, name)`` sorted by page inside the files - a document of any size is
+    written by its pages, never concatenated into one value.
 
-    Dynamic partition overwrite replaces only the inputs present in this run (the reset of
-    stored results, limited to the re-run inputs); other inputs' outputs stay. Writing is
-    idempotent, so a retried task or a re-run gives the same files.
+    Dynamic partition overwrite replaces only the partitions written in this run; ``reset_outputs``
+    clears re-run inputs first (S5). Writing is idempotent, so a retried task or a re-run gives
+    the same files.
     """
-    out = doc_bodies.join(named_docs.select("input_id", "document_no", "topic_name", "page_start", "page_end"), ["input_id", "document_no"])
-    out = out.withColumn("name", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name"))
-    w = out.repartition("input_id", "document_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = doc_pages.join(named_docs.select("input_id", "document_no", "topic_name"), ["input_id", "document_no"])
+    out = out.select("input_id", "document_no", "page_no", "text", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"))
+    w = (
+        out.repartition("input_id", "document_no")
+        .sortWithinPartitions("input_id", "document_no", "page_no")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+    )
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     w.partitionBy("input_id", "document_no").parquet(path)

@@ -50,16 +50,16 @@ def test_manifest_sorts_as_strings(spark):
 
 def test_write_documents_rerun_and_reset(spark, scratch):
     out = os.path.join(scratch, "docs")
-    bodies = spark.createDataFrame([("a", 0, "p0\np1"), ("a", 1, "p2"), ("b", 0, "q")], "input_id string, document_no int, text string")
+    bodies = spark.createDataFrame([("a", 0, 0, "p0"), ("a", 0, 1, "p1"), ("a", 1, 2, "p2"), ("b", 0, 0, "q")], "input_id string, document_no int, page_no int, text string")
     named = spark.createDataFrame([("a", 0, "x", 0, 1), ("a", 1, "y", 2, 2), ("b", 0, "z", 0, 0)], "input_id string, document_no int, topic_name string, page_start int, page_end int")
     write_documents(bodies, named, out)
     write_documents(bodies, named, out)  # a re-run rewrites, never duplicates
-    assert spark.read.parquet(out).count() == 3
+    assert spark.read.parquet(out).count() == 4
     # input a now has one document: reset its outputs, write again, b stays untouched
     assert reset_outputs(spark, out, spark.createDataFrame([("a",)], "input_id string")) == 1
     write_documents(bodies.where("input_id = 'a' AND document_no = 0"), named.where("input_id = 'a' AND document_no = 0"), out)
-    back = spark.read.schema("text string, name string, input_id string, document_no int").parquet(out)
-    assert sorted((r.input_id, r.document_no) for r in back.collect()) == [("a", 0), ("b", 0)]
+    back = spark.read.schema("page_no int, text string, name string, input_id string, document_no int").parquet(out)
+    assert sorted((r.input_id, r.document_no, r.page_no) for r in back.collect()) == [("a", 0, 0), ("a", 0, 1), ("b", 0, 0)]
 
 
 def test_online_boundaries_equal_batch_fold(spark, scratch):
