@@ -400,6 +400,9 @@ SELECT input_id, arg_min(alpha, (-round(ari, 9), grid_pos)) AS alpha, arg_min(th
        arg_min(linkage, (-round(ari, 9), grid_pos)) AS linkage, round(arg_min(ari, (-round(ari, 9), grid_pos)), 6) AS ari,
        round(arg_min(nmi, (-round(ari, 9), grid_pos)), 6) AS nmi
 FROM ranked GROUP BY input_id"""
+    o["split_documents"] = f2_docs + f""",\n{TOPICS}
+SELECT input_id, document_no, md5(input_id || ':' || CAST(page_start AS VARCHAR)) AS document_id, topic_name,
+       page_start, page_end, n_pages FROM named"""
     o["stream_boundaries"] = o["boundary_detection"]
     o["text_scan"] = f"WITH {F3} SELECT input_id, page_no, md5(text) AS text_md5 FROM f3"
     o["write_documents"] = f2_docs + f""",\n{TOPICS}

@@ -508,6 +508,7 @@ def registry() -> dict:
         "param_grid": q_param_grid,
         "grid_search": q_grid_search,
         "best_params": q_best_params,
+        "split_documents": q_split_documents,
         "text_scan": q_text_scan,
         "write_documents": q_write_documents,
         "stream_intake": q_stream_intake,
