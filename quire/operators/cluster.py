@@ -7,6 +7,8 @@ Two physical paths with one result (labels = lowest page of each cluster):
   (the count is checked first), so a task never holds more than that bound squared.
 * rounds - for larger inputs: distributed mutual-nearest-neighbour merging over a cluster-pair
   table (see ``rounds.py``); every step is a DataFrame join/aggregate keyed below the input.
+  Single linkage takes connected components of the below-threshold edges instead
+  (``components.py``), which needs O(log^2 n) rounds however long the page chains are.
 """
 
 from __future__ import annotations
@@ -126,6 +128,11 @@ def cluster_pages(
         return cluster_grouped(pages, alpha, [threshold], linkage, vec).drop("threshold")
     small, large = split_by_size(pages, max_grouped_pages)
     grouped = cluster_grouped(small, alpha, [threshold], linkage, vec).drop("threshold")
+    if linkage == "single":
+        # single linkage at a fixed threshold = connected components: O(log^2 n) rounds
+        from .components import single_linkage_components
+
+        return grouped.unionByName(single_linkage_components(large, alpha, threshold, vec))
     return grouped.unionByName(cluster_rounds(large, alpha, threshold, linkage, vec))
 
 

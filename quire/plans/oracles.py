@@ -129,6 +129,7 @@ FROM f1 a JOIN f1 b ON a.input_id = b.input_id GROUP BY 1, 2, 3, 4"""
     o["cluster_complete"] = cluster_sql(F1, "f1", a, DEFAULT_THRESHOLD, "complete")
     o["cluster_single"] = cluster_sql(F1, "f1", 0.85, 1.36, "single")
     o["cluster_rounds"] = o["cluster_average"]
+    o["cluster_components"] = o["cluster_single"]
     levels = ", ".join(f"({x / 10.0!r})" for x in range(1, 51))
     o.update(registry2())
     o["threshold_sweep"] = merge_heights_sql(F1, "f1", a, "average") + f""",

@@ -117,6 +117,13 @@ def q_cluster_rounds(spark, sf):
     return cluster_rounds(tables.vector_pages(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "average")
 
 
+def q_cluster_components(spark, sf):
+    """A3 through the connected-components path large inputs take."""
+    from ..operators.components import single_linkage_components
+
+    return single_linkage_components(tables.vector_pages(spark, sf), 0.85, 1.36)
+
+
 def q_threshold_sweep(spark, sf):
     """A4: average-linkage labels at every split level 0.1..5.0 from one merge sequence per input."""
     levels = [round(x / 10.0, 1) for x in range(1, 51)]
@@ -475,6 +482,7 @@ def registry() -> dict:
         "cluster_complete": q_cluster_complete,
         "cluster_single": q_cluster_single,
         "cluster_rounds": q_cluster_rounds,
+        "cluster_components": q_cluster_components,
         "threshold_sweep": q_threshold_sweep,
         "text_vectors": q_text_vectors,
         "embed_missing": q_embed_missing,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators.cluster import cluster_grouped, cluster_pages
 from quire.operators.merge import blended_matrix, greedy_merges, labels_at
 from quire.operators.pairs import band_width, page_pairs
+from quire.operators.components import single_linkage_components
 from quire.operators.rounds import cluster_rounds
 
 
@@ -73,3 +74,19 @@ def test_tiled_pairs_cover_every_pair_once(spark):
     got = page_pairs(pages, 0.85, block=5).select("input_id", "i", "j").collect()
     assert len(got) == 2 * 23 * 22 // 2
     assert len(set(tuple(r) for r in got)) == len(got)
+
+
+def test_components_equal_single_linkage(spark):
+    pages = _pages(spark, n_inputs=3, n=30, seed=11)
+    rows = pages.collect()
+    for alpha, t in [(0.85, 2.0), (0.85, 1.36), (0.9, 1.5), (1.1, 1.8)]:
+        exp = _expected(rows, alpha, t, "single")
+        got = {(r.input_id, r.page_no): r.label for r in single_linkage_components(pages, alpha, t).collect()}
+        assert got == exp, (alpha, t)
+
+
+def test_single_linkage_routes_large_inputs_to_components(spark):
+    pages = _pages(spark, n_inputs=2, n=16)
+    small = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 1.4, "single").collect()}
+    forced = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 1.4, "single", max_grouped_pages=10).collect()}
+    assert small == forced
