@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quire.plans import queries as Q  # noqa: E402
-from quire.session import local_session  # noqa: E402
+from quire.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "text_vectors",
@@ -37,6 +37,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="quire-bench")
+    ship_package(spark)
     if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-bench-ckpt-"))
     reg = Q.registry()

@@ -19,6 +19,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..constants import DEFAULT_BOUNDARY_THRESHOLD
 
 OUTPUT_SCHEMA = "input_id string, page_no int, label int, status string"
+
+# The stateful processor is unpickled in a Python runner that does not get ``addPyFile``
+# includes; ship this module's code by value so that runner never has to import ``quire``.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: fall back to import by name
+    pass
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
