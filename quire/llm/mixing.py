@@ -84,14 +84,39 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, ceiling: int = CEILING, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs(doc_id, text, source)``.
-    ``keep``: further columns to carry, under their own names."""
-    slim = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"), *[F.col(c).alias(f"_k_{c}") for c in keep]))
-    sizes = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    plan = stored(with_targets(stored(weighted(sizes, weights)), share, ceiling).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
-    budgets = plan.select("source", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
-    bounds = thresholds(slim, budgets).withColumnRenamed("source", "_source")
-    plan = plan.join(bounds, same(F.col("source"), F.col("_source")), "left").select(F.col("source").alias("_of"), "source_size", "target", "base", F.coalesce("bound", F.lit(0)).alias("bound"))
-    mixed = slim.join(plan, same(F.col("source"), F.col("_of"))).withColumn("copies", F.col("base") + (F.col("h") < F.col("bound")).cast("long"))
-    return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"_k_{c}").alias(c) for c in keep])
+def with_size(docs: DataFrame, *keep: str) -> DataFrame:
+    return docs.select(*keep, word_count(F.col("text")).alias("_size"), id_hash(F.col("doc_id")).alias("_h"))
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, ceiling: int = CEILING) -> DataFrame:
+    """Per source of ``docs(source, _size, _h)``: ``source, source_size, target, base, bound``."""
+    sizes = stored(docs.groupBy("source").agg(F.sum("_size").alias("source_size")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goals = stored(with_targets(stored(weighted(sizes, weights)), share, ceiling).withColumn("base", whole.cast("long")))
+    budgets = goals.select("source", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
+    bounds = thresholds(docs.select("source", F.col("_size").alias("size"), F.col("_h").alias("h")), budgets).withColumnRenamed("source", "_source")
+    joined = goals.join(bounds, same(F.col("source"), F.col("_source")), "left")
+    return stored(joined.select("source", "source_size", "target", "base", F.coalesce("bound", F.lit(0)).alias("bound")))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs(source, _h, ...)`` with the plan's columns of its source and ``copies``, how often the row is taken."""
+    renamed = plan.withColumnRenamed("source", "_of")
+    joined = docs.join(renamed, same(docs["source"], renamed["_of"]))
+    return joined.withColumn("copies", F.col("base") + (F.col("_h") < F.col("bound")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, ceiling: int = CEILING) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` of each row of ``docs(doc_id, text, source)``."""
+    slim = stored(with_size(docs, "doc_id", "source"))
+    mixed = with_copies(slim, plan(slim, weights, share, ceiling))
+    return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, ceiling: int = CEILING) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, columns as they are."""
+    goals = plan(stored(with_size(docs, "source")), weights, share, ceiling)
+    renamed = goals.select(F.col("source").alias("_of"), F.col("base").alias("_base"), F.col("bound").alias("_bound"))
+    joined = docs.join(renamed, same(docs["source"], renamed["_of"]))
+    copies = F.col("_base") + (id_hash(docs["doc_id"]) < F.col("_bound")).cast("long")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).drop("_copy")

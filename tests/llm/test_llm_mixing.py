@@ -62,8 +62,11 @@ def test_mix_without_words_or_rows(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
-def test_kept_columns_and_copies(spark):
-    docs = spark.createDataFrame([(i, "a b c", "s", str(i), "c") for i in range(50)], SCHEMA)
-    rows = mixing.mix(docs, keep=("source",)).collect()
-    assert sum(r["taken"] for r in rows) == sum(3 * r["copies"] for r in rows) == 225
-    assert {r["source"] for r in rows} == {"s"}
+def test_repeated_rows_are_the_taken_ones(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), "abc"[i % 3], str(i), "c") for i in range(90)], SCHEMA)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    rows = [r["doc_id"] for r in out.collect()]
+    assert {i: rows.count(i) for i in want} == want
+    assert mixing.repeated(docs.limit(0)).collect() == []
