@@ -55,8 +55,9 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def responses(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """Each filter's response at each place."""
-    wide = np.concatenate((x, np.full(WIDTH - 1, EMPTY, x.dtype)))
+    """Each filter's response to the symbols that end at each place. A text is followed by WIDTH - 1 empty symbols
+    at least, so none sees two texts."""
+    wide = np.concatenate((np.full(WIDTH - 1, EMPTY, x.dtype), x))
     out = np.take(filters[0], wide[: len(x)], axis=0)
     part = np.empty_like(out)
     for j in range(1, WIDTH):
@@ -67,9 +68,9 @@ def responses(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
 
 def half_maxima(x: np.ndarray, filters: np.ndarray, where: bool = False):
     half, best, place = CHUNK // 2, [], []
-    for at in range(0, len(x), half * 64):  # a piece that fits the cache; the next bytes belong to its last places
-        stop = min(len(x), at + half * 64)
-        r = responses(x[at : min(len(x), stop + WIDTH - 1)], filters)[: stop - at].reshape(-1, half, filters.shape[2])
+    for at in range(0, len(x), half * 64):  # a piece that fits the cache, with the symbols before it
+        stop, before = min(len(x), at + half * 64), min(at, WIDTH - 1)
+        r = responses(x[at - before : stop], filters)[before:].reshape(-1, half, filters.shape[2])
         if where:
             k = r.argmax(1)
             place.append(k + (at + np.arange(len(k)) * half)[:, None])
@@ -132,7 +133,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             owner = np.repeat(np.arange(len(rows)), n)
             top = active == highest[owner]
             down = error[owner, None] * (net.unit[:FILTERS] / n[owner, None] + net.unit[FILTERS:] * top) * (before > 0)
-            wide = np.concatenate((x, np.full(WIDTH, EMPTY, x.dtype)))
+            wide = np.concatenate((np.full(WIDTH - 1, EMPTY, x.dtype), x))
             grad = np.zeros(net.filters.shape)
             for j in range(WIDTH):
                 np.add.at(grad[j], (wide[at_place + j], np.arange(FILTERS)[None, :]), down)

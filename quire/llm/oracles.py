@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import warc
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -33,5 +35,53 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NO
 """
 
 
+
+
+def _op10() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    text = "payload"
+    for pattern in warc.NO_TEXT:
+        text = f"regexp_replace({text}, {q(pattern)}, ' ', 'g')"
+    text = f"regexp_replace({text}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+    text = f"regexp_replace({text}, {q(warc.BREAKS)}, chr(10), 'g')"
+    text = f"regexp_replace({text}, {q(warc.TAG)}, '', 'g')"
+    for entity, char in warc.ENTITIES:
+        text = f"replace({text}, {q(entity)}, {q(char)})"
+    text = f"regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g')"
+    text = f"regexp_replace({text}, ' +', ' ', 'g')"
+    text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    crlf = "chr(13) || chr(10)"
+
+    def uuid(kind: str, digest: str) -> str:
+        h = f"md5(concat_ws(chr(10), '{kind}', coalesce(page_id::VARCHAR, ''), target_uri, {digest}))"
+        return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+    def string(x: str) -> str:
+        for a, b in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+            x = f"replace({x}, {a}, {b})"
+        return f"('\"' || regexp_replace({x}, '[\\x00-\\x1F]', ' ', 'g') || '\"')"
+
+    fields = [("refers-to", string("refers_to")), ("uri", string("target_uri")), ("title", string("title")), ("lang", string("lang")), ("source-headers", string("http_header")),
+              ("source-digest", string("source_digest")), ("source-length", "source_length::VARCHAR"), ("text-digest", string("'sha1:' || sha1(txt)")), ("links", f"('[' || coalesce(array_to_string(list_transform(links, lambda x: {string('substr(x, 2, length(x) - 2)')}), ','), '') || ']')")]
+    json = "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields) + " || '}'"
+    return f"""
+WITH base AS (
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\\r\\n]', '', 'g') AS target_uri, coalesce(html, '') AS payload, 'sha1:' || sha1(coalesce(html, '')) AS source_digest,
+         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} AS http_header
+  FROM pages),
+seen AS (
+  SELECT page_id, target_uri, source_digest, http_header, {uuid("response", "source_digest")} AS refers_to, strlen(http_header || payload) AS source_length,
+         regexp_replace(regexp_extract(payload, {q(warc.TITLE)}, 1), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS title, lower(regexp_extract(payload, {q(warc.LANG)}, 1)) AS lang,
+         regexp_extract_all(payload, {q(warc.LINK)}, 1) AS links, {text} AS txt
+  FROM base),
+made AS (
+  SELECT page_id, 'metadata' AS record_type, {uuid("metadata", "source_digest")} AS record_id, refers_to, '' AS concurrent_to, target_uri, source_digest, 'application/json' AS content_type, {json} AS block FROM seen
+  UNION ALL
+  SELECT page_id, 'conversion', {uuid("conversion", "source_digest")}, refers_to, {uuid("metadata", "source_digest")}, target_uri, source_digest, 'text/plain', txt FROM seen)
+SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, source_digest, 'sha1:' || sha1(block) AS block_digest, content_type, strlen(block)::BIGINT AS content_length
+FROM made
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op4_threshold_mixing": OP4}
+    return {"op4_threshold_mixing": OP4, "op10_derivative_records": _op10()}

@@ -11,7 +11,7 @@ SF01 = "/root/testdata/sf0.01"
 def plain_score(text, net):
     half = bytecnn.CHUNK // 2
     n = max(1, -(-(len(text) + bytecnn.WIDTH - 1) // half))
-    x = list(text) + [bytecnn.EMPTY] * (n * half + bytecnn.WIDTH - len(text))
+    x = [bytecnn.EMPTY] * (bytecnn.WIDTH - 1) + list(text) + [bytecnn.EMPTY] * (n * half - len(text))
     r = np.array([sum(net.filters[j, x[t + j]].astype(float) for j in range(bytecnn.WIDTH)) for t in range(n * half)])
     chunks = [r[a * half : (a + 2) * half].max(0) for a in range(max(1, n - 1))]
     active = np.maximum(np.array(chunks) + net.bias, 0)
