@@ -42,6 +42,3 @@ PAGE_FILE_SUFFIXES = (".pdf", ".jpg", ".png")
 DIST_DECIMALS = 9
 HASH_CELLS = 64
 SAMPLE_SEED = "quire"
-# Inputs with more pages than this leave the grouped (one task per input) clustering path
-# and are clustered by distributed rounds instead.
-MAX_GROUPED_PAGES = 4000

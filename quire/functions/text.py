@@ -26,11 +26,6 @@ def html_to_text(c) -> Column:
     return F.trim(t)
 
 
-def words(c) -> Column:
-    """Lower-cased letter runs of a text (array), empty strings removed."""
-    return F.filter(F.split(F.lower(_c(c)), WORD_SPLIT), lambda w: F.length(w) > 0)
-
-
 def explode_words(df, keys: list[str], c: str = "text", out: str = "word"):
     """One row per word of every text (whole texts). Explode first, then filter: a plain
     predicate stays in whole-stage codegen, a lambda over the array would not."""

@@ -51,10 +51,6 @@ def vector_add(a, b) -> Column:
     return F.zip_with(_col(a), _col(b), lambda x, y: x + y)
 
 
-def vector_scale(a, s) -> Column:
-    return F.transform(_col(a), lambda x: x * _col(s) if not isinstance(s, (int, float)) else x * F.lit(float(s)))
-
-
 def mean_vector(df: DataFrame, keys: list[str], vec: str = "embedding", out: str = "mean") -> DataFrame:
     """V5 per group: element-wise mean of the group's vectors.
 

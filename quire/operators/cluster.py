@@ -1,11 +1,12 @@
 """A1-A4 agglomerative clustering of pages with the blended distance.
 
-Two physical paths with one result (labels = lowest page of each cluster):
+Two physical paths with one result (labels = lowest page of each cluster). The caller names the path
+with ``spread``; nothing switches by itself:
 
-* grouped - ``groupBy(input_id).applyInPandas``: one task builds the input's matrix with numpy
-  and merges greedily. Only inputs whose page count is at most ``max_grouped_pages`` take it
-  (the count is checked first), so a task never holds more than that bound squared.
-* rounds - for larger inputs: distributed mutual-nearest-neighbour merging over a cluster-pair
+* ``spread=False`` (default) - ``groupBy(input_id).applyInPandas``: a task builds an input's matrix with numpy
+  and merges greedily. It holds 8 n^2 bytes for n pages, which suits inputs up to some ten
+  thousand pages, as paged documents are.
+* ``spread=True`` - inputs of any size: distributed mutual-nearest-neighbour merging over a cluster-pair
   table (see ``rounds.py``); every step is a DataFrame join/aggregate keyed below the input.
   Single linkage takes connected components of the below-threshold edges instead
   (``components.py``), which needs O(log^2 n) rounds however long the page chains are.
@@ -18,11 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_ALPHA, DEFAULT_LINKAGE, DEFAULT_THRESHOLD, DIST_DECIMALS, LINKAGES, MAX_GROUPED_PAGES
+from ..constants import DEFAULT_ALPHA, DEFAULT_LINKAGE, DEFAULT_THRESHOLD, DIST_DECIMALS, LINKAGES
 from .merge import blended_matrix, greedy_merges, labels_at
 
 LABEL_SCHEMA = "input_id string, threshold double, page_no int, label int"
-MERGE_SCHEMA = "input_id string, step int, a int, b int, height double, size int"
 
 
 def _check_linkage(linkage: str) -> None:
@@ -57,38 +57,6 @@ def _labels_fn(alpha: float, thresholds: list[float], linkage: str, vec: str):
     return fn
 
 
-def _merges_fn(alpha: float, linkage: str, vec: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        input_id, pages, x = _group_arrays(pdf, vec)
-        merges = greedy_merges(blended_matrix(x, pages, alpha, DIST_DECIMALS), linkage, DIST_DECIMALS) if len(pages) > 1 else []
-        return pd.DataFrame(
-            {
-                "input_id": [input_id] * len(merges),
-                "step": np.arange(len(merges), dtype=np.int32),
-                "a": np.array([pages[m[0]] for m in merges], dtype=np.int32),
-                "b": np.array([pages[m[1]] for m in merges], dtype=np.int32),
-                "height": np.array([m[2] for m in merges], dtype=np.float64),
-                "size": np.array([m[3] for m in merges], dtype=np.int32),
-            }
-        )
-
-    return fn
-
-
-def largest_input(pages: DataFrame) -> int:
-    """Page count of the largest input (one small aggregate; only ``input_id`` is read)."""
-    row = pages.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0]) if row and row[0] is not None else 0
-
-
-def split_by_size(pages: DataFrame, max_pages: int) -> tuple[DataFrame, DataFrame]:
-    """(pages of inputs with <= max_pages pages, pages of the larger inputs)."""
-    sizes = pages.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.where(F.col("_n") <= max_pages).select("input_id")
-    large = sizes.where(F.col("_n") > max_pages).select("input_id")
-    return pages.join(small, "input_id", "left_semi"), pages.join(large, "input_id", "left_semi")
-
-
 def cluster_grouped(
     pages: DataFrame,
     alpha: float = DEFAULT_ALPHA,
@@ -96,7 +64,7 @@ def cluster_grouped(
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
 ) -> DataFrame:
-    """Labels for each threshold via one numpy task per input. Caller guarantees bounded inputs."""
+    """Labels for each threshold via one numpy task per input."""
     _check_linkage(linkage)
     ts = [float(thresholds)] if isinstance(thresholds, (int, float)) else [float(t) for t in thresholds]
     return (
@@ -106,34 +74,24 @@ def cluster_grouped(
     )
 
 
-def merge_table(pages: DataFrame, alpha: float = DEFAULT_ALPHA, linkage: str = DEFAULT_LINKAGE, vec: str = "embedding") -> DataFrame:
-    """Full merge sequence (dendrogram) per input: (input_id, step, a, b, height, size)."""
-    _check_linkage(linkage)
-    return pages.select("input_id", "page_no", vec).groupBy("input_id").applyInPandas(_merges_fn(float(alpha), linkage, vec), MERGE_SCHEMA)
-
-
 def cluster_pages(
     pages: DataFrame,
     alpha: float = DEFAULT_ALPHA,
     threshold: float = DEFAULT_THRESHOLD,
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
-    max_grouped_pages: int = MAX_GROUPED_PAGES,
+    spread: bool = False,
 ) -> DataFrame:
-    """A1/A2/A3: ``(input_id, page_no, label)`` at one threshold, any input size."""
+    """A1/A2/A3: ``(input_id, page_no, label)`` at one threshold. ``spread``: cut each input's work over many tasks."""
+    from .components import single_linkage_components
     from .rounds import cluster_rounds
 
     _check_linkage(linkage)
-    if largest_input(pages) <= max_grouped_pages:
+    if not spread:
         return cluster_grouped(pages, alpha, [threshold], linkage, vec).drop("threshold")
-    small, large = split_by_size(pages, max_grouped_pages)
-    grouped = cluster_grouped(small, alpha, [threshold], linkage, vec).drop("threshold")
     if linkage == "single":
-        # single linkage at a fixed threshold = connected components: O(log^2 n) rounds
-        from .components import single_linkage_components
-
-        return grouped.unionByName(single_linkage_components(large, alpha, threshold, vec))
-    return grouped.unionByName(cluster_rounds(large, alpha, threshold, linkage, vec))
+        return single_linkage_components(pages, alpha, threshold, vec)
+    return cluster_rounds(pages, alpha, threshold, linkage, vec)
 
 
 def threshold_sweep(
@@ -142,15 +100,13 @@ def threshold_sweep(
     thresholds: list[float],
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
+    spread: bool = False,
 ) -> DataFrame:
-    """A4: labels of every input at many thresholds from one merge sequence per input.
-    Inputs above the grouped bound are cut by the rounds path once per threshold."""
-    if largest_input(pages) <= MAX_GROUPED_PAGES:
+    """A4: labels of every input at many thresholds. One merge sequence per input gives them all; with ``spread`` the
+    merge heights come from one run of the distributed rounds at the highest threshold."""
+    _check_linkage(linkage)
+    if not spread:
         return cluster_grouped(pages, alpha, thresholds, linkage, vec)
-    from .rounds import cluster_rounds
+    from .rounds import labels_from_merges, merge_rounds
 
-    small, large = split_by_size(pages, MAX_GROUPED_PAGES)
-    out = cluster_grouped(small, alpha, thresholds, linkage, vec)
-    for t in thresholds:
-        out = out.unionByName(cluster_rounds(large, alpha, t, linkage, vec).withColumn("threshold", F.lit(float(t))))
-    return out
+    return labels_from_merges(pages, merge_rounds(pages, alpha, max(thresholds), linkage, vec), thresholds)

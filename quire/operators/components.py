@@ -41,10 +41,10 @@ def _both_ways(d: DataFrame) -> DataFrame:
     return d.unionByName(d.select("input_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(input_id, page_no, label)``: label = lowest page reachable from the page."""
     e = cut_lineage(_both_ways(edges.select("input_id", F.col("i").alias("u"), F.col("j").alias("v"))))
-    for _ in range(max_rounds):
+    while True:
         star = cut_lineage(_small_star(_large_star(e)).distinct())
         nxt = cut_lineage(_both_ways(star))
         if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():

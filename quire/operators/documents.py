@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import SAMPLE_SEED, TOPIC_SAMPLE_PAGES
+from ..constants import DOCUMENT_NAME_FORMAT, SAMPLE_SEED, TOPIC_SAMPLE_PAGES
 from .numbering import number_rows
 
 
@@ -79,17 +79,13 @@ def missing_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     return requests.join(pages.select("input_id", "page_no"), ["input_id", "page_no"], "left_anti")
 
 
-def require_pages(requests: DataFrame, pages: DataFrame) -> None:
-    """Strict form of J6: raise naming a missing page, like the page merge does."""
-    bad = missing_pages(requests, pages).limit(1).collect()
-    if bad:
-        raise IndexError(f"Page number {bad[0]['page_no']} is out of range for input {bad[0]['input_id']}.")
-
-
 def split_summary(docs: DataFrame) -> DataFrame:
-    """Per input, number of documents and pages covered, first/last ranges."""
-    return docs.groupBy("input_id").agg(
-        F.count(F.lit(1)).cast("int").alias("documents"),
-        F.sum("n_pages").cast("bigint").alias("pages"),
-        F.max("n_pages").alias("largest"),
+    """A line per document with its name and page range, beside its input's number of documents and pages."""
+    per_input = docs.groupBy("input_id").agg(F.count(F.lit(1)).cast("int").alias("documents"), F.sum("n_pages").cast("bigint").alias("pages"))
+    lines = docs.select(
+        "input_id",
+        "document_no",
+        F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"),
+        F.concat_ws("-", F.col("page_start").cast("string"), F.col("page_end").cast("string")).alias("pages_from_to"),
     )
+    return lines.join(per_input, "input_id")

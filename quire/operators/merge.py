@@ -13,10 +13,14 @@ import numpy as np
 INF = np.inf
 
 
-def blended_matrix(x: np.ndarray, pages: np.ndarray, alpha: float, decimals: int = 9, rows: int = 256) -> np.ndarray:
+BLOCK_VALUES = 1 << 23  # differences held at once
+
+
+def blended_matrix(x: np.ndarray, pages: np.ndarray, alpha: float, decimals: int = 9, values: int = BLOCK_VALUES) -> np.ndarray:
     """n x n blended distances, built in row blocks to bound memory (direct differences, no
     ||x||^2 - 2xy expansion, so near-duplicates do not lose digits)."""
     n = x.shape[0]
+    rows = max(1, values // max(1, x.size))
     out = np.empty((n, n), dtype=np.float64)
     pg = pages.astype(np.float64)
     for s in range(0, n, rows):

@@ -58,4 +58,5 @@ def dense_rank_within(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
     only (for low-cardinality ``col`` such as a language)."""
     distinct = df.select(key, col).distinct()
     ranked = distinct.withColumn(out, (F.dense_rank().over(Window.partitionBy(key).orderBy(col)) - 1).cast("int"))
-    return df.join(ranked, [key, col])
+    renamed = ranked.select(F.col(key).alias("_r_key"), F.col(col).alias("_r_col"), out)
+    return df.join(renamed, df[key].eqNullSafe(F.col("_r_key")) & df[col].eqNullSafe(F.col("_r_col"))).drop("_r_key", "_r_col")

@@ -82,16 +82,25 @@ def page_pairs(
 
 
 def distance_matrix(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Full symmetric matrix from the upper triangle plus a zero diagonal."""
-    swapped = pairs.select("input_id", F.col("j").alias("i"), F.col("i").alias("j"), "dist")
+    """Full symmetric matrix from one pass over the upper triangle plus a zero diagonal."""
+    both = pairs.select("input_id", F.inline(F.array(F.struct("i", "j", "dist"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))))
     diag = pages.select("input_id", F.col("page_no").alias("i"), F.col("page_no").alias("j"), F.lit(0.0).alias("dist"))
-    return pairs.select("input_id", "i", "j", "dist").unionByName(swapped).unionByName(diag)
+    return both.unionByName(diag)
 
 
-def distance_heatmap(matrix: DataFrame, cell: int = 10) -> DataFrame:
+def weighted_matrices(pages: DataFrame, alphas, vec: str = "embedding") -> DataFrame:
+    """J2 at several alphas from one pass over the page pairs: ``(input_id, alpha, i, j, dist)``. A pair's content
+    distance is computed once."""
+    whole = distance_matrix(page_pairs(pages, 1.0, vec=vec, decimals=None), pages)
+    gap = F.abs(F.col("i") - F.col("j")).cast("double")
+    weighted = [F.struct(F.lit(float(a)).alias("alpha"), (F.col("dist") * F.lit(float(a)) + gap * F.lit(1.0 - float(a))).alias("dist")) for a in alphas]
+    return whole.select("input_id", "i", "j", F.inline(F.array(*weighted)))
+
+
+def distance_heatmap(matrix: DataFrame, cell: int = 10, keys: tuple[str, ...] = ("input_id",)) -> DataFrame:
     """The matrix averaged over ``cell`` x ``cell`` page blocks (for viewing large inputs)."""
     return matrix.groupBy(
-        "input_id",
+        *keys,
         (F.floor(F.col("i") / cell)).cast("int").alias("bi"),
         (F.floor(F.col("j") / cell)).cast("int").alias("bj"),
     ).agg(

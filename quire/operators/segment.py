@@ -5,10 +5,9 @@ of the page to the running mean of the current segment is below ``1 - threshold`
 restarts at that page. The cosine to the mean equals the cosine to the running sum, so only
 the sum is carried.
 
-Two paths with one result:
-* fold - Catalyst ``aggregate`` over the input's (page, vector) list; for inputs with at most
-  ``max_fold_pages`` pages (checked first).
-* chunked - for larger inputs: pages are cut into chunks of bounded size; every chunk is
+Two paths with one result, named by the caller:
+* fold - Catalyst ``aggregate`` over the input's (page, vector) list, which is one value.
+* chunked - for inputs of any size: pages are cut into chunks of bounded size; every chunk is
   scanned in parallel from a fresh start, then re-scanned from its true incoming state only
   until it meets a boundary the fresh scan also has (from there both scans agree). Rounds repeat
   only for chunks whose predecessor did not re-synchronise. See ``boundary_chunked``.
@@ -18,14 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_BOUNDARY_THRESHOLD
 from ..functions.vectors import cosine_similarity, vector_add
+from ..session import cut_lineage
 
-MAX_FOLD_PAGES = 4000
 CHUNK_PAGES = 1024
+STRIP_PAGES = 4096
 
 
 def _threshold(threshold: float | None) -> float:
@@ -48,11 +48,10 @@ def boundary_fold(pages: DataFrame, threshold: float | None = None, vec: str = "
             F.array_append(acc["labels"], acc["label"] + F.when(new_seg, 1).otherwise(0)).alias("labels"),
         )
 
-    folded = per_input.select("input_id", "ps", F.aggregate(F.slice("ps", 2, 1 << 30), init, step)["labels"].alias("labels"))
-    return folded.select("input_id", F.posexplode("labels").alias("pos", "label")).join(
-        per_input.select("input_id", F.posexplode(F.transform("ps", lambda p: p["page_no"])).alias("pos", "page_no")),
-        ["input_id", "pos"],
-    ).select("input_id", "page_no", F.col("label").cast("int").alias("label"))
+    labels = F.aggregate(F.slice("ps", 2, 1 << 30), init, step)["labels"]
+    both = F.arrays_zip(F.transform("ps", lambda p: p["page_no"]).alias("page_no"), labels.alias("label"))
+    folded = per_input.select("input_id", F.explode(both).alias("z"))
+    return folded.select("input_id", F.col("z.page_no").alias("page_no"), F.col("z.label").cast("int").alias("label"))
 
 
 # ---------------------------------------------------------------- chunked path (large inputs)
@@ -83,8 +82,6 @@ def _scan(x: np.ndarray, cut: float, s0: np.ndarray | None):
 
 def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", chunk: int = CHUNK_PAGES) -> DataFrame:
     """Exact W1 for inputs of any size with bounded work per task (see module doc)."""
-    from ..session import cut_lineage
-
     cut = 1.0 - _threshold(threshold)
     p = pages.select("input_id", "page_no", F.col(vec).alias("v")).withColumn("chunk", F.floor(F.col("page_no") / chunk).cast("int"))
     p = cut_lineage(p)
@@ -171,8 +168,6 @@ def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str
     resolved = cur
     # labels = running count of boundaries - 1, over chunks in order
     counts = resolved.select("input_id", "chunk", F.size(F.filter("flags", lambda f: f)).alias("nb"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("input_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("base", F.coalesce(F.sum("nb").over(w), F.lit(0)))
     per_page = resolved.select("input_id", "chunk", F.posexplode("flags").alias("pos", "flag"))
@@ -182,18 +177,10 @@ def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str
     return labeled.select("input_id", (F.col("chunk") * chunk + F.col("pos")).cast("int").alias("page_no"), "label")
 
 
-def boundary_detection(
-    pages: DataFrame, threshold: float | None = None, vec: str = "embedding", max_fold_pages: int = MAX_FOLD_PAGES
-) -> DataFrame:
-    """W1 for any input size: fold path for bounded inputs, chunked path for the rest."""
-    from .cluster import largest_input
-
-    if largest_input(pages) <= max_fold_pages:
-        return boundary_fold(pages, threshold, vec)
-    sizes = pages.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n"))
-    small = pages.join(sizes.where(F.col("_n") <= max_fold_pages).select("input_id"), "input_id", "left_semi")
-    large = pages.join(sizes.where(F.col("_n") > max_fold_pages).select("input_id"), "input_id", "left_semi")
-    return boundary_fold(small, threshold, vec).unionByName(boundary_chunked(large, threshold, vec))
+def boundary_detection(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", spread: bool = False) -> DataFrame:
+    """W1. ``spread=False`` folds an input's pages in one task, which holds all their vectors; ``spread=True``, for
+    inputs of any size, scans chunks of bounded size in parallel. The caller chooses; the result is the same."""
+    return boundary_chunked(pages, threshold, vec) if spread else boundary_fold(pages, threshold, vec)
 
 
 # ---------------------------------------------------------------- W2
@@ -201,32 +188,25 @@ def gap_split(labels: DataFrame, gap: int) -> DataFrame:
     """Split each cluster once, at its first page gap ``> gap``: that page and all later pages of
     the cluster get a new label ``max(label)+1, ...`` in ascending old-label order.
 
-    No window over a cluster: a page opens a gap when no page of its cluster lies in the ``gap``
-    pages before it but the cluster has an earlier page. That test is an equi-join of each page
-    with its ``gap`` predecessors (``explode(sequence)``), so work per page is bounded by
-    ``gap`` whatever the cluster size; the first cut per cluster is a plain aggregate.
+    The gap before a page comes from the page before it in its cluster: a window keyed by (input, label) and a
+    strip of ``STRIP_PAGES`` pages, so a large cluster is spread over many keys. The first page of a strip is compared with
+    the last one of the cluster's strip before, over one row per strip.
     """
     from ..operators.numbering import number_rows
 
     g = int(gap)
-    lab = labels.select("input_id", "page_no", "label")
-    firsts = lab.groupBy("input_id", "label").agg(F.min("page_no").alias("_first"))
-    if g >= 1:
-        near = lab.select(
-            "input_id", "label", F.explode(F.sequence(F.col("page_no") + 1, F.col("page_no") + g)).alias("page_no")
-        ).distinct()
-        covered = lab.join(near, ["input_id", "label", "page_no"], "left_semi")
-        opens = lab.join(covered, ["input_id", "label", "page_no"], "left_anti")
-    else:
-        opens = lab
-    opens = opens.join(firsts, ["input_id", "label"]).where(F.col("page_no") > F.col("_first"))
-    first_cut = opens.groupBy("input_id", "label").agg(F.min("page_no").alias("_cut"))
-    top = lab.groupBy("input_id").agg(F.max("label").alias("_max"))
-    # new labels in ascending old-label order, numbered without a window over the input
-    ranked = number_rows(first_cut, "input_id", ["label"], out="_rank").join(top, "input_id")
-    ranked = ranked.select("input_id", "label", "_cut", (F.col("_max") + F.col("_rank") + 1).alias("_new"))
-    return lab.join(ranked, ["input_id", "label"], "left").select(
-        "input_id",
-        "page_no",
-        F.when(F.col("_cut").isNotNull() & (F.col("page_no") >= F.col("_cut")), F.col("_new")).otherwise(F.col("label")).cast("int").alias("label"),
+    lab = labels.select("input_id", "page_no", "label", F.floor(F.col("page_no") / STRIP_PAGES).alias("_strip"))
+    before = F.lag("page_no").over(Window.partitionBy("input_id", "label", "_strip").orderBy("page_no"))
+    paged = lab.withColumn("_wide", F.col("page_no") - before > g)
+    strips = paged.groupBy("input_id", "label", "_strip").agg(
+        F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.min(F.when(F.col("_wide"), F.col("page_no"))).alias("cut")
     )
+    previous = F.lag("last").over(Window.partitionBy("input_id", "label").orderBy("_strip"))
+    cuts = strips.withColumn("at", F.when(F.col("first") - previous > g, F.col("first")).otherwise(F.col("cut")))
+    # one row per cluster: written once, as numbering reads it twice
+    clusters = cut_lineage(cuts.groupBy("input_id", "label").agg(F.min("at").alias("_cut")))
+    top = clusters.groupBy("input_id").agg(F.max("label").alias("_max"))
+    ranked = number_rows(clusters.where(F.col("_cut").isNotNull()), "input_id", ["label"], out="_rank").join(top, "input_id")
+    ranked = ranked.select("input_id", "label", "_cut", (F.col("_max") + F.col("_rank") + 1).alias("_new"))
+    later = F.col("_cut").isNotNull() & (F.col("page_no") >= F.col("_cut"))
+    return lab.join(ranked, ["input_id", "label"], "left").select("input_id", "page_no", F.when(later, F.col("_new")).otherwise(F.col("label")).cast("int").alias("label"))

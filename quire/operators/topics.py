@@ -43,7 +43,7 @@ def assign_topics(docs: DataFrame, doc_text: DataFrame, strategy: str = "first_p
     """Replace the default ``Cluster n`` name by the topic of the chosen text; documents the
     namer gives nothing for keep their default name. Unknown strategies are rejected up front."""
     if strategy not in STRATEGIES:
-        raise ValueError(f"Unknown strategy: {strategy}")
+        raise ValueError(f"no such topic strategy: {strategy!r}; there are {STRATEGIES}")
     chosen = first_page_text(doc_text) if strategy == "first_page" else sample_pages(doc_text).drop("n_sampled")
     named = namer(chosen)
     return docs.join(named, ["input_id", "document_no"], "left").withColumn(

@@ -17,6 +17,8 @@ from pyspark.sql.functions import pandas_udf
 from ..constants import HASH_CELLS
 from ..functions.text import explode_words
 
+SALTS = 8
+
 
 def word_cells(texts: DataFrame, keys: list[str], text: str = "text", cells: int = HASH_CELLS) -> DataFrame:
     """Sparse counts ``(keys..., cell, n)`` of the hashed words of every text (whole texts)."""
@@ -67,17 +69,32 @@ def text_vectors(texts: DataFrame, keys: list[str] | None = None, text: str = "t
     return texts.join(p, keys, "left").withColumn(out, _densify(cells)(F.col("_cells"), F.col("_norm"))).drop("_cells", "_norm")
 
 
-def embed_missing(pages: DataFrame, store: DataFrame | None, text: str = "text", cells: int = HASH_CELLS) -> tuple[DataFrame, DataFrame]:
-    """Vectors for ``pages`` reusing a store keyed by text hash.
+NO_TEXT = "null"  # the hash column's value of a page without text; its vector is the zero vector
+
+
+def _hashed(pages: DataFrame, text: str) -> DataFrame:
+    return pages.select("input_id", "page_no", F.coalesce(F.md5(F.col(text)), F.lit(NO_TEXT)).alias("text_hash"), F.col(text).alias("text"))
+
+
+def embed_missing(pages: DataFrame, store: str, text: str = "text", cells: int = HASH_CELLS, vectoriser=None, name: str = "hashed") -> DataFrame:
+    """Vectors ``(input_id, page_no, text_hash, embedding)`` of ``pages`` from a store, a Parquet table
+    ``(text_hash, embedding)`` under ``store``, partitioned by the vectoriser's name.
 
-    Returns (vectors per page ``(input_id, page_no, text_hash, embedding)``, new store rows).
-    Only texts whose hash is absent from the store are vectorised (``left_anti``); duplicate
-    texts are vectorised once.
+    Texts whose hash the store lacks are vectorised once and appended to it; then all pages read
+    their vector from it. A page without text keeps its row, with the vector of an empty text. The join is cut by hash and, as many
+    pages may share a text, by a salt of the page number.
     """
-    keyed = pages.select("input_id", "page_no", F.md5(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    distinct_texts = keyed.groupBy("text_hash").agg(F.min("text").alias("text"))
-    if store is not None:
-        distinct_texts = distinct_texts.join(store.select("text_hash"), "text_hash", "left_anti")
-    fresh = text_vectors(distinct_texts, ["text_hash"], "text", cells).select("text_hash", "embedding")
-    all_vecs = fresh if store is None else store.select("text_hash", "embedding").unionByName(fresh)
-    return keyed.join(all_vecs, "text_hash").select("input_id", "page_no", "text_hash", "embedding"), fresh
+    spark = pages.sparkSession
+    folder = f"{store.rstrip('/')}/vectoriser={name}"
+    schema = "text_hash string, embedding array<double>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)  # a first run finds an empty store
+    have = spark.read.schema(schema).parquet(folder)
+    keyed = _hashed(pages, text)
+    texts = keyed.groupBy("text_hash").agg(F.coalesce(F.first("text", ignorenulls=True), F.lit("")).alias("text"))
+    fresh = texts.join(have.select("text_hash"), "text_hash", "left_anti")
+    vectors = (vectoriser or (lambda t: text_vectors(t, ["text_hash"], "text", cells)))(fresh)
+    vectors.select("text_hash", "embedding").write.mode("append").parquet(folder)
+    salt = F.pmod(F.col("page_no"), F.lit(SALTS)).cast("int")
+    once = spark.read.schema(schema).parquet(folder).dropDuplicates(["text_hash"])  # a retried append may repeat a row
+    spread = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.withColumn("_salt", salt).join(spread, ["text_hash", "_salt"]).select("input_id", "page_no", "text_hash", "embedding")

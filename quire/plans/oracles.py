@@ -9,6 +9,9 @@ from __future__ import annotations
 from ..constants import DEFAULT_ALPHA, DEFAULT_THRESHOLD
 
 
+LEVELS = [x / 10.0 for x in range(1, 51)]
+
+
 def _d(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
@@ -60,30 +63,6 @@ def cluster_sql(pages_cte: str, src: str, alpha: float, threshold: float, linkag
     return f"WITH RECURSIVE {pages_cte},\n{cluster_ctes(src, alpha, threshold, linkage, vec)}\nSELECT input_id, page_no, label FROM labels"
 
 
-def merge_heights_sql(pages_cte: str, src: str, alpha: float, linkage: str) -> str:
-    """Heights of the full merge sequence (no threshold): one row per (input, step)."""
-    agg = {"average": "avg", "complete": "max", "single": "min"}[linkage]
-    return f"""WITH RECURSIVE {pages_cte},
-{_pairs_cte(alpha, src)},
-steps(step, input_id, page_no, cl, h) AS (
-  SELECT 0, input_id, page_no, page_no, CAST(NULL AS DOUBLE) FROM {src}
-  UNION ALL
-  SELECT s.step + 1, s.input_id, s.page_no, CASE WHEN s.cl = m.cb THEN m.ca ELSE s.cl END, m.v
-  FROM steps s JOIN (
-    SELECT input_id, arg_min(ca, k) AS ca, arg_min(cb, k) AS cb, min(v) AS v FROM (
-      SELECT b.input_id, least(x.cl, y.cl) AS ca, greatest(x.cl, y.cl) AS cb,
-             round({agg}(b.d), 9) AS v, (round({agg}(b.d), 9), least(x.cl, y.cl), greatest(x.cl, y.cl)) AS k
-      FROM base b
-      JOIN steps x ON x.input_id = b.input_id AND x.page_no = b.i
-      JOIN steps y ON y.input_id = b.input_id AND y.page_no = b.j
-      WHERE x.cl <> y.cl
-      GROUP BY b.input_id, least(x.cl, y.cl), greatest(x.cl, y.cl)
-    ) GROUP BY input_id
-  ) m ON s.input_id = m.input_id
-),
-heights AS (SELECT DISTINCT input_id, step, h FROM steps WHERE step > 0)"""
-
-
 def registry() -> dict[str, str]:
     a = DEFAULT_ALPHA
     o: dict[str, str] = {}
@@ -130,14 +109,8 @@ FROM f1 a JOIN f1 b ON a.input_id = b.input_id GROUP BY 1, 2, 3, 4"""
     o["cluster_single"] = cluster_sql(F1, "f1", 0.85, 1.36, "single")
     o["cluster_rounds"] = o["cluster_average"]
     o["cluster_components"] = o["cluster_single"]
-    levels = ", ".join(f"({x / 10.0!r})" for x in range(1, 51))
     o.update(registry2())
-    o["threshold_sweep"] = merge_heights_sql(F1, "f1", a, "average") + f""",
-levels(t) AS (VALUES {levels}),
-sizes AS (SELECT input_id, count(*) AS n FROM f1 GROUP BY input_id)
-SELECT z.input_id, CAST(l.t AS DOUBLE) AS threshold,
-       CAST(z.n - (SELECT count(*) FROM heights h WHERE h.input_id = z.input_id AND h.h < l.t) AS INTEGER) AS clusters
-FROM sizes z CROSS JOIN levels l"""
+    o["threshold_sweep"] = f"WITH RECURSIVE {F1},\n{grid_ctes('f1', [a], LEVELS, ['average'])}\nSELECT input_id, threshold, page_no, label FROM glabels"
     return o
 
 
@@ -290,9 +263,7 @@ SELECT input_id, page_no, page_id,
        trim(regexp_replace(regexp_replace(regexp_replace(html,
             '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text
 FROM f4"""
-    o["file_scan"] = """SELECT page_id, path FROM (
-  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-WHERE suffix(path, '.pdf') OR suffix(path, '.jpg') OR suffix(path, '.png')"""
+    o["file_scan"] = "SELECT page_id, url FROM pages"
     o["page_explode"] = f"WITH {F3} SELECT input_id, page_no, page_name, n_lines, md5(text) AS text_md5 FROM f3"
     o["name_parts"] = f"""WITH {F3}
 SELECT input_id, page_no, page_name,
@@ -306,8 +277,8 @@ req AS (SELECT CAST(doc_id AS VARCHAR) AS input_id,
         FROM documents)
 SELECT r.input_id, r.page_no FROM req r
 WHERE NOT EXISTS (SELECT 1 FROM f3 p WHERE p.input_id = r.input_id AND p.page_no = r.page_no)"""
-    o["missing_inputs"] = """SELECT DISTINCT CAST(l.doc_id AS VARCHAR) AS input_id FROM labels l
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)"""
+    o["missing_inputs"] = """SELECT DISTINCT CAST(d.doc_id AS VARCHAR) AS input_id FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id)"""
     fold = f"""WITH RECURSIVE {F2},
 fold(input_id, page_no, s, label) AS (
   SELECT input_id, page_no, embedding, 0 FROM f2v WHERE page_no = 0
@@ -350,7 +321,7 @@ SELECT input_id, document_no, md5(input_id || ':' || CAST(page_start AS VARCHAR)
 docs AS (SELECT input_id, label, CAST(min(page_no) AS INTEGER) AS page_start FROM labels GROUP BY 1, 2)
 SELECT input_id, CAST(row_number() OVER (PARTITION BY input_id ORDER BY page_start) - 1 AS INTEGER) AS document_no, page_start FROM docs"""
     o["label_pages"] = f1_complete + "\nSELECT l.input_id, l.page_no, l.label, f.gold FROM labels l JOIN f1 f USING (input_id, page_no)"
-    o["document_text"] = f2_docs + "\nSELECT input_id, document_no, page_no, CAST(length(text) AS INTEGER) AS n_chars FROM doc_text"
+    o["document_text"] = f2_docs + "\nSELECT input_id, document_no, page_no, md5(text) AS text_md5 FROM doc_text"
     o["first_page_text"] = f2_docs + "\nSELECT input_id, document_no, md5(text) AS text_md5 FROM first_text"
     o["sample_pages"] = f2_docs + """,
 smp AS (SELECT *, row_number() OVER (PARTITION BY input_id, document_no
@@ -369,15 +340,15 @@ SELECT input_id, document_no, CAST(length(string_agg(text, chr(10) ORDER BY page
 names AS (SELECT input_id, document_no, printf('document_%d_%s', document_no, topic_name) AS name FROM named)
 SELECT input_id, name, CAST(row_number() OVER (PARTITION BY input_id ORDER BY name, document_no) - 1 AS INTEGER) AS position FROM names"""
     o["split_summary"] = f2_docs + f""",\n{TOPICS}
-SELECT input_id, CAST(count(*) AS INTEGER) AS documents, CAST(sum(n_pages) AS BIGINT) AS pages, max(n_pages) AS largest
-FROM named GROUP BY input_id"""
-    levels = [x / 10.0 for x in range(1, 51)]
-    o["split_levels"] = f"WITH RECURSIVE {F2},\n{grid_ctes('f2v', [a], levels, ['average'])}" + """
-SELECT input_id, threshold, CAST(count(DISTINCT label) AS INTEGER) AS documents FROM glabels GROUP BY input_id, threshold"""
+SELECT input_id, document_no, printf('document_%d_%s', document_no, topic_name) AS name, page_start || '-' || page_end AS pages_from_to,
+       CAST(count(*) OVER (PARTITION BY input_id) AS INTEGER) AS documents, CAST(sum(n_pages) OVER (PARTITION BY input_id) AS BIGINT) AS pages
+FROM named"""
+    o["split_levels"] = f"WITH RECURSIVE {F2},\n{grid_ctes('f2v', [a], LEVELS, ['average'])}" + """
+SELECT input_id, threshold, page_no, label FROM glabels"""
     o["gold_labels"] = f"""WITH {F1},
-ranges AS (SELECT input_id, gold, min(page_no) AS page_start, max(page_no) AS page_end FROM f1 GROUP BY 1, 2)
-SELECT p.input_id, p.page_no, CAST(coalesce(r.gold, 0) AS INTEGER) AS gold
-FROM f1 p LEFT JOIN ranges r ON r.input_id = p.input_id AND p.page_no BETWEEN r.page_start AND r.page_end"""
+ranges AS (SELECT input_id, gold, min(page_no) AS page_start, max(page_no) + 2 AS page_end FROM f1 GROUP BY 1, 2 HAVING gold <> 2)
+SELECT p.input_id, p.page_no, CAST(coalesce(max(r.gold), 0) AS INTEGER) AS gold
+FROM f1 p LEFT JOIN ranges r ON r.input_id = p.input_id AND p.page_no BETWEEN r.page_start AND r.page_end GROUP BY 1, 2"""
     f2_avg = f"WITH RECURSIVE {F2},\n{cluster_ctes('f2v', a, t, 'average')}"
     o["contingency"] = f2_avg + f",\n{scores_ctes('labels', 'f2v', ['input_id'])}\nSELECT input_id, gold, label, CAST(n AS BIGINT) AS n FROM cont"
     o["adjusted_rand"] = f2_avg + f",\n{scores_ctes('labels', 'f2v', ['input_id'])}\nSELECT input_id, round(ari, 6) AS ari FROM scored"
@@ -407,10 +378,9 @@ SELECT input_id, document_no, md5(input_id || ':' || CAST(page_start AS VARCHAR)
     o["stream_boundaries"] = o["boundary_detection"]
     o["text_scan"] = f"WITH {F3} SELECT input_id, page_no, md5(text) AS text_md5 FROM f3"
     o["write_documents"] = f2_docs + f""",\n{TOPICS}
-SELECT n.input_id, n.document_no, printf('document_%d_%s', n.document_no, n.topic_name) AS name,
-       CAST(length(b.body) AS INTEGER) AS n_chars
-FROM named n JOIN (SELECT input_id, document_no, string_agg(text, chr(10) ORDER BY page_no) AS body FROM doc_text GROUP BY 1, 2) b
-USING (input_id, document_no)"""
-    o["stream_intake"] = f"WITH RECURSIVE {F1},\n{cluster_ctes('f1', a, t, 'average')},\n{docs_ctes(pages='f1')}" + """
-SELECT input_id, document_no, page_start, page_end, n_pages FROM docs"""
+SELECT n.input_id, n.document_no, b.page_no, printf('document_%d_%s', n.document_no, n.topic_name) AS name, md5(b.text) AS text_md5
+FROM named n JOIN doc_text b USING (input_id, document_no)"""
+    o["stream_intake"] = f2_docs + f""",\n{TOPICS}
+SELECT input_id, document_no, md5(input_id || ':' || CAST(page_start AS VARCHAR)) AS document_id, topic_name,
+       page_start, page_end, n_pages, n_pages AS n_written FROM named"""
     return o

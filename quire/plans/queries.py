@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_ALPHA, DEFAULT_BOUNDARY_THRESHOLD, DEFAULT_THRESHOLD
+from ..constants import DEFAULT_ALPHA, DEFAULT_BOUNDARY_THRESHOLD, DEFAULT_THRESHOLD, SPLIT_LEVEL_MAX, SPLIT_LEVEL_MIN, SPLIT_LEVEL_STEP
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster, pairs
@@ -23,8 +23,10 @@ from ..operators.vectorize import embed_missing, sparse_vectors, text_vectors
 from ..sinks import outputs as O
 from ..sources import pages as SP
 from ..sources import tables
+from .split import split_level
 
 OUT = 6  # decimals of float outputs
+SPLIT_LEVELS = [round(SPLIT_LEVEL_MIN + k * SPLIT_LEVEL_STEP, 1) for k in range(round((SPLIT_LEVEL_MAX - SPLIT_LEVEL_MIN) / SPLIT_LEVEL_STEP) + 1)]
 
 
 def _r(c, name: str):
@@ -86,13 +88,8 @@ def q_distance_matrix(spark, sf):
 
 
 def q_distance_heatmap(spark, sf):
-    p = tables.vector_pages(spark, sf)
-    out = None
-    for a in (1.0, 0.9):
-        m = pairs.distance_matrix(pairs.page_pairs(p, a, decimals=None), p)
-        h = pairs.distance_heatmap(m, 10).withColumn("alpha", F.lit(a))
-        out = h if out is None else out.unionByName(h)
-    return out.select(
+    m = pairs.weighted_matrices(tables.vector_pages(spark, sf), (1.0, 0.9))
+    return pairs.distance_heatmap(m, 10, ("input_id", "alpha")).select(
         "input_id", "alpha", "bi", "bj", _r("avg_dist", "avg_dist"), _r("min_dist", "min_dist"), _r("max_dist", "max_dist"), "cells"
     )
 
@@ -125,25 +122,16 @@ def q_cluster_components(spark, sf):
 
 
 def q_threshold_sweep(spark, sf):
-    """A4: average-linkage labels at every split level 0.1..5.0 from one merge sequence per input."""
-    levels = [round(x / 10.0, 1) for x in range(1, 51)]
-    s = cluster.threshold_sweep(tables.vector_pages(spark, sf), DEFAULT_ALPHA, levels, "average")
-    return s.groupBy("input_id", "threshold").agg(F.countDistinct("label").cast("int").alias("clusters"))
+    """A4: average-linkage labels at every split level from one merge sequence per input."""
+    return cluster.threshold_sweep(tables.vector_pages(spark, sf), DEFAULT_ALPHA, SPLIT_LEVELS, "average")
 
 
 # ---------------------------------------------------------------- text pages (F2): P3-P5, S4
-_VECTORS: dict = {}
-
-
 def _f2_vectors(spark, sf):
-    """F2 pages with their hashed-term vectors, computed once per session and stored (the
-    vector store of S4: later queries read it instead of re-vectorising)."""
+    """F2 pages with their hashed-term vectors, written once for the branches of a query."""
     from ..session import cut_lineage
 
-    k = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"))
-    if k not in _VECTORS:
-        _VECTORS[k] = cut_lineage(text_vectors(tables.text_pages(spark, sf)).select("input_id", "page_no", "embedding"))
-    return _VECTORS[k]
+    return cut_lineage(text_vectors(tables.text_pages(spark, sf)).select("input_id", "page_no", "embedding"))
 
 
 def q_text_vectors(spark, sf):
@@ -152,8 +140,10 @@ def q_text_vectors(spark, sf):
 
 
 def q_embed_missing(spark, sf):
-    """Vectors computed once per distinct text (hash-keyed store), reused for copies."""
-    vecs, _ = embed_missing(tables.text_pages(spark, sf), None)
+    """A store that holds every second page's text already; the others are vectorised and appended, and all pages read from it."""
+    pages, store = tables.text_pages(spark, sf), _scratch(spark, "vectors")
+    embed_missing(pages.where("page_no % 2 = 0"), store)
+    vecs = embed_missing(pages, store)
     cells = vecs.select("input_id", "page_no", "text_hash", F.posexplode("embedding").alias("cell", "value"))
     return cells.where(F.col("value") != 0).select("input_id", "page_no", "text_hash", F.col("cell").cast("int").alias("cell"), _r("value", "value"))
 
@@ -173,10 +163,14 @@ def q_page_text(spark, sf):
 
 
 def q_file_scan(spark, sf):
-    """S2's suffix predicate over page URLs (path part, case-sensitive)."""
+    """Page addresses in files of two kinds in one folder; the scan takes those with the accepted suffix only."""
+    folder = _scratch(spark, "files")
     p = tables.table(spark, sf, "pages").select("page_id", "url")
-    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return p.where(T.has_page_suffix(path)).select("page_id", path.alias("path"))
+    p.select(F.concat_ws("\t", F.col("page_id").cast("string"), "url")).write.text(folder)
+    p.write.mode("append").json(folder)
+    lines = SP.scan_page_files(spark, folder, (".txt",)).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line != ''")
+    cells = F.split("line", "\t")
+    return lines.select(cells[0].cast("long").alias("page_id"), cells[1].alias("url"))
 
 
 # ---------------------------------------------------------------- S1, P2, J6, S9
@@ -206,9 +200,9 @@ def q_missing_pages(spark, sf):
 
 
 def q_missing_inputs(spark, sf):
-    """Labelled documents that are not in the document table."""
-    req = tables.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("input_id"))
-    have = tables.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("input_id"))
+    """Documents that have no label."""
+    req = tables.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("input_id"))
+    have = tables.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("input_id"))
     return SP.missing_inputs(req, have)
 
 
@@ -266,7 +260,7 @@ def q_label_pages(spark, sf):
 
 def q_document_text(spark, sf):
     _, _, doc_text = _f2_docs(spark, sf)
-    return doc_text.select("input_id", "document_no", "page_no", F.length("text").cast("int").alias("n_chars"))
+    return doc_text.select("input_id", "document_no", "page_no", F.md5("text").alias("text_md5"))
 
 
 def q_first_page_text(spark, sf):
@@ -317,16 +311,16 @@ def q_split_summary(spark, sf):
 
 
 def q_split_levels(spark, sf):
-    """Documents per input at every split level 0.1..5.0 (average linkage, text vectors)."""
-    levels = [round(x / 10.0, 1) for x in range(1, 51)]
-    s = cluster.threshold_sweep(_f2_vectors(spark, sf), DEFAULT_ALPHA, levels, "average")
-    return s.groupBy("input_id", "threshold").agg(F.countDistinct("label").cast("int").alias("documents"))
+    """Page labels at every level of the user's scale (average linkage, text vectors)."""
+    return cluster.threshold_sweep(_f2_vectors(spark, sf), DEFAULT_ALPHA, [split_level(x) for x in SPLIT_LEVELS], "average")
 
 
 # ---------------------------------------------------------------- evaluation
 def q_gold_labels(spark, sf):
+    """Each label's range reaches two pages into the next one's, and label 2 has no range."""
     p = tables.vector_pages(spark, sf)
-    return E.gold_from_ranges(p, E.runs_as_ranges(p))
+    ranges = E.runs_as_ranges(p).where("gold != 2").withColumn("page_end", F.col("page_end") + 2)
+    return E.gold_from_ranges(p, ranges)
 
 
 def _f2_gold(spark, sf):
@@ -394,56 +388,37 @@ def _scratch(spark, name: str) -> str:
 
 
 def q_text_scan(spark, sf):
-    """S3: F3 pages written as one ``{stem}_page_{n}.txt`` file each, scanned back whole."""
-    import os
-
-    import pandas as pd
-
+    """S3: F3 pages staged as a text file each, scanned back whole."""
     root = _scratch(spark, "texts")
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-
-    def write_files(batches):
-        os.makedirs(root, exist_ok=True)
-        for pdf in batches:
-            for name, text in zip(pdf["page_name"], pdf["text"]):
-                with open(os.path.join(root, name[:-4] + ".txt"), "w", encoding="utf-8") as fh:
-                    fh.write(text)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    if not root.startswith("/") and "://" in root:
-        raise RuntimeError("text_scan staging writes plain files; it needs a local or mounted checkpoint folder")
-    _f3_pages(spark, sf).select("page_name", "text").mapInPandas(write_files, "n long").collect()
+    SP.stage_page_texts(_f3_pages(spark, sf), root)
     got = SP.scan_page_texts(spark, root)
     return got.select(F.regexp_replace("input_stem", "^doc_", "").alias("input_id"), "page_no", F.md5("text").alias("text_md5"))
 
 
 def q_write_documents(spark, sf):
-    """Every F2 document body written under input_id=/document_no= and read back."""
+    """S5 + S6: F2 documents written over those of a first run that made every page a document, and read back."""
     out = _scratch(spark, "documents")
-    named = _named_docs(spark, sf)
-    _, _, doc_text = _f2_docs(spark, sf)
-    O.write_documents(doc_text, named, out)
-    back = spark.read.schema("page_no int, text string, name string, input_id string, document_no int").parquet(out)
-    # body length as the pages joined by line breaks would have it
-    return back.groupBy("input_id", "document_no", "name").agg(
-        (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).cast("int").alias("n_chars")
-    )
+    pages = tables.text_pages(spark, sf)
+    each = pages.select("input_id", F.col("page_no").alias("document_no"), "page_no", "text")
+    O.write_documents(each, each.select("input_id", "document_no", F.lit("page").alias("topic_name")), out)
+    _, docs, doc_text = _f2_docs(spark, sf)
+    O.write_documents(doc_text, TP.assign_topics(docs, doc_text), out)
+    return O.read_documents(spark, out).select("input_id", "document_no", "page_no", "name", F.md5("text").alias("text_md5"))
 
 
 def q_stream_intake(spark, sf):
-    """F1 inputs arrive as Parquet files (whole inputs per file); each micro-batch is
-    split by the batch plan and written with per-input dynamic overwrite."""
+    """F2 pages arrive as text in several files, each input's pages in all of them; every micro-batch runs the whole
+    split of the inputs it touches again, from text to outputs."""
     from ..streaming.intake import start_intake
 
     intake, out, ck = _scratch(spark, "intake"), _scratch(spark, "intake-out"), _scratch(spark, "intake-ck")
-    pages = tables.vector_pages(spark, sf).select("input_id", "page_no", "embedding")
-    pages.repartition(4, "input_id").write.parquet(intake)
-    q = start_intake(spark, intake, pages.schema, out, ck, max_files_per_trigger=1)
-    q.awaitTermination()
+    pages = tables.text_pages(spark, sf).select("input_id", "page_no", "text")
+    pages.repartition(2, "page_no").write.parquet(intake)
+    start_intake(spark, intake, pages.schema, out, ck, max_files_per_trigger=1).awaitTermination()
     schema = "document_no int, document_id string, topic_name string, page_start int, page_end int, n_pages int, input_id string"
-    back = spark.read.schema(schema).parquet(out)
-    return back.select("input_id", F.col("document_no").cast("int").alias("document_no"), "page_start", "page_end", "n_pages")
+    docs = spark.read.schema(schema).parquet(f"{out}/documents")
+    bodies = O.read_documents(spark, f"{out}/outputs").groupBy("input_id", "document_no").agg(F.count("*").cast("int").alias("n_written"))
+    return docs.join(bodies, ["input_id", "document_no"]).select("input_id", "document_no", "document_id", "topic_name", "page_start", "page_end", "n_pages", "n_written")
 
 
 def q_stream_boundaries(spark, sf):

@@ -1,4 +1,4 @@
-"""Sinks: S5 reset of stored results, S6 one output per document, S7 output manifest."""
+"""Sinks: S5 reset of stored results, S6 outputs by document, S7 output manifest."""
 
 from __future__ import annotations
 
@@ -19,42 +19,50 @@ def output_names(named_docs: DataFrame) -> DataFrame:
     return number_rows(names, "input_id", ["name", "document_no"], out="position")
 
 
-def write_documents(doc_pages: DataFrame, named_docs: DataFrame, path: str, max_records_per_file: int = 0) -> None:
-    """Write every document under ``input_id=/document_no=`` partitions, one row per page
-    ``(page_no, text, name)`` sorted by page inside the files - a document of any size is
-    written by its pages, never concatenated into one value.
+OUTPUT_SCHEMA = "document_no int, page_no int, text string, name string, input_id string"
 
-    Dynamic partition overwrite replaces only the partitions written in this run; ``reset_outputs``
-    clears re-run inputs first (S5). Writing is idempotent, so a retried task or a re-run gives
-    the same files.
-    """
-    out = doc_pages.join(named_docs.select("input_id", "document_no", "topic_name"), ["input_id", "document_no"])
-    out = out.select("input_id", "document_no", "page_no", "text", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"))
+
+def _write(rows: DataFrame, path: str, max_records_per_file: int) -> None:
     w = (
-        out.repartition("input_id", "document_no")
+        rows.repartitionByRange("input_id", "document_no", "page_no")
         .sortWithinPartitions("input_id", "document_no", "page_no")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
     )
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
-    w.partitionBy("input_id", "document_no").parquet(path)
+    w.partitionBy("input_id").parquet(path)
+
+
+def _emptied(inputs: DataFrame) -> DataFrame:
+    """A row per input that holds no page: written alone it leaves an input without documents."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("document_no", "int"), ("page_no", "int"), ("text", "string"), ("name", "string"))]
+    return inputs.select("input_id").distinct().select(*none, "input_id")
 
 
-def reset_outputs(spark, path: str, inputs: DataFrame) -> int:
-    """Delete the stored outputs of the given inputs only; other inputs' outputs stay.
+def write_documents(doc_pages: DataFrame, named_docs: DataFrame, path: str, max_records_per_file: int = 0, inputs: DataFrame | None = None) -> None:
+    """S5 + S6: write every document under its ``input_id=`` partition, one row per page
+    ``(document_no, page_no, text, name)`` sorted by document and page. A document of any size is written by its
+    pages, never concatenated into one value, and rows are dealt by ranges of (input, document, page), so a large
+    document is written by several tasks.
 
-    Needed before a re-run because a re-run may produce fewer documents than the last one, and
-    dynamic overwrite only replaces partitions it writes. Returns the number of inputs cleared.
-    The input list streams to the driver one row at a time (it names inputs, not their pages).
+    Dynamic partition overwrite replaces an input's outputs as a whole: those of an earlier run go, also if it had more documents.
+    ``inputs``: further inputs whose outputs are to be replaced even if they have no document now. Writing is
+    idempotent, so a retried task or a re-run gives the same outputs. Read them with ``read_documents``.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    cleared = 0
-    for row in inputs.select("input_id").distinct().toLocalIterator():
-        part = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + f"/input_id={row['input_id']}")
-        if fs.exists(part):
-            fs.delete(part, True)
-            cleared += 1
-    return cleared
+    out = doc_pages.join(named_docs.select("input_id", "document_no", "topic_name"), ["input_id", "document_no"])
+    out = out.select("document_no", "page_no", "text", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"), "input_id")
+    if inputs is not None:
+        out = out.unionByName(_emptied(inputs))
+    _write(out, path, max_records_per_file)
+
+
+def read_documents(spark, path: str) -> DataFrame:
+    """The pages of all stored documents."""
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(path).where(F.col("document_no").isNotNull())
+
+
+def reset_outputs(path: str, inputs: DataFrame) -> None:
+    """Drop the stored outputs of the given inputs; other inputs' outputs stay. Each partition is overwritten by
+    one row without a page, so Spark's own names of partitions are used, whatever characters an id has."""
+    _write(_emptied(inputs), path, 0)

@@ -16,41 +16,11 @@ VECTORS_PER_INPUT = 50
 LINES_PER_PAGE = 3
 
 
-_VIEWS: dict = {}
-
-
-def _memo(fn):
-    """One definition of a page view per (session, folder): its numbering is written once and
-    every query of the session reuses it."""
-
-    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        k = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-        if k not in _VIEWS:
-            _VIEWS[k] = fn(spark, sf_dir)
-        return _VIEWS[k]
-
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    return wrapper
-
-
-# a row id per given table, used to spread a scan that arrives in too few splits
-_ROW_IDS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id", "labels": "doc_id"}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, read where it lies; splits are Spark's."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A file with one row group is one split; when the scan has fewer splits
-    than the cluster has cores it is hash-spread on its row id, so per-row work (text
-    splitting, hashing) runs on every core. Large scans already have enough splits and are
-    left alone (no extra shuffle)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _ROW_IDS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, _ROW_IDS[name])
-    return df
-
-
-@_memo
 def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` cut into inputs of 50 vectors, pages ordered by (label, vec_id).
 
@@ -65,7 +35,6 @@ def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(e, "input_id", ["gold", "vec_id"])
 
 
-@_memo
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` bundled per source, pages ordered by (lang, doc_id), gold = rank of lang.
 
@@ -87,19 +56,9 @@ def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """web ``pages`` bundled per host, ordered by page_id. Columns: input_id, page_no, page_id, url, html."""
     p = table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1).alias("input_id"), "page_id", "url", "html"
     )
     return number_rows(p, "input_id", ["page_id"])
-
-
-@_memo
-def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations``, one input per conversation, page = rank of turn."""
-    c = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("input_id"), "turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
-    return number_rows(c, "input_id", ["turn"])

@@ -1,14 +1,18 @@
-"""R1 / S8 intake of arriving inputs: every page file that lands in the intake folder is split
-into documents by the batch plan inside ``foreachBatch``; outputs are written with dynamic
-partition overwrite per input, so a replayed micro-batch (after a failure) or a re-delivered
-file rewrites the same partitions instead of adding new ones.
+"""R1 / S8 intake of arriving inputs. Page files land in the intake folder; each micro-batch adds its pages
+to a page table and runs the whole split again for the inputs it touched: text, vectors, labels, topics and
+outputs. So an input may come in any number of files, and late pages join their input's documents. The page table
+holds each input's pages, of which the latest row of a (input, page) counts, and outputs replace those of their input, so a
+replayed micro-batch or a re-delivered file changes nothing.
+
+Pages without an input or a page number go to the reject table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_ALPHA, DEFAULT_LINKAGE, DEFAULT_THRESHOLD
+PARTS = ("pages", "rejected", "documents", "outputs")
 
 
 def start_intake(
@@ -17,23 +21,38 @@ def start_intake(
     schema,
     out_dir: str,
     checkpoint: str,
-    alpha: float = DEFAULT_ALPHA,
-    threshold: float = DEFAULT_THRESHOLD,
-    linkage: str = DEFAULT_LINKAGE,
     max_files_per_trigger: int = 16,
     available_now: bool = True,
+    **options,
 ):
-    """Start the intake stream; page rows ``(input_id, page_no, embedding, ...)`` in Parquet."""
-    from ..plans.split import split_pages
+    """Start the intake stream; page rows ``(input_id, page_no, text and / or embedding, ...)`` in Parquet. Under ``out_dir``:
+    ``pages``, ``rejected``, ``documents`` (document rows per input) and ``outputs`` (as ``write_documents``).
+    ``options``: as of ``split_with_pages``."""
+    from ..plans.split import named_pages, split_with_pages
+    from ..session import cut_lineage
+    from ..sinks.outputs import write_documents
+
+    pages_dir, rejected_dir, documents_dir, outputs_dir = (f"{out_dir.rstrip('/')}/{p}" for p in PARTS)
+    columns = [f.name for f in schema.fields]
+    stored = "epoch long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        docs = split_pages(batch, alpha=alpha, threshold=threshold, linkage=linkage)
-        (
-            docs.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("input_id")
-            .parquet(out_dir)
-        )
+        session = batch.sparkSession
+        good, bad = named_pages(cut_lineage(batch))
+        # an epoch's rows are a partition of their own, which a replay overwrites
+        for rows, folder in ((good, pages_dir), (bad, rejected_dir)):
+            rows.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(folder)
+        touched = good.select("input_id").distinct()
+        if touched.isEmpty():
+            return
+        known = session.read.schema(stored).parquet(pages_dir).join(touched, "input_id", "left_semi")
+        latest = F.row_number().over(Window.partitionBy("input_id", "page_no").orderBy(F.col("epoch").desc(), F.xxhash64(*columns)))
+        pages = cut_lineage(known.withColumn("_nth", latest).where(F.col("_nth") == 1).select(*columns))
+        docs, doc_pages = split_with_pages(pages, **options)
+        docs = cut_lineage(docs)
+        docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("input_id").parquet(documents_dir)
+        if "text" in columns:
+            write_documents(doc_pages, docs, outputs_dir)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(intake_dir)
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.cluster import cluster_grouped, cluster_pages
+from quire.operators.cluster import cluster_grouped, cluster_pages, threshold_sweep
 from quire.operators.merge import blended_matrix, greedy_merges, labels_at
 from quire.operators.pairs import band_width, page_pairs
 from quire.operators.components import single_linkage_components
@@ -51,11 +51,49 @@ def test_grouped_and_rounds_match_numpy(spark, linkage):
         assert rd == exp
 
 
-def test_cluster_pages_routes_large_inputs_to_rounds(spark):
+def _labels(df):
+    return {(r.input_id, r.page_no): r.label for r in df.collect()}
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete", "single"])
+def test_spread_gives_the_labels_of_the_grouped_path(spark, linkage):
     pages = _pages(spark, n_inputs=2, n=16)
-    small = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 2.0, "average").collect()}
-    forced = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 2.0, "average", max_grouped_pages=10).collect()}
-    assert small == forced
+    assert _labels(cluster_pages(pages, 0.85, 1.6, linkage)) == _labels(cluster_pages(pages, 0.85, 1.6, linkage, spread=True))
+
+
+@pytest.mark.parametrize("alpha,t", [(0.85, 2.0), (0.6, 1.7), (1.0, 1.1), (1.2, 1.0)])
+def test_rounds_on_ties(spark, alpha, t):
+    """Few different vectors, so most distances are tied; topics alternate, so clusters overlap in page range and enter the band late."""
+    rng = np.random.default_rng(8)
+    kinds = np.eye(4)[:, :4]
+    rows = [(f"in{k}", p, kinds[(p // (k + 1)) % 3 if p % 7 else rng.integers(4)].tolist()) for k in range(3) for p in range(26)]
+    pages = spark.createDataFrame(rows, "input_id string, page_no int, embedding array<double>")
+    for linkage in ("average", "complete"):
+        assert _labels(cluster_rounds(pages, alpha, t, linkage)) == _expected(pages.collect(), alpha, t, linkage), linkage
+
+
+@pytest.mark.parametrize("linkage", ["average", "single"])
+def test_sweep_by_rounds_equals_merge_sequences(spark, linkage):
+    pages = _pages(spark, n_inputs=2, n=18)
+    ts = [0.3, 0.9, 1.3, 2.0]
+    rows = lambda df: sorted((r.input_id, r.threshold, r.page_no, r.label) for r in df.collect())
+    assert rows(threshold_sweep(pages, 0.85, ts, linkage, spread=True)) == rows(threshold_sweep(pages, 0.85, ts, linkage))
+
+
+def test_only_pairs_in_the_band_are_summed(spark):
+    """A long input at a narrow band: the pair table stays far below all page pairs."""
+    from quire.operators import rounds as R
+
+    pages = _pages(spark, n_inputs=1, n=300)
+    clusters = pages.select("input_id", F.col("page_no").alias("cl"), F.lit(1).cast("long").alias("n"), F.col("page_no").cast("long").alias("pages"))
+    near = R._in_band(clusters, band_width(0.85, 1.5)).collect()
+    assert len(near) == len(set(near)) == sum(min(9, 299 - i) for i in range(300)) and all(r.ca < r.cb for r in near)
+
+
+def test_matrix_blocks_do_not_change_distances():
+    x = np.random.default_rng(0).normal(size=(50, 1536))
+    pages = np.arange(50)
+    assert (blended_matrix(x, pages, 0.85, values=1) == blended_matrix(x, pages, 0.85)).all()
 
 
 def test_band_pruning_is_exact_for_pairs_below_threshold(spark):
@@ -83,10 +121,3 @@ def test_components_equal_single_linkage(spark):
         exp = _expected(rows, alpha, t, "single")
         got = {(r.input_id, r.page_no): r.label for r in single_linkage_components(pages, alpha, t).collect()}
         assert got == exp, (alpha, t)
-
-
-def test_single_linkage_routes_large_inputs_to_components(spark):
-    pages = _pages(spark, n_inputs=2, n=16)
-    small = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 1.4, "single").collect()}
-    forced = {(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 0.85, 1.4, "single", max_grouped_pages=10).collect()}
-    assert small == forced

@@ -1,15 +1,21 @@
 """Sources, sinks and streams: file scans, document writes with reset, intake idempotence,
 online boundaries on shuffled micro-batches equal the batch fold."""
 
+import datetime
 import os
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.segment import boundary_fold
-from quire.sinks.outputs import output_names, reset_outputs, write_documents
-from quire.sources.pages import explode_pages, missing_inputs, scan_page_files, scan_page_texts
+from quire.operators.vectorize import embed_missing, text_vectors
+from quire.plans.split import named_pages, run_split, split_level, split_pages
+from quire.sinks.outputs import output_names, read_documents, reset_outputs, write_documents
+from quire.sources.pages import explode_pages, missing_inputs, scan_page_files, scan_page_texts, stage_page_texts
+from quire.streaming.intake import start_intake
 from quire.streaming.online import STATE_STORE, online_boundaries
 
 
@@ -48,18 +54,151 @@ def test_manifest_sorts_as_strings(spark):
     assert got[:4] == ["document_0_t0", "document_10_t10", "document_11_t11", "document_1_t1"]
 
 
-def test_write_documents_rerun_and_reset(spark, scratch):
+def test_text_scan_keeps_files_without_a_page_number(spark, scratch):
+    with open(os.path.join(scratch, "readme.txt"), "w") as fh:
+        fh.write("x")
+    assert [(r.input_stem, r.page_no, r.text) for r in scan_page_texts(spark, scratch).collect()] == [("readme", None, "x")]
+
+
+def test_staged_texts_come_back(spark, scratch):
+    pages = spark.createDataFrame([("doc_1_page_1.pdf", "a\n"), ("doc_1_page_2.pdf", ""), ("doc_2_page_1.pdf", "b\n\nc")], "page_name string, text string")
+    stage_page_texts(pages, scratch + "/out")
+    got = sorted((r.input_stem, r.page_no, r.text) for r in scan_page_texts(spark, scratch + "/out").collect())
+    assert got == [("doc_1", 0, "a\n"), ("doc_1", 1, ""), ("doc_2", 0, "b\n\nc")]
+
+
+def test_listing_opens_no_file(spark, scratch):
+    for name in ["a.pdf", "b.txt"]:
+        with open(os.path.join(scratch, name), "wb") as fh:
+            fh.write(b"xy")
+    df = scan_page_files(spark, scratch, content=False)
+    assert [(r.name, r.length) for r in df.collect()] == [("a.pdf", 2)] and df.columns == ["path", "name", "length"]
+
+
+def test_explode_pages_without_shuffle(spark):
+    df = spark.createDataFrame([("7", "doc_7", "l1\nl2")], "input_id string, stem string, text string")
+    assert exchanges(explode_pages(df, 3)) == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+DOCS = "input_id string, document_no int, topic_name string"
+BODIES = "input_id string, document_no int, page_no int, text string"
+
+
+def _stored(spark, out):
+    return sorted(((r.input_id, r.document_no, r.page_no, r.text) for r in read_documents(spark, out).collect()), key=str)
+
+
+def test_a_second_run_replaces_an_inputs_documents(spark, scratch):
     out = os.path.join(scratch, "docs")
-    bodies = spark.createDataFrame([("a", 0, 0, "p0"), ("a", 0, 1, "p1"), ("a", 1, 2, "p2"), ("b", 0, 0, "q")], "input_id string, document_no int, page_no int, text string")
-    named = spark.createDataFrame([("a", 0, "x", 0, 1), ("a", 1, "y", 2, 2), ("b", 0, "z", 0, 0)], "input_id string, document_no int, topic_name string, page_start int, page_end int")
+    bodies = spark.createDataFrame([("a", 0, 0, "p0"), ("a", 0, 1, "p1"), ("a", 1, 2, "p2"), ("b", 0, 0, "q")], BODIES)
+    named = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], DOCS)
     write_documents(bodies, named, out)
     write_documents(bodies, named, out)  # a re-run rewrites, never duplicates
-    assert spark.read.parquet(out).count() == 4
-    # input a now has one document: reset its outputs, write again, b stays untouched
-    assert reset_outputs(spark, out, spark.createDataFrame([("a",)], "input_id string")) == 1
-    write_documents(bodies.where("input_id = 'a' AND document_no = 0"), named.where("input_id = 'a' AND document_no = 0"), out)
-    back = spark.read.schema("page_no int, text string, name string, input_id string, document_no int").parquet(out)
-    assert sorted((r.input_id, r.document_no, r.page_no) for r in back.collect()) == [("a", 0, 0), ("a", 0, 1), ("b", 0, 0)]
+    assert len(_stored(spark, out)) == 4
+    few = "input_id = 'a' AND document_no = 0"
+    write_documents(bodies.where(few), named.where(few), out)
+    assert _stored(spark, out) == [("a", 0, 0, "p0"), ("a", 0, 1, "p1"), ("b", 0, 0, "q")]
+
+
+def test_reset_clears_the_named_inputs_only(spark, scratch):
+    out, ids = os.path.join(scratch, "docs"), ["a:b", "c", "zz/../input_id=c", "..", "é %", None]
+    write_documents(spark.createDataFrame([(i, 0, 0, "t") for i in ids[:-1]], BODIES), spark.createDataFrame([(i, 0, "x") for i in ids[:-1]], DOCS), out)
+    for gone in ("a:b", "zz/../input_id=c", "..", None):
+        reset_outputs(out, spark.createDataFrame([(gone,)], "input_id string"))
+    assert [r[0] for r in _stored(spark, out)] == ["c", "é %"]
+    write_documents(spark.createDataFrame([], BODIES), spark.createDataFrame([], DOCS), out, inputs=spark.createDataFrame([("c",)], "input_id string"))
+    assert [r[0] for r in _stored(spark, out)] == ["é %"]
+
+
+def test_vector_store_keeps_pages_and_computes_once(spark, scratch):
+    store, asked = scratch + "/store", []
+    rows = [("a", 0, "x y"), ("a", 1, None), ("b", 0, "x y"), ("b", 1, "")] + [("c", p, "x y") for p in range(20)]
+    pages = spark.createDataFrame(rows, "input_id string, page_no int, text string")
+
+    def vectoriser(texts):
+        asked.append(texts.count())
+        return text_vectors(texts, ["text_hash"])
+
+    first = embed_missing(pages.where("input_id = 'a'"), store, vectoriser=vectoriser)
+    assert first.count() == 2
+    again = embed_missing(pages, store, vectoriser=vectoriser).collect()
+    embed_missing(pages, store, vectoriser=vectoriser)
+    assert asked == [2, 1, 0] and len(again) == len(rows)
+    vectors = {(r.input_id, r.page_no): r.embedding for r in again}
+    assert set(vectors["a", 1]) == set(vectors["b", 1]) == {0.0} and vectors["a", 0] == vectors["c", 7] != vectors["b", 1]
+
+
+def _topics(n, seed=0):
+    words = [["alpha", "beta", "gamma"], ["uno", "dos", "tres"], ["eins", "zwei", "drei"]]
+    return [" ".join(words[(p * 3) // n]) * 3 for p in range(n)]
+
+
+def test_default_boundary_threshold_splits(spark):
+    pages = spark.createDataFrame([("a", p, t) for p, t in enumerate(_topics(12))], "input_id string, page_no int, text string")
+    assert sorted((r.page_start, r.page_end) for r in split_pages(pages, method="boundary").collect()) == [(0, 3), (4, 7), (8, 11)]
+
+
+def test_whole_run_writes_names_and_manifest(spark, scratch):
+    out = scratch + "/run"
+    rows = [("a", p, t) for p, t in enumerate(_topics(12))] + [(None, 0, "no input"), ("b", None, "no page")]
+    pages = spark.createDataFrame(rows, "input_id string, page_no int, text string")
+    namer = lambda texts: texts.select("input_id", "document_no", F.lit("T").alias("topic"))
+    calls = []
+
+    def vectoriser(texts):
+        calls.append(1)
+        return text_vectors(texts)
+
+    run_split(pages, out, method="cluster", threshold=0.05, vectoriser=vectoriser)
+    assert read_documents(spark, out).select("document_no").distinct().count() == 12 and calls == [1]
+    names = [(r.name, r.position) for r in run_split(pages, out, method="boundary", namer=namer).orderBy("position").collect()]
+    assert names == [("document_0_T", 0), ("document_1_T", 1), ("document_2_T", 2)]
+    got = read_documents(spark, out).groupBy("name").count().collect()
+    assert sorted((r["name"], r["count"]) for r in got) == [("document_0_T", 4), ("document_1_T", 4), ("document_2_T", 4)]
+    kept, rejected = named_pages(pages)
+    assert (kept.count(), rejected.count()) == (12, 2)
+
+
+@pytest.mark.parametrize("level", [0.0, 5.1, -1])
+def test_split_level_out_of_range(level):
+    assert split_level(0.1) == 0.1 and split_level(5) == 5.0
+    with pytest.raises(ValueError):
+        split_level(level)
+
+
+def test_intake_joins_pages_that_come_in_several_files(spark, scratch):
+    schema = "input_id string, page_no int, text string"
+    rows = [("a", p, t) for p, t in enumerate(_topics(40))]
+    src = scratch + "/in"
+    for part in (rows[:20], rows[20:] + [(None, 3, "lost")], [("b", 0, "alone")], rows[:20]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    struct = spark.createDataFrame([], schema).schema
+    start_intake(spark, src, struct, scratch + "/out", scratch + "/ck", max_files_per_trigger=1, method="boundary").awaitTermination()
+    docs = spark.read.parquet(scratch + "/out/documents")
+    assert sorted((r.input_id, r.page_start, r.page_end) for r in docs.collect()) == [("a", 0, 13), ("a", 14, 26), ("a", 27, 39), ("b", 0, 0)]
+    assert all(r.topic_name and not r.topic_name.startswith("Cluster") for r in docs.collect())
+    assert len(_stored(spark, scratch + "/out/outputs")) == 41
+    assert spark.read.parquet(scratch + "/out/rejected").count() == 1
+
+
+def test_online_input_with_a_lost_page_closes(spark, scratch):
+    schema = "input_id string, page_no int, embedding array<double>, at timestamp"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    src = scratch + "/src"
+    for rows in ([("a", 0, [1.0, 0.0], at(0)), ("a", 1, [1.0, 0.1], at(1)), ("a", 3, [0.0, 1.0], at(2))], [("b", 0, [1.0, 0.0], at(5000))], [("b", 1, [1.0, 0.0], at(5001))], [("a", 4, [1.0, 0.0], at(5002))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = online_boundaries(stream, 0.4, event_time="at", close_after_seconds=60).writeStream.format("memory").queryName("online_close").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.input_id, r.page_no): r.status for r in spark.table("online_close").collect()}
+    assert len(got) == 6 and got["a", 4] == "late", got
+    assert got["a", 0] == got["a", 1] == got["b", 0] == got["b", 1] == "ok" and got["a", 3] == "rejected"
 
 
 def test_online_boundaries_equal_batch_fold(spark, scratch):

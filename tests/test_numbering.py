@@ -3,7 +3,7 @@ partitions, and keeps rows whose order value is null."""
 
 from pyspark.sql import functions as F
 
-from quire.operators.numbering import number_rows, number_rows_window
+from quire.operators.numbering import dense_rank_within, number_rows, number_rows_window
 
 
 def test_hot_input_numbered_like_row_number(spark):
@@ -22,3 +22,9 @@ def test_null_order_values_keep_their_rows(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("a", "y", 3)], "input_id string, lang string, rid int")
     got = sorted((r.rid, r.page_no) for r in number_rows(df, "input_id", ["lang", "rid"]).collect())
     assert got == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_null_keys_and_values_keep_their_rank(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), (None, "y", 3), (None, None, 4)], "input_id string, lang string, rid int")
+    got = {r.rid: r.gold for r in dense_rank_within(df, "input_id", "lang", "gold").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
