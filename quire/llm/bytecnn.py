@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, ready
 
-FILTERS, WIDTH, CHUNK = 16, 5, 1024
+FILTERS, WIDTH, CHUNK = 32, 5, 1024
 EMPTY = 256
-FIT_ROWS, FIT_BYTES, EPOCHS, BATCH = 2000, 20_000, 14, 64
-SLICE_BYTES = 2 << 20
+FIT_ROWS, FIT_BYTES, EPOCHS, BATCH = 2000, 20_000, 25, 64
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
