@@ -14,8 +14,14 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from quire.operators.cluster import cluster_pages  # noqa: E402
+from quire.operators.numbering import number_rows  # noqa: E402
+from quire.operators.vectorize import text_vectors  # noqa: E402
 from quire.plans import queries as Q  # noqa: E402
-from quire.session import local_session, ship_package  # noqa: E402
+from quire.session import cut_lineage, local_session, ship_package  # noqa: E402
+from quire.sources import tables  # noqa: E402
 
 HEADLINE = [
     "text_vectors",
@@ -33,6 +39,14 @@ HEADLINE = [
 ]
 
 
+def long_input(spark, sf_dir):
+    """All documents as the pages of one input (10,000 at sf0.1), clustered by average linkage spread over tasks."""
+    pages = tables.text_pages(spark, sf_dir).select(F.lit("all").alias("input_id"), F.struct("input_id", "page_no").alias("place"), "text")
+    pages = cut_lineage(number_rows(pages, "input_id", ["place"], out="page_no").select("input_id", "page_no", "text"))
+    vectors = cut_lineage(text_vectors(pages).select("input_id", "page_no", "embedding"))
+    return cluster_pages(vectors, linkage="average", spread=True)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -43,7 +57,8 @@ def main() -> None:
     reg = Q.registry()
     Q.q_page_numbering(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
-    for name in HEADLINE:
+    reg["cluster_spread_long"] = long_input
+    for name in [*HEADLINE, "cluster_spread_long"]:
         t0 = time.time()
         reg[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)

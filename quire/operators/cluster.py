@@ -14,6 +14,8 @@ with ``spread``; nothing switches by itself:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ def _group_arrays(pdf: pd.DataFrame, vec: str):
     return pdf["input_id"].iloc[0] if len(pdf) else None, pages, x
 
 
-def _labels_fn(alpha: float, thresholds: list[float], linkage: str, vec: str):
+def _labels_fn(alpha: float, thresholds: list[float], linkage: str, vec: str, matrix: Callable | None = None):
     top = max(thresholds)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,7 +47,7 @@ def _labels_fn(alpha: float, thresholds: list[float], linkage: str, vec: str):
         n = len(pages)
         if n == 0:
             return pd.DataFrame({"input_id": [], "threshold": [], "page_no": [], "label": []})
-        merges = greedy_merges(blended_matrix(x, pages, alpha, DIST_DECIMALS), linkage, DIST_DECIMALS, stop=top)
+        merges = greedy_merges(matrix(x, pages) if matrix else blended_matrix(x, pages, alpha, DIST_DECIMALS), linkage, DIST_DECIMALS, stop=top)
         frames = []
         for t in thresholds:
             roots = labels_at(n, merges, t)
@@ -63,6 +65,7 @@ def cluster_grouped(
     thresholds: list[float] | float = DEFAULT_THRESHOLD,
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
+    matrix: Callable | None = None,
 ) -> DataFrame:
     """Labels for each threshold via one numpy task per input."""
     _check_linkage(linkage)
@@ -70,7 +73,7 @@ def cluster_grouped(
     return (
         pages.select("input_id", "page_no", vec)
         .groupBy("input_id")
-        .applyInPandas(_labels_fn(float(alpha), ts, linkage, vec), LABEL_SCHEMA)
+        .applyInPandas(_labels_fn(float(alpha), ts, linkage, vec, matrix), LABEL_SCHEMA)
     )
 
 
@@ -81,17 +84,22 @@ def cluster_pages(
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
     spread: bool = False,
+    matrix: Callable | None = None,
+    distance: Callable | None = None,
 ) -> DataFrame:
-    """A1/A2/A3: ``(input_id, page_no, label)`` at one threshold. ``spread``: cut each input's work over many tasks."""
+    """A1/A2/A3: ``(input_id, page_no, label)`` at one threshold. ``spread``: cut each input's work over many tasks.
+
+    Another distance than the blended one: ``matrix(vectors, pages)``, the n x n distances of an input in numpy, or, with
+    ``spread``, ``distance(vector_i, vector_j, i, j)``, a column from column names."""
     from .components import single_linkage_components
     from .rounds import cluster_rounds
 
     _check_linkage(linkage)
     if not spread:
-        return cluster_grouped(pages, alpha, [threshold], linkage, vec).drop("threshold")
-    if linkage == "single":
+        return cluster_grouped(pages, alpha, [threshold], linkage, vec, matrix).drop("threshold")
+    if linkage == "single" and distance is None:
         return single_linkage_components(pages, alpha, threshold, vec)
-    return cluster_rounds(pages, alpha, threshold, linkage, vec)
+    return cluster_rounds(pages, alpha, threshold, linkage, vec, distance)
 
 
 def threshold_sweep(

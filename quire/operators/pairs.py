@@ -11,8 +11,9 @@ are never generated, which turns the O(n^2) pairing into O(n * band).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import blended_distance
@@ -37,10 +38,12 @@ def page_pairs(
     max_gap: float | None = None,
     block: int = DEFAULT_BLOCK,
     decimals: int | None = 9,
+    distance: Callable[[str, str, str, str], Column] | None = None,
 ) -> DataFrame:
     """``(input_id, i, j, dist)`` for every page pair ``i < j`` of an input.
 
     ``max_gap``: keep only pairs with ``j - i < max_gap`` (the band); None keeps all pairs.
+    ``distance``: another distance than the blended one, from the names of the two vector and the two page columns.
     """
     p = pages.select("input_id", "page_no", vec).withColumn("_blk", F.floor(F.col("page_no") / block).cast("int"))
     nblk = p.groupBy("input_id").agg(F.max("_blk").alias("_last"))
@@ -77,7 +80,7 @@ def page_pairs(
         "input_id",
         "i",
         "j",
-        blended_distance("_vi", "_vj", "i", "j", alpha, decimals).alias("dist"),
+        (distance("_vi", "_vj", "i", "j") if distance else blended_distance("_vi", "_vj", "i", "j", alpha, decimals)).alias("dist"),
     )
 
 

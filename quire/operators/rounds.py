@@ -28,6 +28,7 @@ For alpha >= 1 (or below 0) there is no band, and average linkage starts from al
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -92,10 +93,11 @@ def _cross_sums(wanted: DataFrame, labels: DataFrame, vectors: DataFrame, alpha:
     return _summed(pages.select("input_id", "ca", "cb", dist.alias("s"), F.lit(1).cast("long").alias("c"), dist.alias("mx"), dist.alias("mn")))
 
 
-def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str) -> tuple[DataFrame, list[DataFrame]]:
-    """``labels(input_id, page_no, cl)`` at the threshold, and the merges of each round."""
+def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str, distance: Callable | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """``labels(input_id, page_no, cl)`` at the threshold, and the merges of each round. A ``distance`` of the
+    caller's has no known band, so all page pairs of an input are taken."""
     pages = pages.select("input_id", "page_no", vec)
-    band, demand = band_width(alpha, threshold), False
+    band, demand = None if distance else band_width(alpha, threshold), False
     if linkage == "average" and band is not None:
         demand, vectors = True, pages.select("input_id", "page_no", F.col(vec).alias("v"))
     labels = cut_lineage(pages.select("input_id", "page_no", F.col("page_no").alias("cl")))
@@ -103,7 +105,7 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
     if demand:
         known = cut_lineage(_cross_sums(_in_band(clusters, band), labels, vectors, alpha))
     else:
-        pairs = page_pairs(pages, alpha, vec=vec, max_gap=band)
+        pairs = page_pairs(pages, alpha, vec=vec, max_gap=band, distance=distance)
         known = cut_lineage(_as_clusters(pairs if linkage == "average" else pairs.where(F.col("dist") < float(threshold))))
     rounds: list[DataFrame] = []
     while True:
@@ -140,9 +142,9 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
         labels, clusters = cut_lineage(_renamed(labels, merged, "cl")), after
 
 
-def cluster_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding") -> DataFrame:
+def cluster_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding", distance: Callable | None = None) -> DataFrame:
     """``(input_id, page_no, label)`` by mutual-nearest-neighbour rounds."""
-    labels, _ = _merge(pages, alpha, threshold, linkage, vec)
+    labels, _ = _merge(pages, alpha, threshold, linkage, vec, distance)
     return labels.select("input_id", "page_no", F.col("cl").cast("int").alias("label"))
 
 

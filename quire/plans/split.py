@@ -38,10 +38,12 @@ def page_labels(
     linkage: str = DEFAULT_LINKAGE,
     gap: int | None = None,
     spread: bool = False,
+    matrix: Callable | None = None,
+    distance: Callable | None = None,
 ) -> DataFrame:
     """Labels by either method. ``threshold`` None is the method's own default (2.0 for clusters, 0.4 for boundaries)."""
     if method == "cluster":
-        labels = cluster_pages(pages, alpha, DEFAULT_THRESHOLD if threshold is None else threshold, linkage, spread=spread)
+        labels = cluster_pages(pages, alpha, DEFAULT_THRESHOLD if threshold is None else threshold, linkage, spread=spread, matrix=matrix, distance=distance)
     elif method == "boundary":
         labels = boundary_detection(pages, threshold, spread=spread)
     else:
@@ -66,14 +68,16 @@ def split_with_pages(
     vectoriser: Callable[[DataFrame], DataFrame] = text_vectors,
     namer: Callable[[DataFrame], DataFrame] = tfidf_topics,
     spread: bool = False,
+    matrix: Callable | None = None,
+    distance: Callable | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Named documents, and their pages ``(input_id, document_no, page_no[, text])``."""
+    """Named documents, and their pages ``(input_id, document_no, page_no[, text])``. ``matrix`` and ``distance`` as of ``cluster_pages``."""
     pages, _ = named_pages(pages)
     vectors = pages
     if "embedding" not in pages.columns:
         vectors = cut_lineage(vectoriser(pages.select("input_id", "page_no", "text")))
     # labels feed the documents, their pages and their texts: write them once
-    labels = cut_lineage(page_labels(vectors, method, alpha, threshold, linkage, gap, spread))
+    labels = cut_lineage(page_labels(vectors, method, alpha, threshold, linkage, gap, spread, matrix, distance))
     docs = D.documents_from_labels(labels)
     doc_pages = D.document_pages(labels, docs)
     if "text" in pages.columns:

@@ -16,9 +16,17 @@ VECTORS_PER_INPUT = 50
 LINES_PER_PAGE = 3
 
 
+# a row id per given table, used to spread a scan that is one split
+_ROW_IDS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id", "labels": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, read where it lies; splits are Spark's."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table. A scan of several splits is left as it is. One that is a single split (so at most
+    ``spark.sql.files.maxPartitionBytes``, or one row group) is dealt out by its row id, so that text work runs on every core."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in _ROW_IDS and df.rdd.getNumPartitions() == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism, _ROW_IDS[name])
+    return df
 
 
 def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

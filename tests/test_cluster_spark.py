@@ -121,3 +121,11 @@ def test_components_equal_single_linkage(spark):
         exp = _expected(rows, alpha, t, "single")
         got = {(r.input_id, r.page_no): r.label for r in single_linkage_components(pages, alpha, t).collect()}
         assert got == exp, (alpha, t)
+
+
+def test_other_distances(spark):
+    """Distance by pages alone: clusters are runs of neighbours, in either path."""
+    pages = _pages(spark, n_inputs=2, n=11)
+    one = cluster_pages(pages, threshold=1.5, linkage="complete", matrix=lambda x, p: np.abs(p[:, None] - p[None, :]).astype(float))
+    two = cluster_pages(pages, threshold=1.5, linkage="complete", spread=True, distance=lambda vi, vj, i, j: F.abs(F.col(i) - F.col(j)).cast("double"))
+    assert _labels(one) == _labels(two) and {p: c for (k, p), c in _labels(one).items() if k == "in0"} == {p: p - p % 2 for p in range(11)}
