@@ -13,9 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that a Python worker gets at a time (one longer row alone). Spark's default is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Python workers of this application can import the package."""
+    """Python workers of this application can import the package, and get rows in batches of bounded size."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

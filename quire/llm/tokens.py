@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-MAX_CACHED_WORDS = 600_000
-SLICE_BYTES = 16 << 20
+MAX_CACHED_WORDS = 300_000
+SLICE_BYTES = 4 << 20
 
 
 def vocabulary(name: str = WORD_BPE) -> str:
