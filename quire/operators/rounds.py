@@ -112,7 +112,7 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
         na = clusters.select("input_id", F.col("cl").alias("ca"), F.col("n").alias("na"))
         nb = clusters.select("input_id", F.col("cl").alias("cb"), F.col("n").alias("nb"))
         valued = known.join(na, ["input_id", "ca"]).join(nb, ["input_id", "cb"]).select("input_id", "ca", "cb", _linkage_value(linkage).alias("v"))
-        cand = cut_lineage(valued.where(F.col("v") < float(threshold)))
+        cand = valued.where(F.col("v") < float(threshold))
         directed = cand.select("input_id", F.explode(F.array("ca", "cb")).alias("x"), F.struct("v", "ca", "cb").alias("p"))
         nearest = directed.groupBy("input_id", "x").agg(F.min("p").alias("p"))
         mutual = nearest.groupBy("input_id", "p").agg(F.count("*").alias("sides")).where(F.col("sides") == 2)
