@@ -39,17 +39,13 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NO
 
 def _op10() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "payload"
-    for pattern in warc.NO_TEXT:
-        text = f"regexp_replace({text}, {q(pattern)}, ' ', 'g')"
-    text = f"regexp_replace({text}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+    text = f"regexp_replace(payload, {q(warc.NO_TEXT)}, ' ', 'g')"
     text = f"regexp_replace({text}, {q(warc.BREAKS)}, chr(10), 'g')"
     text = f"regexp_replace({text}, {q(warc.TAG)}, '', 'g')"
     for entity, char in warc.ENTITIES:
         text = f"replace({text}, {q(entity)}, {q(char)})"
     text = f"regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g')"
-    text = f"regexp_replace({text}, ' +', ' ', 'g')"
-    text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    text = f"trim(regexp_replace({text}, '  +', ' ', 'g'), ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
 
     def uuid(kind: str, digest: str) -> str:

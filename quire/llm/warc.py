@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-#: Parts that hold no text, in the order in which they are removed; (?s) lets . match line breaks.
-NO_TEXT = (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script\s*>", r"(?is)<style[^>]*>.*?</style\s*>", r"(?is)<head[^>]*>.*?</head\s*>")
+#: Parts that hold no text, and white space; (?s) lets . match line breaks.
+NO_TEXT = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|[ \t\n\x0B\f\r]+"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|body|html|blockquote|pre)\b[^>]*>"
 TAG = r"(?s)<[^>]*>"
 #: Entities, the ampersand last.
@@ -34,17 +34,13 @@ LINK = r"(?i)<a\s[^>]*?href=(\"[^\">]*\"|'[^'>]*')"
 
 def plain_text(html: Column) -> Column:
     """A page's text: a line per block, blanks joined, empty lines dropped."""
-    out = html
-    for pattern in NO_TEXT:
-        out = F.regexp_replace(out, pattern, " ")
-    out = F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " ")
+    out = F.regexp_replace(html, NO_TEXT, " ")
     out = F.regexp_replace(out, BREAKS, "\n")
     out = F.regexp_replace(out, TAG, "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
-    out = F.regexp_replace(out, r" +", " ")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    return F.trim(F.regexp_replace(out, r"  +", " "), F.lit(" \n"))
 
 
 def digest(block: Column) -> Column:
