@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ready, stored
 from .tokens import encoder, slices, vocabulary, with_end
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 MIN_COUNT = 8
 BASE = 1 << 20
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 200_000
 SLICE_BYTES = 4 << 20
 
 
