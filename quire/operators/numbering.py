@@ -37,7 +37,9 @@ def number_rows(df: DataFrame, key: str, order: list[str], out: str = "page_no")
     spans = tagged.groupBy("_part", key).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranks = tagged.join(spans, ["_part", key]).select(
+    spans = spans.select(F.col("_part").alias("_s_part"), F.col(key).alias("_s_key"), "_first", "_offset")
+    # null-safe, so the rows of a null key are numbered like those of any other
+    ranks = tagged.join(spans, (F.col("_part") == F.col("_s_part")) & F.col(key).eqNullSafe(F.col("_s_key"))).select(
         *[F.col(c).alias(f"_r_{c}") for c in cols], (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int").alias(out)
     )
     cond = None

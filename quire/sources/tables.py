@@ -14,6 +14,9 @@ from ..operators.numbering import dense_rank_within, number_rows
 # Our choice for F1: fixed-size inputs cut from the vector table; for F3: lines per page.
 VECTORS_PER_INPUT = 50
 LINES_PER_PAGE = 3
+# the input of the rows without a source or an address, so that joins by input keep them. The control
+# character keeps it apart from names.
+NO_INPUT = "\u0001none"
 
 
 # a row id per given table, used to spread a scan that is one split
@@ -49,7 +52,7 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: input_id, page_no, doc_id, lang, text, gold INT.
     """
     d = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("input_id"), "doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text")
+        F.coalesce("source", F.lit(NO_INPUT)).alias("input_id"), "doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     d = dense_rank_within(d, "input_id", "lang", "gold")
     return number_rows(d, "input_id", ["lang", "doc_id"])
@@ -67,6 +70,6 @@ def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """web ``pages`` bundled per host, ordered by page_id. Columns: input_id, page_no, page_id, url, html."""
     p = table(spark, sf_dir, "pages").select(
-        F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1).alias("input_id"), "page_id", "url", "html"
+        F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit(NO_INPUT)).alias("input_id"), "page_id", "url", "html"
     )
     return number_rows(p, "input_id", ["page_id"])

@@ -28,3 +28,28 @@ def test_null_keys_and_values_keep_their_rank(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), (None, "y", 3), (None, None, 4)], "input_id string, lang string, rid int")
     got = {r.rid: r.gold for r in dense_rank_within(df, "input_id", "lang", "gold").collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_rows_with_a_null_key_are_numbered_as_a_group(spark):
+    rows = [(None if i % 3 == 0 else f"k{i % 2}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "input_id string, rid int").repartition(12)
+    got = number_rows(df, "input_id", ["rid"]).select("input_id", "rid", "page_no")
+    exp = number_rows_window(df, "input_id", ["rid"]).select("input_id", "rid", "page_no")
+    assert got.count() == 3000 and got.exceptAll(exp).count() == 0
+    assert sorted(r.page_no for r in got.where("input_id IS NULL").collect()) == list(range(1000))
+
+
+def test_f2_and_f4_keep_pages_without_source_or_address(spark, scratch):
+    docs = [(i, None if i < 4 else "s", "en", f"text {i}") for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{scratch}/documents.parquet")
+    pages = [(i, None if i < 4 else f"http://a.org/{i}", "<p>x</p>") for i in range(10)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{scratch}/pages.parquet")
+    from quire.functions import text as T
+    from quire.operators.vectorize import text_vectors
+    from quire.sources import tables
+
+    f2, f4 = tables.text_pages(spark, scratch), tables.raw_pages(spark, scratch)
+    for view, name in ((f2, "doc_id"), (f4, "page_id")):
+        got = {r[name]: (r.input_id, r.page_no) for r in view.collect()}
+        assert len(got) == 10 and [got[i] for i in range(4)] == [(tables.NO_INPUT, i) for i in range(4)]
+    assert text_vectors(f2).count() == 10 and f4.select(T.html_to_text("html")).count() == 10
