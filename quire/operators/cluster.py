@@ -1,15 +1,14 @@
 """A1-A4 agglomerative clustering of pages with the blended distance.
 
 Two physical paths with one result (labels = lowest page of each cluster). The caller names the path
-with ``spread``; nothing switches by itself:
-
-* ``spread=False`` (default) - ``groupBy(input_id).applyInPandas``: a task builds an input's matrix with numpy
-  and merges greedily. It holds 8 n^2 bytes for n pages, which suits inputs up to some ten
-  thousand pages, as paged documents are.
-* ``spread=True`` - inputs of any size: distributed mutual-nearest-neighbour merging over a cluster-pair
-  table (see ``rounds.py``); every step is a DataFrame join/aggregate keyed below the input.
-  Single linkage takes connected components of the below-threshold edges instead
-  (``components.py``), which needs O(log^2 n) rounds however long the page chains are.
+with ``spread``; nothing switches by an input's size:
+
+* ``spread=True`` (default) - inputs of any size. Average and complete linkage merge in blocks of pages (``blocks.py``).
+  Single linkage takes connected components of the below-threshold edges
+  (``components.py``), which needs O(log^2 n) rounds however long the page chains are. Settings without a band of pages
+  (alpha >= 1), and distances of the caller's, merge mutual nearest neighbours over a cluster-pair table (``rounds.py``).
+* ``spread=False``, for inputs known to be small - ``groupBy(input_id).applyInPandas``: a task builds an input's matrix with numpy
+  and merges greedily. It holds 8 n^2 bytes for n pages. A ``matrix`` of the caller's is of a whole input, so it takes this path.
 """
 
 from __future__ import annotations
@@ -83,7 +82,7 @@ def cluster_pages(
     threshold: float = DEFAULT_THRESHOLD,
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
-    spread: bool = False,
+    spread: bool = True,
     matrix: Callable | None = None,
     distance: Callable | None = None,
 ) -> DataFrame:
@@ -91,14 +90,17 @@ def cluster_pages(
 
     Another distance than the blended one: ``matrix(vectors, pages)``, the n x n distances of an input in numpy, or, with
     ``spread``, ``distance(vector_i, vector_j, i, j)``, a column from column names."""
+    from .blocks import block_labels, block_pages
     from .components import single_linkage_components
     from .rounds import cluster_rounds
 
     _check_linkage(linkage)
-    if not spread:
+    if not spread or (matrix is not None and distance is None):
         return cluster_grouped(pages, alpha, [threshold], linkage, vec, matrix).drop("threshold")
     if linkage == "single" and distance is None:
         return single_linkage_components(pages, alpha, threshold, vec)
+    if distance is None and block_pages(alpha, threshold):
+        return block_labels(pages, alpha, threshold, linkage, vec)
     return cluster_rounds(pages, alpha, threshold, linkage, vec, distance)
 
 
@@ -108,10 +110,10 @@ def threshold_sweep(
     thresholds: list[float],
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
-    spread: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """A4: labels of every input at many thresholds. One merge sequence per input gives them all; with ``spread`` the
-    merge heights come from one run of the distributed rounds at the highest threshold."""
+    merge heights come from one run of the distributed merging at the highest threshold."""
     _check_linkage(linkage)
     if not spread:
         return cluster_grouped(pages, alpha, thresholds, linkage, vec)

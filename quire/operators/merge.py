@@ -100,6 +100,64 @@ def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float |
     return merges
 
 
+def settled_merges(d: np.ndarray, size: np.ndarray, core: np.ndarray, linkage: str, decimals: int = 9, stop: float = INF):
+    """Merges ``[(a, b, height)]`` below ``stop`` of clusters that are part of a larger input, as far as they are sure.
+
+    ``d``: linkages of all cluster pairs, ``size``: pages of each cluster, ``core``: the clusters whose neighbours below
+    ``stop`` are all here. The others may merge elsewhere, so a core cluster whose nearest neighbour is one of them waits:
+    from then on it counts as one of them. A pair merges when both are core and each other's nearest; by reducibility
+    it merges whatever the others do.
+    """
+    n = d.shape[0]
+    u = np.triu(d.astype(np.float64), 1)
+    u[np.tril_indices(n)] = INF
+    size, core, gone = size.astype(np.float64), core.copy(), np.zeros(n, dtype=bool)
+    u[np.ix_(~core, ~core)] = INF
+    bestd, bestc = np.full(n, INF), np.zeros(n, dtype=np.int64)
+
+    def rescan(rows: np.ndarray) -> None:
+        if len(rows):
+            sub = np.round(u[rows], decimals)
+            bestc[rows] = np.argmin(sub, axis=1)
+            bestd[rows] = sub[np.arange(len(rows)), bestc[rows]]
+
+    rescan(np.arange(n))
+    merges = []
+    while n:
+        a = int(np.argmin(bestd))
+        h, b = float(bestd[a]), int(bestc[a])
+        if not h < stop:
+            break
+        if not (core[a] and core[b]):
+            x = a if core[a] else b
+            waits = np.nonzero(~core)[0]
+            core[x] = False
+            u[x, waits] = INF
+            u[waits, x] = INF
+            rescan(np.unique(np.append(waits[bestc[waits] == x], x)))
+            continue
+        merges.append((a, b, h))
+        da, db = np.concatenate([u[:a, a], u[a, a:]]), np.concatenate([u[:b, b], u[b, b:]])
+        new = (size[a] * da + size[b] * db) / (size[a] + size[b]) if linkage == "average" else np.maximum(da, db)
+        gone[b] = True
+        new[gone] = INF
+        new[a] = INF
+        u[:a, a] = new[:a]
+        u[a, a + 1 :] = new[a + 1 :]
+        u[b, :] = INF
+        u[:, b] = INF
+        size[a] += size[b]
+        redo = ~gone & ((bestc == a) | (bestc == b))
+        redo[a] = True
+        bestd[b] = INF
+        cand = np.round(u[:a, a], decimals)
+        better = ~gone[:a] & ~redo[:a] & ((cand < bestd[:a]) | ((cand == bestd[:a]) & (a < bestc[:a])))
+        idx = np.nonzero(better)[0]
+        bestd[idx], bestc[idx] = cand[idx], a
+        rescan(np.nonzero(redo)[0])
+    return merges
+
+
 def labels_at(n: int, merges, threshold: float) -> np.ndarray:
     """Cluster id (lowest member index) of every index after the merges with height < threshold."""
     parent = np.arange(n)

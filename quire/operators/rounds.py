@@ -13,7 +13,8 @@ Each round:
    the input, so a hot input is spread over many tasks) and write it to the cluster's checkpoint
    folder. Inputs without any value below the threshold are final and leave the table.
 
-Rounds go on until no pair merges. Pruning, exact for 0 <= alpha < 1 because the blended distance
+Rounds go on until no pair merges. Average and complete linkage with a band take the fewer rounds of ``blocks.py`` instead, unless
+``cluster_rounds`` is called by name. Pruning, exact for 0 <= alpha < 1 because the blended distance
 is at least (1-alpha)*|i-j|:
 
 * single and complete linkage only ever need page pairs closer than threshold/(1-alpha) pages
@@ -37,13 +38,18 @@ from pyspark.sql import functions as F
 from ..constants import DIST_DECIMALS
 from ..functions.vectors import blended_distance
 from ..session import cut_lineage
+from .blocks import block_merges, block_pages, plain_id, with_settings
 from .pairs import band_width, page_pairs
 
 _KNOWN = ["s", "c", "mx", "mn"]
 MERGE_SCHEMA = "input_id string, a int, b int, height double"
 
 
-def _linkage_value(linkage: str):
+def _linkage_value(linkage: str | dict[int, str]):
+    """The linkage value of a pair; of several linkages, by the setting before the input id."""
+    if isinstance(linkage, dict):
+        of = lambda k: F.substring_index("input_id", ":", 1) == str(k)
+        return F.coalesce(*[F.when(of(k), _linkage_value(x)) for k, x in linkage.items()])
     whole = F.col("c") == F.col("na") * F.col("nb")
     if linkage == "average":
         return F.when(whole, F.round(F.col("s") / F.col("c"), DIST_DECIMALS))
@@ -93,17 +99,21 @@ def _cross_sums(wanted: DataFrame, labels: DataFrame, vectors: DataFrame, alpha:
     return _summed(pages.select("input_id", "ca", "cb", dist.alias("s"), F.lit(1).cast("long").alias("c"), dist.alias("mx"), dist.alias("mn")))
 
 
-def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str, distance: Callable | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str, distance: Callable | None = None, known: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """``labels(input_id, page_no, cl)`` at the threshold, and the merges of each round. A ``distance`` of the
-    caller's has no known band, so all page pairs of an input are taken."""
+    caller's has no known band, so all page pairs of an input are taken. ``known``: the pair table to start from, whose
+    labels aren't asked for."""
     pages = pages.select("input_id", "page_no", vec)
-    band, demand = None if distance else band_width(alpha, threshold), False
+    merges_only = known is not None
+    band, demand = None if distance or merges_only else band_width(alpha, threshold), False
     if linkage == "average" and band is not None:
         demand, vectors = True, pages.select("input_id", "page_no", F.col(vec).alias("v"))
     labels = cut_lineage(pages.select("input_id", "page_no", F.col("page_no").alias("cl")))
     clusters = cut_lineage(labels.select("input_id", "cl", F.lit(1).cast("long").alias("n"), F.col("page_no").cast("long").alias("pages")))
     if demand:
         known = cut_lineage(_cross_sums(_in_band(clusters, band), labels, vectors, alpha))
+    elif merges_only:
+        known = cut_lineage(known)
     else:
         pairs = page_pairs(pages, alpha, vec=vec, max_gap=band, distance=distance)
         known = cut_lineage(_as_clusters(pairs if linkage == "average" else pairs.where(F.col("dist") < float(threshold))))
@@ -139,7 +149,9 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
             size = lambda c: after.select("input_id", F.col("cl").alias(c), F.col("n").alias(f"n_{c}"))
             known = known.join(size("ca"), ["input_id", "ca"]).join(size("cb"), ["input_id", "cb"]).where(F.col("c") == F.col("n_ca") * F.col("n_cb")).drop("n_ca", "n_cb")
         known = cut_lineage(known)
-        labels, clusters = cut_lineage(_renamed(labels, merged, "cl")), after
+        clusters = after
+        if not merges_only:
+            labels = cut_lineage(_renamed(labels, merged, "cl"))
 
 
 def cluster_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding", distance: Callable | None = None) -> DataFrame:
@@ -148,10 +160,34 @@ def cluster_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: st
     return labels.select("input_id", "page_no", F.col("cl").cast("int").alias("label"))
 
 
+def _all(rounds: list[DataFrame], pages: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, rounds) if rounds else pages.sparkSession.createDataFrame([], MERGE_SCHEMA)
+
+
 def merge_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding") -> DataFrame:
     """``(input_id, a, b, height)``: the merges of cluster b into a below the threshold."""
-    _, rounds = _merge(pages, alpha, threshold, linkage, vec)
-    return reduce(DataFrame.unionByName, rounds) if rounds else pages.sparkSession.createDataFrame([], MERGE_SCHEMA)
+    merges = settings_merges(pages, {0: (float(alpha), linkage)}, threshold, vec)
+    return merges.withColumn("input_id", plain_id())
+
+
+def settings_merges(pages: DataFrame, settings: dict[int, tuple[float, str]], threshold: float, vec: str = "embedding") -> DataFrame:
+    """``merge_rounds`` of several settings ``(alpha, linkage)``, with input ids ``"<setting>:<input_id>"``: those with a
+    band in blocks of pages, all others together in one run of the pair table's rounds."""
+    top = float(threshold)
+    near = {k: s for k, s in settings.items() if s[1] != "single" and block_pages(s[0], top)}
+    rest = {k: s for k, s in settings.items() if k not in near}
+    parts = [block_merges(pages, near, top, vec)] if near else []
+    if rest:
+        known = None
+        for a in sorted({a for a, _ in rest.values()}):
+            pairs = cut_lineage(page_pairs(pages.select("input_id", "page_no", vec), a, vec=vec, max_gap=band_width(a, top)))
+            for k in [k for k, s in rest.items() if s[0] == a]:
+                mine = pairs if rest[k][1] == "average" else pairs.where(F.col("dist") < top)
+                mine = _as_clusters(mine.withColumn("input_id", F.concat(F.lit(f"{k}:"), "input_id")))
+                known = mine if known is None else known.unionByName(mine)
+        _, rounds = _merge(with_settings(pages, rest, vec), None, top, {k: lk for k, (_, lk) in rest.items()}, "v", known=known)
+        parts.append(_all(rounds, pages))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def labels_from_merges(pages: DataFrame, merges: DataFrame, thresholds: list[float]) -> DataFrame:

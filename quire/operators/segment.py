@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_BOUNDARY_THRESHOLD
 from ..functions.vectors import cosine_similarity, vector_add
 from ..session import cut_lineage
+from .numbering import dense_rank_within
 
 CHUNK_PAGES = 1024
 STRIP_PAGES = 4096
@@ -83,19 +84,21 @@ def _scan(x: np.ndarray, cut: float, s0: np.ndarray | None):
 def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", chunk: int = CHUNK_PAGES) -> DataFrame:
     """Exact W1 for inputs of any size with bounded work per task (see module doc)."""
     cut = 1.0 - _threshold(threshold)
-    p = pages.select("input_id", "page_no", F.col(vec).alias("v")).withColumn("chunk", F.floor(F.col("page_no") / chunk).cast("int"))
-    p = cut_lineage(p)
+    p = cut_lineage(pages.select("input_id", "page_no", F.col(vec).alias("v"), F.floor(F.col("page_no") / chunk).cast("int").alias("_cut")))
+    # chunks without a page have no number, so a chunk's predecessor is always there
+    numbered = dense_rank_within(p.select("input_id", "_cut").distinct(), "input_id", "_cut", "chunk")
+    p = cut_lineage(p.join(numbered, ["input_id", "_cut"]).drop("_cut"))
 
     def fresh(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_no")
         x = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
         flags, s = _scan(x, cut, None)
         return pd.DataFrame(
-            {"input_id": [pdf["input_id"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])], "flags": [flags.tolist()], "s_out": [s.tolist()]}
+            {"input_id": [pdf["input_id"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])], "pages": [pdf["page_no"].tolist()], "flags": [flags.tolist()], "s_out": [s.tolist()]}
         )
 
     spec = cut_lineage(
-        p.groupBy("input_id", "chunk").applyInPandas(fresh, "input_id string, chunk int, flags array<boolean>, s_out array<double>")
+        p.groupBy("input_id", "chunk").applyInPandas(fresh, "input_id string, chunk int, pages array<int>, flags array<boolean>, s_out array<double>")
     )
     # Every chunk's guess of its incoming sum is its predecessor's latest outgoing sum, named by a
     # tag. A re-scan that re-synchronises leaves with the fresh scan's sum (tag "s<k>"), so its
@@ -170,16 +173,17 @@ def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str
     counts = resolved.select("input_id", "chunk", F.size(F.filter("flags", lambda f: f)).alias("nb"))
     w = Window.partitionBy("input_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("base", F.coalesce(F.sum("nb").over(w), F.lit(0)))
-    per_page = resolved.select("input_id", "chunk", F.posexplode("flags").alias("pos", "flag"))
+    paged = resolved.select("input_id", "chunk", "flags").join(spec.select("input_id", "chunk", "pages"), ["input_id", "chunk"])
+    per_page = paged.select("input_id", "chunk", F.explode(F.arrays_zip("pages", "flags")).alias("z")).select("input_id", "chunk", F.col("z.pages").alias("page_no"), F.col("z.flags").alias("flag"))
     per_page = per_page.join(offsets, ["input_id", "chunk"])
-    w2 = Window.partitionBy("input_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w2 = Window.partitionBy("input_id", "chunk").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     labeled = per_page.withColumn("label", (F.col("base") + F.sum(F.col("flag").cast("int")).over(w2) - 1).cast("int"))
-    return labeled.select("input_id", (F.col("chunk") * chunk + F.col("pos")).cast("int").alias("page_no"), "label")
+    return labeled.select("input_id", "page_no", "label")
 
 
-def boundary_detection(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", spread: bool = False) -> DataFrame:
-    """W1. ``spread=False`` folds an input's pages in one task, which holds all their vectors; ``spread=True``, for
-    inputs of any size, scans chunks of bounded size in parallel. The caller chooses; the result is the same."""
+def boundary_detection(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", spread: bool = True) -> DataFrame:
+    """W1. ``spread=True``, for inputs of any size, scans chunks of bounded size in parallel; ``spread=False``, for inputs known
+    to be small, folds an input's pages in one task, which holds all their vectors. The caller chooses; the result is the same."""
     return boundary_chunked(pages, threshold, vec) if spread else boundary_fold(pages, threshold, vec)
 
 

@@ -97,7 +97,7 @@ def q_distance_heatmap(spark, sf):
 # ---------------------------------------------------------------- A1-A4
 def _cluster(linkage: str, alpha: float = DEFAULT_ALPHA, threshold: float = DEFAULT_THRESHOLD):
     def q(spark, sf):
-        return cluster.cluster_pages(tables.vector_pages(spark, sf), alpha, threshold, linkage)
+        return cluster.cluster_pages(tables.vector_pages(spark, sf), alpha, threshold, linkage, spread=False)  # F1 inputs have 50 pages
 
     return q
 
@@ -123,7 +123,7 @@ def q_cluster_components(spark, sf):
 
 def q_threshold_sweep(spark, sf):
     """A4: average-linkage labels at every split level from one merge sequence per input."""
-    return cluster.threshold_sweep(tables.vector_pages(spark, sf), DEFAULT_ALPHA, SPLIT_LEVELS, "average")
+    return cluster.threshold_sweep(tables.vector_pages(spark, sf), DEFAULT_ALPHA, SPLIT_LEVELS, "average", spread=False)
 
 
 # ---------------------------------------------------------------- text pages (F2): P3-P5, S4
@@ -248,13 +248,13 @@ def q_documents_from_labels(spark, sf):
 
 
 def q_renumber_documents(spark, sf):
-    labels = cluster.cluster_pages(tables.vector_pages(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete")
+    labels = cluster.cluster_pages(tables.vector_pages(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete", spread=False)
     return D.documents_from_labels(labels).select("input_id", "document_no", "page_start")
 
 
 def q_label_pages(spark, sf):
     p = tables.vector_pages(spark, sf)
-    labels = cluster.cluster_pages(p, DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete")
+    labels = cluster.cluster_pages(p, DEFAULT_ALPHA, DEFAULT_THRESHOLD, "complete", spread=False)
     return labels.join(p.select("input_id", "page_no", "gold"), ["input_id", "page_no"])
 
 

@@ -37,7 +37,7 @@ def page_labels(
     threshold: float | None = None,
     linkage: str = DEFAULT_LINKAGE,
     gap: int | None = None,
-    spread: bool = False,
+    spread: bool = True,
     matrix: Callable | None = None,
     distance: Callable | None = None,
 ) -> DataFrame:
@@ -67,7 +67,7 @@ def split_with_pages(
     strategy: str = "first_page",
     vectoriser: Callable[[DataFrame], DataFrame] = text_vectors,
     namer: Callable[[DataFrame], DataFrame] = tfidf_topics,
-    spread: bool = False,
+    spread: bool = True,
     matrix: Callable | None = None,
     distance: Callable | None = None,
 ) -> tuple[DataFrame, DataFrame]:
