@@ -3,9 +3,11 @@
 Per text: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, all from the whole
 text. A text fails the base rule with fewer than 10 words or more than 20 % of its words in repeated
 5-word windows. The others have a vector of transformed statistics, and per language and source the
-minimum-covariance-determinant estimate of its location and spread: from a start at the medians,
+minimum-covariance-determinant estimate of its location and spread: from two starts at the medians, one with the quartile
+distances and one with the median deviations (which a third of outlying rows can't widen much),
 concentration steps take the ``COVER`` share of the rows nearest by Mahalanobis distance and estimate
-mean and covariance anew from them; then the spread is scaled to the median distance, and a last step
+mean and covariance anew from them, until no estimate changes or for ``STEPS`` steps. ``COVER`` of at least ``LEAST_ROWS`` rows is no less than the
+(n + p + 1) / 2 rows of the usual coverage, so up to 45 % of a group may be junk. The start with the lesser determinant is taken; then the spread is scaled to the median distance, and a last step
 takes all rows within the 97.5 % quantile. Rows farther than ``CUT`` from their group's estimate are rejected.
 
 A group with fewer than ``LEAST_ROWS`` rows uses the estimate of its language, and a language with fewer
@@ -34,7 +36,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NAMES = ("words", "length", "symbols", "lines", "repeats")
 DIM = len(NAMES)
 FLOORS = (0.25, 0.02, 0.1, 0.25, 0.6)
-COVER, STEPS, LEAST_ROWS = 0.75, 4, 60
+COVER, STEPS, LEAST_ROWS = 0.55, 20, 60
 CHI_MEDIAN, CHI_975 = 4.351, 12.833  # quantiles of 5 degrees of freedom
 CUT = 35.9  # the quantile of one in a million
 FRACTION, CLASSES = 1024.0, 32
@@ -133,29 +135,50 @@ def _covering(rows: DataFrame, share: float) -> DataFrame:
     return ranked.where(F.col("sum") >= share * F.col("all")).groupBy("key").agg(F.min("_class").alias("upto"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """A first estimate from medians and quartile distances of each statistic, from counts of its rounded values."""
-    values = rows.select("key", F.posexplode(F.array(*X)).alias("at", "x")).withColumn("x", F.round(F.col("x") * 32) / 32)
-    counts = values.groupBy("key", "at", "x").agg(F.count("*").alias("n"))
+def _ranked(counts: DataFrame) -> DataFrame:
     w = Window.partitionBy("key", "at")
-    ranked = counts.withColumn("sum", F.sum("n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(w))
+    upto = w.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("sum", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates from medians, and quartile distances (start 0) or median deviations (start 1) of each statistic, from counts of its rounded values."""
+    values = rows.select("key", F.posexplode(F.array(*X)).alias("at", "x")).withColumn("x", F.round(F.col("x") * 32) / 32)
+    counts = stored(values.groupBy("key", "at", "x").agg(F.count("*").alias("n")))
     quantile = lambda q: F.min(F.when(F.col("sum") >= q * F.col("all"), F.col("x")))
-    each = ranked.groupBy("key", "at").agg(quantile(0.25).alias("low"), quantile(0.5).alias("middle"), quantile(0.75).alias("high"))
+    each = stored(_ranked(counts).groupBy("key", "at").agg(quantile(0.25).alias("low"), quantile(0.5).alias("middle"), quantile(0.75).alias("high")))
+    off = counts.join(each.select("key", "at", "middle"), ["key", "at"]).groupBy("key", "at", F.abs(F.col("x") - F.col("middle")).alias("x")).agg(F.sum("n").alias("n"))
+    each = stored(each.join(_ranked(off).groupBy("key", "at").agg(quantile(0.5).alias("off")), ["key", "at"]))
     at = lambda c, i: F.max(F.when(F.col("at") == i, F.col(c)))
-    spread = lambda i: F.pow((at("high", i) - at("low", i)) / 1.349, 2) + FLOORS[i]
-    cov = [(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    return each.groupBy("key").agg(*[at("middle", i).alias(f"m{i}") for i in range(DIM)], *[c for c in cov])
+    spreads = [lambda i: F.pow((at("high", i) - at("low", i)) / 1.349, 2) + FLOORS[i], lambda i: F.pow(at("off", i) * 1.4826, 2) + FLOORS[i]]
+    out = []
+    for k, spread in enumerate(spreads):
+        cov = [(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
+        out.append(each.groupBy("key").agg(*[at("middle", i).alias(f"m{i}") for i in range(DIM)], *cov).withColumn("key", _of_start(k)))
+    return out[0].unionByName(out[1])
+
+
+def _of_start(k: int) -> Column:
+    return F.concat("key", F.lit(f"\u0002{k}"))
 
 
 def estimates(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
     """Reweighted MCD estimates of ``rows(key, x_...)``, whitened: a row per key."""
-    now = stored(_whitened(_start(rows)))
+    twice = rows.select(F.explode(F.array(_of_start(0), _of_start(1))).alias("key"), *X)
+    now, raw = stored(_whitened(_starts(rows))), None
     for _ in range(steps):
-        far = _with_distance(rows, now)
+        far = _with_distance(twice, now)
         limit = stored(_covering(far, cover))
-        chosen = far.join(limit, "key")
-        now, raw = None, stored(_means(chosen, _class_of(F.col("d")) <= F.col("upto")))
+        before, raw = raw, stored(_means(far.join(limit, "key"), _class_of(F.col("d")) <= F.col("upto")))
         now = stored(_whitened(raw))
+        if before is not None and raw.join(before, raw.columns, "left_anti").isEmpty():
+            break
+    # of the two starts the one with the lesser determinant, the first of equal ones
+    size = reduce(lambda a, b: a * b, [F.col(f"w{i}{i}") for i in range(DIM)])
+    best = now.groupBy(F.substring_index("key", "\u0002", 1).alias("_base")).agg(F.min(F.struct((-size).alias("size"), F.col("key"))).alias("_b"))
+    best = stored(best.select("_base", F.col("_b.key").alias("key")))
+    chosen = lambda df: stored(df.join(best, "key").withColumn("key", F.col("_base")).drop("_base"))
+    now, raw = chosen(now), chosen(raw)
     # the spread of the nearest rows is too small by a factor; the median distance tells it
     middle = _covering(_with_distance(rows, now), 0.5).select("key", ((F.pow(F.lit(2.0), F.col("upto") / CLASSES) - 1) / CHI_MEDIAN).alias("factor"))
     scaled = stored(_whitened(raw.join(middle, "key"), F.greatest(F.col("factor"), F.lit(1.0))))

@@ -102,3 +102,12 @@ def test_distances_of_groups_large_and_small(spark):
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert not any(kept[200 + i] for i in range(12)) and sum(kept[i] for i in range(150)) >= 148
     assert mcd.judge(docs.limit(0)).collect() == []
+
+
+def test_a_third_of_copies_is_rejected(spark):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join("w%d%s" % (rng.integers(10**6), "ab" * int(rng.integers(0, 3))) for _ in range(int(rng.integers(60, 200))))
+    copy = " ".join(f"w{i}***" for i in range(70))
+    rows = [(i, text(), "en", "s") for i in range(120)] + [(1000 + i, copy, "en", "s") for i in range(60)]
+    got = {r["doc_id"]: r["kept"] for r in mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i] for i in range(60)) and sum(got[i] for i in range(120)) >= 114
