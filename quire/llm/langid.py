@@ -1,7 +1,8 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
 * text: letter n-gram likelihoods, learned from ``documents`` with a known language (a bounded sample,
-  the first ``FIT_ROWS`` per language by the hash of the id, whole texts up to ``FIT_BYTES`` bytes);
+  the first ``FIT_ROWS`` per language by the hash of the id, whole texts up to ``FIT_BYTES`` bytes; of a language
+  that has only longer ones, their first ``FIT_BYTES`` characters);
 * declared markup language: how often pages of a language declare which one;
 * address: how often pages of a language have which suffix of the host and which language-like first path part;
 * host: a prior from the other pages of the host, smoothed towards its registered domain, that towards
@@ -9,9 +10,8 @@
 
 The counts behind the last three come from all pages by grouped aggregation, each page counting by its
 text's own posterior, so declarations that are wrong as a rule weigh little. A page's own share is taken
-out of its host's counts. What is sent to the driver are the counts of declared codes and address
-suffixes, of which the ``CODES`` most frequent have a count of their own and the others share one. Hosts stay
-distributed: their counts are summed in the tasks first, and joined back by host.
+out of its host's counts. Every declared code, suffix, path part and host has a count of its own: they are summed in
+the tasks first, and joined back by value. Numeric hosts have no suffix and are their own domain.
 
 The text's log-likelihood is divided by the square root of its length, as neighbouring n-grams
 aren't independent. Pages without text rely on the other evidence; null address and markup give none. Ties go
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ready, same, stored
 from .warc import LANG, plain_text
 
-FIT_ROWS, FIT_BYTES, CELLS, CODES, SMOOTH = 400, 20_000, 1 << 15, 200, 5.0
+FIT_ROWS, FIT_BYTES, CELLS, SMOOTH = 400, 20_000, 1 << 15, 5.0
 
 
 def cells(text: str) -> np.ndarray:
@@ -48,9 +48,13 @@ def fit_text(docs: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES)
     """Languages in alphabetical order, and the log-probability of each cell in each."""
     from pyspark.sql import Window
 
-    known = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
-    few = known.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_rank") <= rows)
-    sample = few.select("lang", "text", "h").collect()
+    long = F.octet_length("text") > max_bytes
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("lang", F.when(long, F.substring("text", 1, max_bytes)).otherwise(F.col("text")).alias("text"), F.xxhash64("doc_id", "text").alias("h"), long.alias("long"))
+    few = known.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).where(F.col("_rank") <= rows)
+    sample = few.select("lang", "text", "h", "long").collect()
+    short = {r["lang"] for r in sample if not r["long"]}
+    sample = [r for r in sample if not r["long"] or r["lang"] not in short]
     langs = sorted({r["lang"] for r in sample})
     counts = np.full((len(langs), CELLS), 0.1)
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"])):
@@ -76,8 +80,11 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
     first_path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/]+/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)", 1)
     declared = F.lower(F.regexp_extract(F.coalesce("html", none), LANG, 1))
+    numeric = host.rlike(r"^[0-9]+(\.[0-9]+)*$")
+    domain = F.when(numeric, host).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
+    suffix = F.when(numeric, none).otherwise(F.regexp_extract(host, r"\.([^.]+)$", 1))
     parts = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"),
+        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"),
         first_path.alias("path"), F.regexp_extract(declared, r"^([a-z]+)", 1).alias("declared"), plain_text(F.coalesce("html", none)).alias("text"),
     )
     return parts.mapInArrow(run, "page_id long, host string, domain string, suffix string, path string, declared string, text_log array<double>")
@@ -94,18 +101,12 @@ def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("text_p")[i]) for i in range(n)]).alias(name))
 
 
-def _likelihoods(rows: DataFrame, column: str, total: list[float], n: int) -> Column:
-    """Log-probability of the row's value of ``column`` in each language, as an array; of an empty value 0, as it says nothing."""
-    counted = _sums(rows.where(F.col(column) != ""), [column], n, "c").withColumn("all", F.aggregate("c", F.lit(0.0), lambda a, b: a + b))
-    top = counted.orderBy(F.col("all").desc(), column).limit(CODES).collect()
-    kinds = len(top) + 1
-    all_values = [sum(r["c"][i] for r in top) for i in range(n)]
-    shares = lambda c: F.array(*[F.lit(float(np.log((c[i] + 0.5) / (total[i] + 0.5 * kinds)))) for i in range(n)])
-    rest = [max(0.0, total[i] - all_values[i]) for i in range(n)]
-    out = F.when(F.col(column) == "", F.array(*[F.lit(0.0)] * n))
-    for r in top:
-        out = out.when(F.col(column) == r[column], shares(r["c"]))
-    return out.otherwise(shares(rest))
+def _likelihoods(sums: DataFrame, column: str, count: str, total: list[float], n: int) -> DataFrame:
+    """``column`` and ``_l_column``: the log-probability of each value in each language, as an array. ``sums`` has the sums of ``count`` of each value."""
+    known = sums.where(F.col(column) != "")
+    kinds = known.count() + 1  # one more for values never seen
+    logs = F.array(*[F.log((F.col(count)[i] + 0.5) / F.lit(total[i] + 0.5 * kinds)) for i in range(n)])
+    return known.select(F.col(column).alias(f"_v_{column}"), logs.alias(f"_l_{column}"))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -125,6 +126,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     counts = domains.join(suffixes, "suffix").join(hosts, ["suffix", "domain"])
     counts = stored(counts.select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), "host_n", "domain_n", "suffix_n"))
     joined = rows.join(counts, same(rows["host"], counts["_h"]) & (rows["suffix"] == counts["_s"]))
+    found = [(c, stored(_sums(rows.where(F.col(c) != ""), [c], n, "c")), "c") for c in ("declared", "path")]
+    for column, sums, count in [*found, ("suffix", stored(suffixes), "suffix_n")]:
+        logs = _likelihoods(sums, column, count, total, n)
+        joined = joined.join(logs, F.col(column) == F.col(f"_v_{column}"), "left")
+    said = lambda c: F.coalesce(F.col(f"_l_{c}"), F.array(*[F.lit(0.0)] * n))
     whole = F.array(*[F.lit((t + 1) / (sum(total) + n)) for t in total])
 
     def smoothed(count: str, above: Column) -> Column:
@@ -135,7 +141,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     a = joined.withColumn("_suffix_p", smoothed("suffix_n", whole))
     a = a.withColumn("_domain_p", smoothed("domain_n", F.col("_suffix_p")))
     a = a.withColumn("_host_p", smoothed("host_n", F.col("_domain_p")))
-    a = a.withColumn("_declared", _likelihoods(rows, "declared", total, n)).withColumn("_address", _likelihoods(rows, "suffix", total, n)).withColumn("_path", _likelihoods(rows, "path", total, n))
+    a = a.withColumn("_declared", said("declared")).withColumn("_address", said("suffix")).withColumn("_path", said("path"))
     logs = F.array(*[F.col("text_log")[i] + F.log(F.col("_host_p")[i]) + F.col("_declared")[i] + F.col("_address")[i] + F.col("_path")[i] for i in range(n)])
     fused = a.withColumn("_logs", logs).withColumn("_p", posterior(F.col("_logs"), n))
     names = F.array(*map(F.lit, langs))

@@ -78,6 +78,23 @@ def test_posteriors_equal_a_plain_version(spark, texts):
         assert r["lang"] == langs[int(want[r["page_id"]].argmax())] and abs(r["probability"] - want[r["page_id"]].max()) < 1e-6
 
 
+def test_rare_values_have_counts_of_their_own(spark, texts):
+    code = lambda k: "x" + chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(c, "en") for k in range(260) for c in [code(k)] * (4 if k < 200 else 2)] + [("yy", "fr")] * 300 + [("fr", "fr")] * 3
+    rows = [(i, f"http://h{i}/{i}", page(c, WORDS[t])) for i, (c, t) in enumerate(rows)] + [(-1, "http://new/x", page("fr", ""))]
+    got = {r["page_id"]: r["lang"] for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), texts).collect()}
+    assert len(got) == len(rows) and got[-1] == "fr"
+
+
+def test_numeric_hosts_have_no_suffix_and_long_texts_a_class(spark, texts):
+    longer = spark.createDataFrame([(500, "der die das und nicht mit einem auch " * 1000, "de")], texts.schema)
+    langs, table = langid.fit_text(texts.union(longer))
+    assert langs == ["de", "en", "fr"]
+    urls = [(1, "http://10.0.0.77/a", ""), (2, "http://a.b.fr/", "")]
+    got = {r["page_id"]: (r["domain"], r["suffix"]) for r in langid.evidence(spark.createDataFrame(urls, "page_id long, url string, html string"), langs, table).collect()}
+    assert got == {1: ("10.0.0.77", ""), 2: ("b.fr", "fr")}
+
+
 def read_warc(path):
     """Records of WARC files, by Content-Length."""
     for name in sorted(glob.glob(f"{path}/part-*")):
