@@ -11,8 +11,8 @@ mean and covariance anew from them, until no estimate changes or for ``STEPS`` s
 takes all rows within the 97.5 % quantile. Rows farther than ``CUT`` from their group's estimate are rejected.
 
 A group with fewer than ``LEAST_ROWS`` rows uses the estimate of its language, and a language with fewer
-that of all rows. ``FLOORS`` are added to the variances, so that a statistic that is the same for most rows
-doesn't reject on its slightest change. Each step is two sums over the rows, with partial sums in the tasks first: one
+that of all rows. ``FLOORS``, the rounding of the statistics, are added to the variances, so that a statistic that is the same for most rows
+doesn't reject on its least step. ``CUT`` is the 0.9999 quantile of the chi-square distribution. Each step is two sums over the rows, with partial sums in the tasks first: one
 of counts by distance class (which gives the distance that covers the share), and one of moments.
 Vectors are rounded to binary fractions, so sums don't depend on the order.
 
@@ -22,6 +22,7 @@ count each. Windows are compared by 64-bit hashes within a text. An empty table
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -35,10 +36,12 @@ SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NAMES = ("words", "length", "symbols", "lines", "repeats")
 DIM = len(NAMES)
-FLOORS = (0.25, 0.02, 0.1, 0.25, 0.6)
+#: Variances of the statistics' steps: a deviation of one word or letter in LEAST_WORDS; the rounding to one symbol or line, and to
+#: the WINDOW + 1 words that the least repeat has, in 100 words.
+FLOORS = (1 / LEAST_WORDS**2, 1 / LEAST_WORDS**2, math.log(2) ** 2 / 12, math.log(2) ** 2 / 12, math.log(WINDOW + 2) ** 2 / 12)
 COVER, STEPS, LEAST_ROWS = 0.55, 20, 60
 CHI_MEDIAN, CHI_975 = 4.351, 12.833  # quantiles of 5 degrees of freedom
-CUT = 35.9  # the quantile of one in a million
+CUT = 25.745  # the quantile of 0.9999: of normal rows one in ten thousand is rejected
 FRACTION, CLASSES = 1024.0, 32
 
 

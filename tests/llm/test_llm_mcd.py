@@ -111,3 +111,22 @@ def test_a_third_of_copies_is_rejected(spark):
     rows = [(i, text(), "en", "s") for i in range(120)] + [(1000 + i, copy, "en", "s") for i in range(60)]
     got = {r["doc_id"]: r["kept"] for r in mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(got[1000 + i] for i in range(60)) and sum(got[i] for i in range(120)) >= 114
+
+
+def test_moderate_outliers_of_each_statistic(spark):
+    rng = np.random.default_rng(2)
+    words = lambda n: ["w%d%s" % (rng.integers(10**6, 10**7), "ab" * int(rng.integers(0, 3))) for _ in range(n)]
+    rows = [(i, " ".join(words(int(rng.integers(80, 160)))), "en", "s") for i in range(150)]
+    repeated = words(9)
+    odd = {
+        "n_words": " ".join(words(900)),
+        "word_chars": " ".join(w + "abcdefghi" for w in words(100)),
+        "n_symbols": " ".join(words(90) + ["#"] * 10),
+        "n_dup_lines": "\n".join([" ".join(words(4)) for _ in range(20)] + ["one"] * 11),
+        "n_repeat_words": " ".join(words(42) + repeated + words(40) + repeated),
+    }
+    rows += [(1000 + k, text, "en", "s") for k, text in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for k, name in enumerate(odd):
+        assert not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"], (name, got[1000 + k]["distance"])
+    assert sum(got[i]["kept"] for i in range(150)) >= 147
