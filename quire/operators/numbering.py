@@ -1,13 +1,17 @@
 """P1 page numbering: dense 0-based position of each row inside its input.
 
 Equivalent to ``row_number() OVER (PARTITION BY key ORDER BY order) - 1`` but does not send a
-whole input to one task: the (key, order) columns alone are range-partitioned, numbered
-locally, and each partition's offset inside its input comes from a small table of
+whole input to one task: the rows are range-partitioned by (key, order), take their position in the
+partition along, and each partition's offset inside an input comes from a small table of
 per-partition counts. A hot input that spans many partitions is numbered by many tasks.
 
-The numbered key table is written once (reliable checkpoint) before the offsets are joined
-back: partition ids come from a shuffle, and two evaluations of a shuffle (e.g. after AQE
-coalesces partitions differently, or a lost executor) need not give the same ids.
+Positions belong to rows, not to values, so n rows give n rows whatever repeats. Rows equal in key and order are told
+apart by the partition they came from, so that even a group of them is spread over many tasks; which of them
+comes first is not defined.
+
+The rows with their positions are written once (a table in the checkpoint folder) before the offsets are joined to them:
+positions come from a shuffle, and two evaluations of a shuffle (e.g. after AQE
+coalesces partitions differently, or a lost executor) need not give the same ones.
 """
 
 from __future__ import annotations
@@ -21,38 +25,25 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = (partition index << 33) + row
 
 
 def number_rows(df: DataFrame, key: str, order: list[str], out: str = "page_no") -> DataFrame:
-    """Add ``out`` (INT, 0-based) = rank of the row in ``order`` within ``key``.
-
-    ``key`` + ``order`` must be unique (a total order), so ranks are well defined.
-    """
+    """Add ``out`` (INT, 0-based) = rank of the row in ``order`` within ``key``, nulls first. Every row is kept, also of a null key,
+    with null order values, or repeated; the ranks of a key's n rows are 0 to n - 1."""
     cols = [key, *order]
-    tagged = (
-        df.select(*cols)
-        .repartitionByRange(*cols)
+    placed = (
+        df.withColumn("_from", F.spark_partition_id())
+        .repartitionByRange(*cols, "_from")
         .sortWithinPartitions(*cols)
+        .drop("_from")
         .withColumn("_mid", F.monotonically_increasing_id())
-        .select(*cols, F.shiftright("_mid", _LOCAL_BITS).alias("_part"), F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
+        .select(*df.columns, F.shiftright("_mid", _LOCAL_BITS).alias("_part"), F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
     )
-    tagged = cut_lineage(tagged)
-    spans = tagged.groupBy("_part", key).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    placed = cut_lineage(placed)
+    spans = placed.groupBy("_part", key).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     spans = spans.select(F.col("_part").alias("_s_part"), F.col(key).alias("_s_key"), "_first", "_offset")
     # null-safe, so the rows of a null key are numbered like those of any other
-    ranks = tagged.join(spans, (F.col("_part") == F.col("_s_part")) & F.col(key).eqNullSafe(F.col("_s_key"))).select(
-        *[F.col(c).alias(f"_r_{c}") for c in cols], (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int").alias(out)
-    )
-    cond = None
-    for c in cols:  # null-safe, so a null order value keeps its row
-        e = df[c].eqNullSafe(ranks[f"_r_{c}"])
-        cond = e if cond is None else cond & e
-    return df.join(ranks, cond).drop(*[f"_r_{c}" for c in cols])
-
-
-def number_rows_window(df: DataFrame, key: str, order: list[str], out: str = "page_no") -> DataFrame:
-    """Plain window form; fine when every input is known to be small."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    whole = placed.join(spans, (F.col("_part") == F.col("_s_part")) & F.col(key).eqNullSafe(F.col("_s_key")))
+    return whole.select(*df.columns, (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int").alias(out))
 
 
 def dense_rank_within(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
