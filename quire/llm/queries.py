@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, grammar, langid, mcd, mixing, packing, pii, simhash, vamana, warc
+from . import bytecnn, fim, grammar, langid, mcd, mixing, negatives, packing, pii, sharding, simhash, vamana, warc
 from .common import held_out, table
 
 
@@ -58,6 +58,22 @@ def op10_derivative_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "source_digest", "block_digest", "content_type", "content_length")
 
 
+def op11_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_learned_rank_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op13_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), sharding.SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
