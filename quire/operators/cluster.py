@@ -6,7 +6,7 @@ with ``spread``; nothing switches by an input's size:
 * ``spread=True`` (default) - inputs of any size. Average and complete linkage merge in blocks of pages (``blocks.py``).
   Single linkage takes connected components of the below-threshold edges
   (``components.py``), which needs O(log^2 n) rounds however long the page chains are. Settings without a band of pages
-  (alpha >= 1), and distances of the caller's, merge mutual nearest neighbours over a cluster-pair table (``rounds.py``).
+  (alpha >= 1) merge over rows of distances (``rowstore.py``), distances of the caller's over a cluster-pair table (``rounds.py``).
 * ``spread=False``, for inputs known to be small - ``groupBy(input_id).applyInPandas``: a task builds an input's matrix with numpy
   and merges greedily. It holds 8 n^2 bytes for n pages. A ``matrix`` of the caller's is of a whole input, so it takes this path.
 """
@@ -101,6 +101,8 @@ def cluster_pages(
         return single_linkage_components(pages, alpha, threshold, vec)
     if distance is None and block_pages(alpha, threshold):
         return block_labels(pages, alpha, threshold, linkage, vec)
+    if distance is None:
+        return threshold_sweep(pages, alpha, [threshold], linkage, vec).drop("threshold")
     return cluster_rounds(pages, alpha, threshold, linkage, vec, distance)
 
 
@@ -111,12 +113,15 @@ def threshold_sweep(
     linkage: str = DEFAULT_LINKAGE,
     vec: str = "embedding",
     spread: bool = True,
+    block: int | None = None,
 ) -> DataFrame:
-    """A4: labels of every input at many thresholds. One merge sequence per input gives them all; with ``spread`` the
-    merge heights come from one run of the distributed merging at the highest threshold."""
+    """A4: labels of every input at many thresholds, from one merge tree per input. With ``spread`` inputs longer than ``block`` pages are cut over
+    tasks (``sweep.py``)."""
     _check_linkage(linkage)
     if not spread:
         return cluster_grouped(pages, alpha, thresholds, linkage, vec)
-    from .rounds import labels_from_merges, merge_rounds
+    from .sweep import by_length, long_labels
 
-    return labels_from_merges(pages, merge_rounds(pages, alpha, max(thresholds), linkage, vec), thresholds)
+    short, long = by_length(pages.select("input_id", "page_no", vec), block)
+    labels = cluster_grouped(short, alpha, thresholds, linkage, vec)
+    return labels if long is None else labels.unionByName(long_labels(long, alpha, linkage, thresholds, vec, block))

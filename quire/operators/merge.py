@@ -16,19 +16,22 @@ INF = np.inf
 BLOCK_VALUES = 1 << 23  # differences held at once
 
 
-def blended_matrix(x: np.ndarray, pages: np.ndarray, alpha: float, decimals: int = 9, values: int = BLOCK_VALUES) -> np.ndarray:
-    """n x n blended distances, built in row blocks to bound memory (direct differences, no
+def l2_block(x: np.ndarray, y: np.ndarray, values: int = BLOCK_VALUES) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` and ``y``, in row blocks to bound memory (direct differences, no
     ||x||^2 - 2xy expansion, so near-duplicates do not lose digits)."""
-    n = x.shape[0]
-    rows = max(1, values // max(1, x.size))
-    out = np.empty((n, n), dtype=np.float64)
+    rows = max(1, values // max(1, y.size))
+    out = np.empty((len(x), len(y)), dtype=np.float64)
+    for s in range(0, len(x), rows):
+        diff = x[s : s + rows, None, :] - y[None, :, :]
+        out[s : s + rows] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def blended_matrix(x: np.ndarray, pages: np.ndarray, alpha: float, decimals: int = 9, values: int = BLOCK_VALUES, l2: np.ndarray | None = None) -> np.ndarray:
+    """n x n blended distances; ``l2``: the content distances, if they are known."""
     pg = pages.astype(np.float64)
-    for s in range(0, n, rows):
-        e = min(n, s + rows)
-        diff = x[s:e, None, :] - x[None, :, :]
-        l2 = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        out[s:e] = alpha * l2 + (1.0 - alpha) * np.abs(pg[s:e, None] - pg[None, :])
-    return np.round(out, decimals)
+    l2 = l2_block(x, x, values) if l2 is None else l2
+    return np.round(alpha * l2 + (1.0 - alpha) * np.abs(pg[:, None] - pg[None, :]), decimals)
 
 
 def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float | None = None):

@@ -8,7 +8,7 @@ Each round:
    single mn over whatever is known); keep values below the threshold;
 2. every cluster's nearest neighbour = least (value, low id, high id) over its pairs;
 3. merge all *mutual* nearest pairs at once (reducible linkages give the same clusters as
-   one-at-a-time greedy merging), renaming the higher id to the lower, and note the merge height;
+   one-at-a-time greedy merging), renaming the higher id to the lower;
 4. re-aggregate the pair table under the new ids (a shuffle keyed by the cluster pair, not by
    the input, so a hot input is spread over many tasks) and write it to the cluster's checkpoint
    folder. Inputs without any value below the threshold are final and leave the table.
@@ -30,7 +30,6 @@ For alpha >= 1 (or below 0) there is no band, and average linkage starts from al
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +37,12 @@ from pyspark.sql import functions as F
 from ..constants import DIST_DECIMALS
 from ..functions.vectors import blended_distance
 from ..session import cut_lineage
-from .blocks import block_merges, block_pages, plain_id, with_settings
 from .pairs import band_width, page_pairs
 
 _KNOWN = ["s", "c", "mx", "mn"]
-MERGE_SCHEMA = "input_id string, a int, b int, height double"
 
 
-def _linkage_value(linkage: str | dict[int, str]):
-    """The linkage value of a pair; of several linkages, by the setting before the input id."""
-    if isinstance(linkage, dict):
-        of = lambda k: F.substring_index("input_id", ":", 1) == str(k)
-        return F.coalesce(*[F.when(of(k), _linkage_value(x)) for k, x in linkage.items()])
+def _linkage_value(linkage: str):
     whole = F.col("c") == F.col("na") * F.col("nb")
     if linkage == "average":
         return F.when(whole, F.round(F.col("s") / F.col("c"), DIST_DECIMALS))
@@ -99,25 +92,20 @@ def _cross_sums(wanted: DataFrame, labels: DataFrame, vectors: DataFrame, alpha:
     return _summed(pages.select("input_id", "ca", "cb", dist.alias("s"), F.lit(1).cast("long").alias("c"), dist.alias("mx"), dist.alias("mn")))
 
 
-def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str, distance: Callable | None = None, known: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """``labels(input_id, page_no, cl)`` at the threshold, and the merges of each round. A ``distance`` of the
-    caller's has no known band, so all page pairs of an input are taken. ``known``: the pair table to start from, whose
-    labels aren't asked for."""
+def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str, distance: Callable | None = None) -> DataFrame:
+    """``labels(input_id, page_no, cl)`` at the threshold. A ``distance`` of the caller's has no known band, so all page pairs of an
+    input are taken."""
     pages = pages.select("input_id", "page_no", vec)
-    merges_only = known is not None
-    band, demand = None if distance or merges_only else band_width(alpha, threshold), False
+    band, demand = None if distance else band_width(alpha, threshold), False
     if linkage == "average" and band is not None:
         demand, vectors = True, pages.select("input_id", "page_no", F.col(vec).alias("v"))
     labels = cut_lineage(pages.select("input_id", "page_no", F.col("page_no").alias("cl")))
     clusters = cut_lineage(labels.select("input_id", "cl", F.lit(1).cast("long").alias("n"), F.col("page_no").cast("long").alias("pages")))
     if demand:
         known = cut_lineage(_cross_sums(_in_band(clusters, band), labels, vectors, alpha))
-    elif merges_only:
-        known = cut_lineage(known)
     else:
         pairs = page_pairs(pages, alpha, vec=vec, max_gap=band, distance=distance)
         known = cut_lineage(_as_clusters(pairs if linkage == "average" else pairs.where(F.col("dist") < float(threshold))))
-    rounds: list[DataFrame] = []
     while True:
         na = clusters.select("input_id", F.col("cl").alias("ca"), F.col("n").alias("na"))
         nb = clusters.select("input_id", F.col("cl").alias("cb"), F.col("n").alias("nb"))
@@ -128,8 +116,7 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
         mutual = nearest.groupBy("input_id", "p").agg(F.count("*").alias("sides")).where(F.col("sides") == 2)
         merged = cut_lineage(mutual.select("input_id", F.col("p.ca").alias("a"), F.col("p.cb").alias("b"), F.col("p.v").alias("height")))
         if merged.isEmpty():
-            return labels, rounds
-        rounds.append(merged)
+            return labels
         alive = merged.select("input_id").distinct()
         if demand:
             known = known.join(alive, "input_id", "left_semi")
@@ -150,59 +137,10 @@ def _merge(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec:
             known = known.join(size("ca"), ["input_id", "ca"]).join(size("cb"), ["input_id", "cb"]).where(F.col("c") == F.col("n_ca") * F.col("n_cb")).drop("n_ca", "n_cb")
         known = cut_lineage(known)
         clusters = after
-        if not merges_only:
-            labels = cut_lineage(_renamed(labels, merged, "cl"))
+        labels = cut_lineage(_renamed(labels, merged, "cl"))
 
 
 def cluster_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding", distance: Callable | None = None) -> DataFrame:
     """``(input_id, page_no, label)`` by mutual-nearest-neighbour rounds."""
-    labels, _ = _merge(pages, alpha, threshold, linkage, vec, distance)
+    labels = _merge(pages, alpha, threshold, linkage, vec, distance)
     return labels.select("input_id", "page_no", F.col("cl").cast("int").alias("label"))
-
-
-def _all(rounds: list[DataFrame], pages: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, rounds) if rounds else pages.sparkSession.createDataFrame([], MERGE_SCHEMA)
-
-
-def merge_rounds(pages: DataFrame, alpha: float, threshold: float, linkage: str, vec: str = "embedding") -> DataFrame:
-    """``(input_id, a, b, height)``: the merges of cluster b into a below the threshold."""
-    merges = settings_merges(pages, {0: (float(alpha), linkage)}, threshold, vec)
-    return merges.withColumn("input_id", plain_id())
-
-
-def settings_merges(pages: DataFrame, settings: dict[int, tuple[float, str]], threshold: float, vec: str = "embedding") -> DataFrame:
-    """``merge_rounds`` of several settings ``(alpha, linkage)``, with input ids ``"<setting>:<input_id>"``: those with a
-    band in blocks of pages, all others together in one run of the pair table's rounds."""
-    top = float(threshold)
-    near = {k: s for k, s in settings.items() if s[1] != "single" and block_pages(s[0], top)}
-    rest = {k: s for k, s in settings.items() if k not in near}
-    parts = [block_merges(pages, near, top, vec)] if near else []
-    if rest:
-        known = None
-        for a in sorted({a for a, _ in rest.values()}):
-            pairs = cut_lineage(page_pairs(pages.select("input_id", "page_no", vec), a, vec=vec, max_gap=band_width(a, top)))
-            for k in [k for k, s in rest.items() if s[0] == a]:
-                mine = pairs if rest[k][1] == "average" else pairs.where(F.col("dist") < top)
-                mine = _as_clusters(mine.withColumn("input_id", F.concat(F.lit(f"{k}:"), "input_id")))
-                known = mine if known is None else known.unionByName(mine)
-        _, rounds = _merge(with_settings(pages, rest, vec), None, top, {k: lk for k, (_, lk) in rest.items()}, "v", known=known)
-        parts.append(_all(rounds, pages))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def labels_from_merges(pages: DataFrame, merges: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``(input_id, threshold, page_no, label)`` for every threshold. Heights never fall along a page's merges, so the
-    merges below a threshold are the start of its way up; ways are followed by doubling."""
-    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    up = merges.select("input_id", F.col("b").alias("page_no"), F.col("a").alias("label"), "height", each).where(F.col("height") < F.col("threshold"))
-    out = cut_lineage(
-        pages.select("input_id", "page_no", each).join(up.drop("height"), ["input_id", "threshold", "page_no"], "left")
-        .select("input_id", "threshold", "page_no", F.coalesce("label", "page_no").cast("int").alias("label"))
-    )
-    while True:
-        step = out.select("input_id", "threshold", F.col("page_no").alias("label"), F.col("label").alias("_next"))
-        new = out.join(step, ["input_id", "threshold", "label"]).select("input_id", "threshold", "page_no", "label", "_next")
-        new = cut_lineage(new)
-        if new.where(F.col("label") != F.col("_next")).isEmpty():
-            return out
-        out = new.select("input_id", "threshold", "page_no", F.col("_next").alias("label"))

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import blocks, cluster, evaluate, segment
-from quire.operators.rounds import settings_merges
 from quire.plans import queries, split
 
 
@@ -62,16 +61,6 @@ def test_the_path_without_a_limit_is_the_default():
         assert "spread=False" not in inspect.getsource(q)
 
 
-def test_settings_together_equal_each_alone(spark):
-    pages = _pages(spark, [14, 9])
-    settings = {0: (0.85, "average"), 1: (1.0, "single"), 2: (1.1, "average"), 3: (0.9, "complete"), 4: (0.85, "single")}
-    got = settings_merges(pages, settings, 1.4).collect()
-    for k, (alpha, linkage) in settings.items():
-        want = cluster.cluster_pages(pages, alpha, 1.4, linkage, spread=False)
-        roots = want.where(F.col("page_no") != F.col("label")).count()
-        assert sum(r.input_id.startswith(f"{k}:") for r in got) == roots
-
-
 def test_boundaries_with_pages_missing(spark):
     pages = _pages(spark, [90, 5], kinds=3).where("page_no NOT BETWEEN 12 AND 41 AND page_no % 7 != 0")
     assert _labels(segment.boundary_chunked(pages, 0.6, chunk=8)) == _labels(segment.boundary_fold(pages, 0.6))

@@ -72,14 +72,6 @@ def test_rounds_on_ties(spark, alpha, t):
         assert _labels(cluster_rounds(pages, alpha, t, linkage)) == _expected(pages.collect(), alpha, t, linkage), linkage
 
 
-@pytest.mark.parametrize("linkage", ["average", "single"])
-def test_sweep_by_rounds_equals_merge_sequences(spark, linkage):
-    pages = _pages(spark, n_inputs=2, n=18)
-    ts = [0.3, 0.9, 1.3, 2.0]
-    rows = lambda df: sorted((r.input_id, r.threshold, r.page_no, r.label) for r in df.collect())
-    assert rows(threshold_sweep(pages, 0.85, ts, linkage, spread=True)) == rows(threshold_sweep(pages, 0.85, ts, linkage))
-
-
 def test_only_pairs_in_the_band_are_summed(spark):
     """A long input at a narrow band: the pair table stays far below all page pairs."""
     from quire.operators import rounds as R
