@@ -1,4 +1,5 @@
-"""Benchmark (BENCH_LONG=1 adds the clustering of one long input by rounds): headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+"""Benchmark (BENCH_LONG=1 adds the clustering of one long input by rounds): headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line,
+and each query's time to stderr as it ends.
 
 Each query runs to completion through the ``noop`` sink (every row computed, nothing
 collected to the driver). Times are wall seconds per query, after one warm-up query.
@@ -62,6 +63,7 @@ def main() -> None:
         t0 = time.time()
         reg[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 

@@ -7,10 +7,12 @@ the sum is carried.
 
 Two paths with one result, named by the caller:
 * fold - Catalyst ``aggregate`` over the input's (page, vector) list, which is one value.
-* chunked - for inputs of any size: pages are cut into chunks of bounded size; every chunk is
-  scanned in parallel from a fresh start, then re-scanned from its true incoming state only
-  until it meets a boundary the fresh scan also has (from there both scans agree). Rounds repeat
-  only for chunks whose predecessor did not re-synchronise. See ``boundary_chunked``.
+* chunked - for inputs of any size: pages are cut into chunks of bounded size, and every chunk is scanned in parallel, first from a
+  fresh start. What a chunk needs from those before it is the sum of the open segment's pages, which is known once the page where
+  that segment began is known. All chunks take the latest boundary that their predecessors have found so far for it; sums of whole
+  stretches of chunks come from a prefix sum over chunk totals, so a segment that runs through a thousand chunks is one guess like any other.
+  Chunks whose segment begins elsewhere than thought are scanned again, until they meet a boundary the fresh scan
+  also has. It ends when no chunk's beginning changes. See ``boundary_chunked``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_BOUNDARY_THRESHOLD
 from ..functions.vectors import cosine_similarity, vector_add
 from ..session import cut_lineage
-from .numbering import dense_rank_within
 
 CHUNK_PAGES = 1024
 STRIP_PAGES = 4096
@@ -56,129 +57,104 @@ def boundary_fold(pages: DataFrame, threshold: float | None = None, vec: str = "
 
 
 # ---------------------------------------------------------------- chunked path (large inputs)
-def _scan(x: np.ndarray, cut: float, s0: np.ndarray | None):
-    """Sequential scan of one chunk. ``s0`` None = fresh start at the first page.
-    Returns (boundary flags, final running sum)."""
-    n = x.shape[0]
+LEAST_STRETCH, LARGEST_STRETCH = 16, 256  # pages looked at together
+
+
+def _scan(x: np.ndarray, cut: float, s0: np.ndarray | None, fresh: np.ndarray | None = None) -> np.ndarray:
+    """Boundary flags of a chunk. ``s0``: the sum of the open segment's pages before it, None for a start at its first page. ``fresh``: the flags of
+    the scan without ``s0``; from a boundary that both have on, they are equal.
+
+    Stretches of pages are taken together: sums up to each page as if none were a boundary, and the first that is one ends the stretch."""
+    n = len(x)
     flags = np.zeros(n, dtype=bool)
-    if n == 0:
-        return flags, s0
-    if s0 is None:
-        s = x[0].copy()
-        flags[0] = True
-        start = 1
-    else:
-        s = s0.copy()
-        start = 0
-    for i in range(start, n):
-        ns, nx = np.linalg.norm(s), np.linalg.norm(x[i])
-        sim = 0.0 if ns == 0 or nx == 0 else float(np.dot(x[i], s) / (ns * nx))
-        if sim < cut:
-            flags[i] = True
-            s = x[i].copy()
-        else:
-            s = s + x[i]
-    return flags, s
-
-
-def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", chunk: int = CHUNK_PAGES) -> DataFrame:
-    """Exact W1 for inputs of any size with bounded work per task (see module doc)."""
-    cut = 1.0 - _threshold(threshold)
-    p = cut_lineage(pages.select("input_id", "page_no", F.col(vec).alias("v"), F.floor(F.col("page_no") / chunk).cast("int").alias("_cut")))
-    # chunks without a page have no number, so a chunk's predecessor is always there
-    numbered = dense_rank_within(p.select("input_id", "_cut").distinct(), "input_id", "_cut", "chunk")
-    p = cut_lineage(p.join(numbered, ["input_id", "_cut"]).drop("_cut"))
-
-    def fresh(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_no")
-        x = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-        flags, s = _scan(x, cut, None)
-        return pd.DataFrame(
-            {"input_id": [pdf["input_id"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])], "pages": [pdf["page_no"].tolist()], "flags": [flags.tolist()], "s_out": [s.tolist()]}
-        )
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    s, at, size = s0, 0, LEAST_STRETCH
+    if s is None and n:
+        s, flags[0], at = x[0], True, 1
+    while at < n:
+        part = x[at : at + size]
+        sums = np.cumsum(np.concatenate((s[None, :], part)), axis=0)  # row k: the sum before page at + k
+        scale = np.sqrt(np.einsum("ij,ij->i", sums[:-1], sums[:-1])) * norm[at : at + size]
+        dots = np.einsum("ij,ij->i", part, sums[:-1])
+        below = np.divide(dots, scale, out=np.zeros(len(part)), where=scale > 0) < cut
+        if not below.any():
+            s, at, size = sums[-1], at + len(part), min(LARGEST_STRETCH, size * 2)
+            continue
+        k = at + int(below.argmax())
+        flags[k] = True
+        if fresh is not None and fresh[k]:
+            flags[k:] = fresh[k:]
+            break
+        s, at, size = x[k], k + 1, LEAST_STRETCH
+    return flags
+
+
+_CHUNK = "input_id string, chunk int, pages array<int>, flags array<boolean>, began int, tail array<double>, start int"
+
+
+def _chunk_row(pdf: pd.DataFrame, cut: float, s0, fresh, start) -> pd.DataFrame:
+    """A chunk's flags, the page of its last boundary (``began``; null: none), the sum of its pages from there on, and the ``start`` it was scanned for.
+    The first page of an input is a boundary; that of another chunk is one only if the segment before it ends there."""
+    chunk = int(pdf["chunk"].iloc[0])
+    x = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+    flags = _scan(x, cut, s0, fresh)
+    real = flags.copy()
+    if s0 is None and chunk:
+        real[0] = False
+    last = int(np.flatnonzero(real)[-1]) if real.any() else 0
+    pages = pdf["page_no"].tolist()
+    out = pd.DataFrame({"input_id": [pdf["input_id"].iloc[0]], "chunk": [chunk], "pages": [pages], "flags": [flags.tolist()], "tail": [x[last:].sum(0).tolist()]})
+    out["began"] = pd.array([pages[last] if real.any() else None], dtype="Int32")
+    out["start"] = pd.array([start], dtype="Int32")
+    return out[["input_id", "chunk", "pages", "flags", "began", "tail", "start"]]
 
-    spec = cut_lineage(
-        p.groupBy("input_id", "chunk").applyInPandas(fresh, "input_id string, chunk int, pages array<int>, flags array<boolean>, s_out array<double>")
-    )
-    # Every chunk's guess of its incoming sum is its predecessor's latest outgoing sum, named by a
-    # tag. A re-scan that re-synchronises leaves with the fresh scan's sum (tag "s<k>"), so its
-    # successor's guess was right. Each round fixes the longest verified prefix of every input.
-    cur = cut_lineage(
-        spec.select(
-            "input_id", "chunk", "flags", "s_out",
-            F.concat(F.lit("s"), F.col("chunk").cast("string")).alias("tag"),
-            (F.col("chunk") == 0).alias("done"),
-        )
-    )
-    rnd = 0
-
-    def fixup(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_no")
-        x = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-        s = np.asarray(st["s_in"].iloc[0], dtype=np.float64)
-        spec_flags = np.asarray(st["flags"].iloc[0], dtype=bool)
-        k = int(st["chunk"].iloc[0])
-        flags = spec_flags.copy()
-        synced = False
-        for i in range(x.shape[0]):
-            ns, nx = np.linalg.norm(s), np.linalg.norm(x[i])
-            sim = 0.0 if ns == 0 or nx == 0 else float(np.dot(x[i], s) / (ns * nx))
-            new = sim < cut
-            flags[i] = new
-            if new and spec_flags[i]:
-                synced = True  # both scans restart here: the rest equals the fresh scan
-                break
-            s = x[i].copy() if new else s + x[i]
-        s_out = np.asarray(st["s_out"].iloc[0], dtype=np.float64) if synced else s
-        tag = f"s{k}" if synced else f"r{int(st['rnd'].iloc[0])}:{k}"
-        return pd.DataFrame(
-            {
-                "input_id": [st["input_id"].iloc[0]], "chunk": [k], "flags": [flags.tolist()], "s_out": [s_out.tolist()],
-                "tag": [tag], "tag_in": [st["tag_in"].iloc[0]],
-            }
-        )
 
-    schema = "input_id string, chunk int, flags array<boolean>, s_out array<double>, tag string, tag_in string"
+def boundary_chunked(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", chunk: int = CHUNK_PAGES, rounds: list | None = None) -> DataFrame:
+    """Exact W1 for inputs of any size with bounded work per task (see module doc). ``rounds``: a list that gets the number of chunks
+    scanned in each round after the first."""
+    cut = 1.0 - _threshold(threshold)
+    p = pages.select("input_id", "page_no", F.col(vec).alias("v"), F.floor(F.col("page_no") / chunk).cast("int").alias("chunk"))
+    p = cut_lineage(p)
+    key = ["input_id", "chunk"]
+    fresh = p.groupBy(*key).applyInPandas(lambda pdf: _chunk_row(pdf.sort_values("page_no"), cut, None, None, None), _CHUNK)
+    fresh = cut_lineage(fresh)
+    # chunks without a page have no row, so an input's first chunk may have any number
+    firsts = fresh.groupBy("input_id").agg(F.min("chunk").alias("_first"))
+    cur = fresh
+
+    def again(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        s0 = np.asarray(state["s_in"].iloc[0], dtype=np.float64)
+        return _chunk_row(pdf.sort_values("page_no"), cut, s0, np.asarray(state["flags"].iloc[0], dtype=bool), int(state["_start"].iloc[0]))
+
+    before = Window.partitionBy("input_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        pending = cur.where(~F.col("done"))
-        if pending.isEmpty():
+        # the page where the segment that is open before each chunk began, as far as is known
+        begun = F.coalesce("began", F.when(F.col("chunk") == F.col("_first"), F.col("pages")[0]))
+        seen = cur.join(firsts, "input_id").select(*key, begun.alias("began"), "tail", "start", F.last(begun, ignorenulls=True).over(before).alias("_start"), F.lead("chunk").over(Window.partitionBy("input_id").orderBy("chunk")).alias("_next"))
+        seen = cut_lineage(seen)
+        stale = seen.where(F.col("_start").isNotNull() & ~F.col("_start").eqNullSafe(F.col("start"))).select(*key, "_start")
+        count = stale.count()
+        if not count:
             break
-        rnd += 1
-        prev = cur.select("input_id", (F.col("chunk") + 1).alias("chunk"), F.col("s_out").alias("s_in"), F.col("tag").alias("tag_in"))
-        spec_k = spec.select("input_id", "chunk", "flags", "s_out")
-        state = (
-            pending.select("input_id", "chunk")
-            .join(spec_k, ["input_id", "chunk"])
-            .join(prev, ["input_id", "chunk"])
-            .withColumn("rnd", F.lit(rnd))
-        )
-        work = p.join(pending.select("input_id", "chunk"), ["input_id", "chunk"], "left_semi")
-        done_now = work.groupBy("input_id", "chunk").cogroup(state.groupBy("input_id", "chunk")).applyInPandas(fixup, schema)
-        merged = cur.where(F.col("done")).withColumn("tag_in", F.lit(None).cast("string")).unionByName(
-            done_now.withColumn("done", F.lit(False))
-        )
-        merged = cut_lineage(merged)
-        pred = merged.select("input_id", (F.col("chunk") + 1).alias("chunk"), F.col("tag").alias("_pred_tag"))
-        checked = merged.join(pred, ["input_id", "chunk"], "left")
-        bad = checked.where(~F.col("done") & (F.col("tag_in") != F.col("_pred_tag"))).groupBy("input_id").agg(F.min("chunk").alias("_bad"))
-        cur = cut_lineage(
-            checked.join(bad, "input_id", "left")
-            .select(
-                "input_id", "chunk", "flags", "s_out", "tag",
-                (F.col("done") | F.col("_bad").isNull() | (F.col("chunk") < F.col("_bad"))).alias("done"),
-            )
-        )
-    resolved = cur
+        if rounds is not None:
+            rounds.append(count)
+        # totals of chunks from the one where the segment began to each chunk, per component
+        own = F.coalesce("began", "_start").alias("_segment")
+        cells = seen.select("input_id", "chunk", "_next", own, F.posexplode("tail").alias("_dim", "_x"))
+        upto = Window.partitionBy("input_id", "_segment", "_dim").orderBy("chunk")
+        sums = cells.withColumn("_s", F.sum("_x").over(upto)).where(F.col("_next").isNotNull())
+        sums = sums.select("input_id", F.col("_next").alias("chunk"), "_dim", "_s").join(stale, key, "left_semi")
+        sums = sums.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_s"))), lambda c: c["_s"]).alias("s_in"))
+        state = stale.join(sums, key).join(fresh.select(*key, "flags"), key)
+        work = p.join(stale.select(*key), key, "left_semi")
+        redone = work.groupBy(*key).cogroup(state.groupBy(*key)).applyInPandas(again, _CHUNK)
+        cur = cut_lineage(cur.join(stale.select(*key), key, "left_anti").unionByName(redone))
     # labels = running count of boundaries - 1, over chunks in order
-    counts = resolved.select("input_id", "chunk", F.size(F.filter("flags", lambda f: f)).alias("nb"))
-    w = Window.partitionBy("input_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("base", F.coalesce(F.sum("nb").over(w), F.lit(0)))
-    paged = resolved.select("input_id", "chunk", "flags").join(spec.select("input_id", "chunk", "pages"), ["input_id", "chunk"])
-    per_page = paged.select("input_id", "chunk", F.explode(F.arrays_zip("pages", "flags")).alias("z")).select("input_id", "chunk", F.col("z.pages").alias("page_no"), F.col("z.flags").alias("flag"))
-    per_page = per_page.join(offsets, ["input_id", "chunk"])
-    w2 = Window.partitionBy("input_id", "chunk").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    labeled = per_page.withColumn("label", (F.col("base") + F.sum(F.col("flag").cast("int")).over(w2) - 1).cast("int"))
-    return labeled.select("input_id", "page_no", "label")
+    counts = cur.select(*key, F.size(F.filter("flags", lambda f: f)).alias("nb"))
+    offsets = counts.withColumn("base", F.coalesce(F.sum("nb").over(before), F.lit(0))).drop("nb")
+    per_page = cur.join(offsets, key).select(*key, "base", F.explode(F.arrays_zip("pages", "flags")).alias("z")).select(*key, "base", F.col("z.pages").alias("page_no"), F.col("z.flags").alias("flag"))
+    within = Window.partitionBy(*key).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    return per_page.select("input_id", "page_no", (F.col("base") + F.sum(F.col("flag").cast("int")).over(within) - 1).cast("int").alias("label"))
 
 
 def boundary_detection(pages: DataFrame, threshold: float | None = None, vec: str = "embedding", spread: bool = True) -> DataFrame:

@@ -1,100 +1,95 @@
 """P5 text vectorisation and S4 reuse of stored vectors.
 
 The default vectoriser is hashed term counts: every word goes to cell
-``int(first 8 hex digits of md5(word), 16) mod D``, counts are L2-normalised. It is a set-based
-Spark job (explode, group, count) and can be replaced by any DataFrame -> DataFrame function,
+``int(first 8 hex digits of md5(word), 16) mod D``, counts are L2-normalised. A row's vector depends on its own text only, so it is
+made where the row is: words are split by Spark and counted per row in one Arrow pass, without any shuffle. It can be replaced by any DataFrame -> DataFrame function,
 e.g. a ``mapInPandas`` model, with the same output columns.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..constants import HASH_CELLS
-from ..functions.text import explode_words
+from ..functions.text import WORD_SPLIT
 
 SALTS = 8
 
 
-def word_cells(texts: DataFrame, keys: list[str], text: str = "text", cells: int = HASH_CELLS) -> DataFrame:
-    """Sparse counts ``(keys..., cell, n)`` of the hashed words of every text (whole texts)."""
-    # count each word per text first (partial aggregation map-side), so the hash is computed
-    # once per distinct (text, word) instead of once per occurrence
-    per_word = explode_words(texts, keys, text, "w").groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
-    cell = F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"), F.lit(cells)).cast("int")
-    return per_word.groupBy(*keys, cell.alias("cell")).agg(F.sum("n").alias("n"))
+def _counter(cells: int):
+    @arrow_udf("array<double>")
+    def vectors(words: pa.Array) -> pa.Array:
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()  # a word is hashed once per batch
+        cell = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % cells if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        of = cell[coded.indices.to_numpy(zero_copy_only=False)] if len(cell) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(words)), lengths)
+        counts = np.bincount((row * cells + of)[of >= 0], minlength=len(words) * cells).reshape(len(words), cells).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        np.divide(counts, norm, out=counts, where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * cells), pa.array(counts.ravel()))
+
+    return vectors
 
 
-def _packed(texts: DataFrame, keys: list[str], text: str, cells: int) -> DataFrame:
-    """``(keys..., _cells ARRAY<STRUCT<cell, n>>, _norm)``: at most ``cells`` entries per text, so
-    the per-text list is bounded by the vector width whatever the text length."""
-    c = word_cells(texts, keys, text, cells)
-    packed = c.groupBy(*keys).agg(F.collect_list(F.struct("cell", "n")).alias("_cells"))
-    norm = F.sqrt(F.aggregate("_cells", F.lit(0.0), lambda acc, e: acc + (e["n"] * e["n"]).cast("double")))
-    return packed.withColumn("_norm", norm)
+def hashed_vector(text: str = "text", cells: int = HASH_CELLS) -> Column:
+    """The vector of a text; without words, or null, the zero vector."""
+    return _counter(cells)(F.split(F.lower(F.col(text)), WORD_SPLIT))
 
 
 def sparse_vectors(texts: DataFrame, keys: list[str], text: str = "text", cells: int = HASH_CELLS) -> DataFrame:
     """``(keys..., cell, value)`` of the L2-normalised hashed counts, non-zero cells only."""
-    p = _packed(texts, keys, text, cells)
-    return p.select(*keys, "_norm", F.explode("_cells").alias("e")).select(
-        *keys, F.col("e.cell").alias("cell"), (F.col("e.n") / F.col("_norm")).alias("value")
-    )
-
-
-def _densify(cells: int):
-    @pandas_udf("array<double>")
-    def densify(entries: pd.Series, norm: pd.Series) -> pd.Series:
-        out = np.zeros((len(entries), cells))
-        for k, (ents, nv) in enumerate(zip(entries, norm)):
-            if ents is None or len(ents) == 0:
-                continue
-            idx = np.fromiter((e["cell"] for e in ents), dtype=np.int64, count=len(ents))
-            val = np.fromiter((e["n"] for e in ents), dtype=np.float64, count=len(ents))
-            out[k, idx] = val / nv
-        return pd.Series(list(out))
+    dense = texts.select(*keys, F.posexplode(hashed_vector(text, cells)).alias("cell", "value"))
+    return dense.where(F.col("value") != 0).select(*keys, F.col("cell").cast("int").alias("cell"), "value")
 
-    return densify
 
-
-def text_vectors(texts: DataFrame, keys: list[str] | None = None, text: str = "text", cells: int = HASH_CELLS, out: str = "embedding") -> DataFrame:
-    """Dense ``ARRAY<DOUBLE>`` vector per text row; a text without words gets the zero vector.
-    The scatter into a dense array is an Arrow-batched pandas UDF (numpy per batch)."""
-    keys = keys or ["input_id", "page_no"]
-    p = _packed(texts, keys, text, cells)
-    return texts.join(p, keys, "left").withColumn(out, _densify(cells)(F.col("_cells"), F.col("_norm"))).drop("_cells", "_norm")
+def text_vectors(texts: DataFrame, text: str = "text", cells: int = HASH_CELLS, out: str = "embedding") -> DataFrame:
+    """``texts`` with a dense ``ARRAY<DOUBLE>`` vector per row; a text without words gets the zero vector."""
+    return texts.withColumn(out, hashed_vector(text, cells))
 
 
 NO_TEXT = "null"  # the hash column's value of a page without text; its vector is the zero vector
+PREFIX = 2  # hex digits of a text's hash that name its partition of the store: 256 of them
+_STORED = "text_hash string, embedding array<double>, prefix string"
 
 
 def _hashed(pages: DataFrame, text: str) -> DataFrame:
     return pages.select("input_id", "page_no", F.coalesce(F.md5(F.col(text)), F.lit(NO_TEXT)).alias("text_hash"), F.col(text).alias("text"))
 
 
+def stored_vectors(spark, folder: str, hashes: DataFrame) -> DataFrame:
+    """``(text_hash, embedding, prefix)`` of the store's partitions that ``hashes(text_hash)`` may lie in; the others aren't read."""
+    prefixes = [r[0] for r in hashes.select(F.substring("text_hash", 1, PREFIX)).distinct().collect()]  # at most 16^PREFIX and one
+    return spark.read.schema(_STORED).parquet(folder).where(F.col("prefix").isin(prefixes))
+
+
 def embed_missing(pages: DataFrame, store: str, text: str = "text", cells: int = HASH_CELLS, vectoriser=None, name: str = "hashed") -> DataFrame:
     """Vectors ``(input_id, page_no, text_hash, embedding)`` of ``pages`` from a store, a Parquet table
-    ``(text_hash, embedding)`` under ``store``, partitioned by the vectoriser's name.
+    ``(text_hash, embedding)`` under ``store``, partitioned by the vectoriser's name and the first digits of the hash.
 
     Texts whose hash the store lacks are vectorised once and appended to it; then all pages read
-    their vector from it. A page without text keeps its row, with the vector of an empty text. The join is cut by hash and, as many
+    their vector from it. Only partitions that the pages' texts can lie in are read, so what a call costs follows its pages, not the
+    store. The store has one row per text: an append adds what is missing only, so that one that was broken off, with some of its files
+    left, is completed by the next one. Two calls at the same time must not append to the same store.
+    A page without text keeps its row, with the vector of an empty text. The join is cut by hash and, as many
     pages may share a text, by a salt of the page number.
     """
     spark = pages.sparkSession
     folder = f"{store.rstrip('/')}/vectoriser={name}"
-    schema = "text_hash string, embedding array<double>"
-    spark.createDataFrame([], schema).write.mode("append").parquet(folder)  # a first run finds an empty store
-    have = spark.read.schema(schema).parquet(folder)
+    spark.createDataFrame([], _STORED).write.mode("append").partitionBy("prefix").parquet(folder)  # a first run finds an empty store
     keyed = _hashed(pages, text)
+    have = stored_vectors(spark, folder, keyed)
     texts = keyed.groupBy("text_hash").agg(F.coalesce(F.first("text", ignorenulls=True), F.lit("")).alias("text"))
     fresh = texts.join(have.select("text_hash"), "text_hash", "left_anti")
-    vectors = (vectoriser or (lambda t: text_vectors(t, ["text_hash"], "text", cells)))(fresh)
-    vectors.select("text_hash", "embedding").write.mode("append").parquet(folder)
+    vectors = (vectoriser or (lambda t: text_vectors(t, "text", cells)))(fresh)
+    new = vectors.select("text_hash", "embedding", F.substring("text_hash", 1, PREFIX).alias("prefix"))
+    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(folder)
     salt = F.pmod(F.col("page_no"), F.lit(SALTS)).cast("int")
-    once = spark.read.schema(schema).parquet(folder).dropDuplicates(["text_hash"])  # a retried append may repeat a row
-    spread = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = stored_vectors(spark, folder, keyed).drop("prefix").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return keyed.withColumn("_salt", salt).join(spread, ["text_hash", "_salt"]).select("input_id", "page_no", "text_hash", "embedding")

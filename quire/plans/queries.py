@@ -127,11 +127,16 @@ def q_threshold_sweep(spark, sf):
 
 
 # ---------------------------------------------------------------- text pages (F2): P3-P5, S4
-def _f2_vectors(spark, sf):
-    """F2 pages with their hashed-term vectors, written once for the branches of a query."""
+def _f2(spark, sf):
+    """The F2 pages, numbered and stored once for all branches of a query, and their hashed-term vectors, written once as well."""
     from ..session import cut_lineage
 
-    return cut_lineage(text_vectors(tables.text_pages(spark, sf)).select("input_id", "page_no", "embedding"))
+    pages = tables.text_pages(spark, sf)
+    return pages, cut_lineage(text_vectors(pages).select("input_id", "page_no", "embedding"))
+
+
+def _f2_vectors(spark, sf):
+    return _f2(spark, sf)[1]
 
 
 def q_text_vectors(spark, sf):
@@ -230,15 +235,18 @@ def q_gap_split(spark, sf):
 
 # ---------------------------------------------------------------- documents (F2 clustered)
 def _f2_labels(spark, sf):
-    return cluster.cluster_pages(_f2_vectors(spark, sf), DEFAULT_ALPHA, DEFAULT_THRESHOLD, "average")
+    """The F2 pages and their labels."""
+    pages, vectors = _f2(spark, sf)
+    return pages, cluster.cluster_pages(vectors, DEFAULT_ALPHA, DEFAULT_THRESHOLD, "average")
 
 
 def _f2_docs(spark, sf):
     from ..session import cut_lineage
 
-    labels = cut_lineage(_f2_labels(spark, sf))  # written once, read by every branch below
+    pages, labels = _f2_labels(spark, sf)
+    labels = cut_lineage(labels)  # written once, read by every branch below
     docs = D.documents_from_labels(labels)
-    doc_text = D.page_texts(D.document_pages(labels, docs), tables.text_pages(spark, sf))
+    doc_text = D.page_texts(D.document_pages(labels, docs), pages)
     return labels, docs, doc_text
 
 
@@ -323,18 +331,15 @@ def q_gold_labels(spark, sf):
     return E.gold_from_ranges(p, ranges)
 
 
-def _f2_gold(spark, sf):
-    return tables.text_pages(spark, sf).select("input_id", "page_no", "gold")
-
-
-def q_contingency(spark, sf):
-    return E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"])
-
-
 def _f2_contingency(spark, sf):
     from ..session import cut_lineage
 
-    return cut_lineage(E.contingency(_f2_labels(spark, sf), _f2_gold(spark, sf), ["input_id"]))
+    pages, labels = _f2_labels(spark, sf)
+    return cut_lineage(E.contingency(labels, pages.select("input_id", "page_no", "gold"), ["input_id"]))
+
+
+def q_contingency(spark, sf):
+    return _f2_contingency(spark, sf)
 
 
 def q_adjusted_rand(spark, sf):
@@ -365,7 +370,8 @@ def q_param_grid(spark, sf):
 
 
 def _search(spark, sf):
-    return E.grid_search(_f2_vectors(spark, sf), _f2_gold(spark, sf))
+    pages, vectors = _f2(spark, sf)
+    return E.grid_search(vectors, pages.select("input_id", "page_no", "gold"))
 
 
 def q_grid_search(spark, sf):

@@ -83,14 +83,15 @@ def split_with_pages(
     if "text" in pages.columns:
         doc_pages = D.page_texts(doc_pages, pages)
         docs = assign_topics(docs, doc_pages, strategy, namer)
-    return docs.drop("label"), doc_pages
+    # written once: the namer may be a model, and its results go to names, outputs and reports
+    return cut_lineage(docs.drop("label")), doc_pages
 
 
 def split_pages(pages: DataFrame, **options) -> DataFrame:
     """Documents of every input ``(input_id, document_no, document_id, topic_name, page_start,
     page_end, n_pages)``. ``pages`` needs ``embedding``; with a ``text`` column the documents are
     named by topic, otherwise they keep ``Cluster n``. Without ``embedding`` but with ``text``,
-    the vectors are computed first, by ``vectoriser``. Options as of ``split_with_pages``."""
+    the vectors are computed first, by ``vectoriser``. A namer that reports failures adds ``topic_error``. Options as of ``split_with_pages``."""
     return split_with_pages(pages, **options)[0]
 
 
@@ -99,7 +100,6 @@ def run_split(pages: DataFrame, path: str, **options) -> DataFrame:
     from ..sinks.outputs import output_names, write_documents
 
     docs, doc_pages = split_with_pages(pages, **options)
-    docs = cut_lineage(docs)
     if "text" not in doc_pages.columns:
         doc_pages = doc_pages.withColumn("text", F.lit(None).cast("string"))
     write_documents(doc_pages, docs, path, inputs=named_pages(pages)[0].select("input_id").distinct())

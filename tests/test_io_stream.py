@@ -11,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.segment import boundary_fold
-from quire.operators.vectorize import embed_missing, text_vectors
+from quire.operators.vectorize import embed_missing, stored_vectors, text_vectors
 from quire.plans.split import named_pages, run_split, split_level, split_pages
 from quire.sinks.outputs import output_names, read_documents, reset_outputs, write_documents
 from quire.sources.pages import explode_pages, missing_inputs, scan_page_files, scan_page_texts, stage_page_texts
+from quire.operators.topics import assign_topics, model_namer
+from quire.streaming import intake
 from quire.streaming.intake import start_intake
 from quire.streaming.online import STATE_STORE, online_boundaries
 
@@ -121,7 +123,7 @@ def test_vector_store_keeps_pages_and_computes_once(spark, scratch):
 
     def vectoriser(texts):
         asked.append(texts.count())
-        return text_vectors(texts, ["text_hash"])
+        return text_vectors(texts)
 
     first = embed_missing(pages.where("input_id = 'a'"), store, vectoriser=vectoriser)
     assert first.count() == 2
@@ -132,6 +134,23 @@ def test_vector_store_keeps_pages_and_computes_once(spark, scratch):
     assert set(vectors["a", 1]) == set(vectors["b", 1]) == {0.0} and vectors["a", 0] == vectors["c", 7] != vectors["b", 1]
 
 
+def test_vector_store_reads_wanted_partitions_and_completes_a_broken_append(spark, scratch):
+    import glob
+
+    store = scratch + "/store"
+    pages = spark.createDataFrame([("a", p, f"word{p}") for p in range(300)], "input_id string, page_no int, text string")
+    embed_missing(pages, store)
+    folder = f"{store}/vectoriser=hashed"
+    few = pages.where("page_no < 3").select(F.md5("text").alias("text_hash"))
+    read = stored_vectors(spark, folder, few)
+    assert 0 < read.count() < 20 and "PartitionFilters: [prefix" in read._jdf.queryExecution().toString()
+    for f in glob.glob(f"{folder}/*/*.parquet")[::2]:  # as if the append had been broken off
+        os.remove(f)
+    assert embed_missing(pages, store).count() == 300
+    rows = [r.text_hash for r in spark.read.parquet(folder).collect()]
+    assert len(rows) == len(set(rows)) == 300
+
+
 def _topics(n, seed=0):
     words = [["alpha", "beta", "gamma"], ["uno", "dos", "tres"], ["eins", "zwei", "drei"]]
     return [" ".join(words[(p * 3) // n]) * 3 for p in range(n)]
@@ -185,6 +204,46 @@ def test_intake_joins_pages_that_come_in_several_files(spark, scratch):
     assert spark.read.parquet(scratch + "/out/rejected").count() == 1
 
 
+def test_a_batch_reads_the_buckets_of_its_inputs_only(spark, scratch):
+    schema = "input_id string, page_no int, text string"
+    src, read = scratch + "/in", []
+    for k in range(5):
+        spark.createDataFrame([(f"in{k}", p, f"word{p}") for p in range(3)], schema).coalesce(1).write.mode("append").parquet(src)
+    real = intake.stored_pages
+
+    def watched(*args):
+        found = real(*args)
+        read.append(len(found.inputFiles()))
+        return found
+
+    intake.stored_pages = watched
+    try:
+        start_intake(spark, src, spark.createDataFrame([], schema).schema, scratch + "/out", scratch + "/ck", max_files_per_trigger=1, method="boundary").awaitTermination()
+    finally:
+        intake.stored_pages = real
+    assert len(read) == 5 and max(read) <= 2 * min(read)  # a bucket's files, not those of the batches before
+    assert spark.read.parquet(scratch + "/out/documents").select("input_id").distinct().count() == 5
+
+
+def test_a_namer_that_fails_on_one_document_names_the_others(spark):
+    rows = [("a", 0, "fine"), ("a", 1, "bad"), ("a", 2, None), ("b", 0, "blank"), ("b", 1, "fine too"), *[("c", n, f"t{n}") for n in range(70)]]
+    text = spark.createDataFrame([(i, n, 0, t) for i, n, t in rows], "input_id string, document_no int, page_no int, text string")
+    docs = spark.createDataFrame([(i, n, f"Cluster {n}") for i, n, _ in rows], "input_id string, document_no int, topic_name string")
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no topic for this")
+        return ["" if t == "blank" else t.upper() for t in texts]
+
+    got = {(r.input_id, r.document_no): (r.topic_name, r.topic_error) for r in assign_topics(docs, text, namer=model_namer(model)).collect()}
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if k[0] != "c"} == {
+        ("a", 0): ("FINE", None), ("a", 1): ("Cluster 1", "RuntimeError: no topic for this"), ("a", 2): ("Cluster 2", None), ("b", 0): ("Cluster 0", None), ("b", 1): ("FINE TOO", None),
+    }
+    assert all(got["c", n] == (f"T{n}", None) for n in range(70))
+    short = assign_topics(docs, text, namer=model_namer(lambda texts: texts[:-1])).collect()
+    assert all(r.topic_name == f"Cluster {r.document_no}" for r in short) and sum(r.topic_error is not None for r in short) == len(rows) - 1
+
+
 def test_online_input_with_a_lost_page_closes(spark, scratch):
     schema = "input_id string, page_no int, embedding array<double>, at timestamp"
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)

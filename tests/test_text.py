@@ -56,3 +56,18 @@ def test_short_segments_and_names(spark):
     ).first()
     assert r.segs == ["bb", "ccc"]
     assert (r.stem, r.txt, r.vec) == ("doc_7_page_3", "doc_7_page_3.txt", "doc_7_page_3_embeddings")
+
+
+def test_vectors_are_made_without_a_shuffle(spark):
+    rows = [("a", 0, "Straße straße İstanbul ΟΔΟΣ x1y"), ("a", 1, None), ("a", 2, ""), ("a", 3, " .. "), ("b", 0, "word " * 200_000), ("b", 0, "word " * 3)]
+    df = spark.createDataFrame(rows, "input_id string, page_no int, text string")
+    got = text_vectors(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    vectors = [r.embedding for r in got.collect()]
+    assert len(vectors) == 6 and all(len(v) == 64 for v in vectors) and all(not any(v) for v in vectors[1:4]) and vectors[4] == vectors[5]
+    words = [r[0] for r in df.limit(1).selectExpr("explode(split(lower(text), '[^\\\\p{L}]+')) AS w").where("w != ''").collect()]
+    counts = [0] * 64
+    for w in words:
+        counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    norm = sum(c * c for c in counts) ** 0.5
+    assert max(abs(c / norm - v) for c, v in zip(counts, vectors[0])) < 1e-12
