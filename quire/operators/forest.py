@@ -53,6 +53,29 @@ def spanning_forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         component = parent[component]
 
 
+def single_merges(d: np.ndarray, top: float) -> list[tuple[int, int, float, int]]:
+    """Single linkage's merges ``(a, b, height, size)`` below ``top`` of one matrix: its spanning forest's edges in order, with the clusters' lowest
+    places as names."""
+    i, j = np.nonzero(np.triu(d < top, 1))
+    order = np.lexsort((j, i, d[i, j]))
+    i, j = i[order], j[order]
+    kept = spanning_forest(len(d), i, j)
+    parent, size, out = list(range(len(d))), [1] * len(d), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in zip(i[kept].tolist(), j[kept].tolist()):
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+        size[a] += size[b]
+        out.append((a, b, float(d[u, v]), size[a]))
+    return out
+
+
 def _tile_fn(settings: dict[str, float], top: float, block: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second, input_id = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0]), pdf["input_id"].iloc[0]

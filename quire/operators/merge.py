@@ -19,11 +19,14 @@ BLOCK_VALUES = 1 << 23  # differences held at once
 def l2_block(x: np.ndarray, y: np.ndarray, values: int = BLOCK_VALUES) -> np.ndarray:
     """Euclidean distances of the rows of ``x`` and ``y``, in row blocks to bound memory (direct differences, no
     ||x||^2 - 2xy expansion, so near-duplicates do not lose digits)."""
-    rows = max(1, values // max(1, y.size))
+    rows = max(1, min(64, values // max(1, y.size)))
     out = np.empty((len(x), len(y)), dtype=np.float64)
     for s in range(0, len(x), rows):
-        diff = x[s : s + rows, None, :] - y[None, :, :]
-        out[s : s + rows] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        e, first = min(len(x), s + rows), s if x is y else 0  # of a matrix with itself, the upper half
+        diff = x[s:e, None, :] - y[None, first:, :]
+        out[s:e, first:] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        if x is y:
+            out[e:, s:e] = out[s:e, e:].T
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import forest, rowstore, sweep
 from quire.operators.cluster import cluster_pages, threshold_sweep
-from quire.operators.merge import greedy_merges, l2_block
+from quire.operators.merge import blended_matrix, greedy_merges, l2_block, labels_at
 
 
 def _pages(spark, sizes, kinds=0, seed=5):
@@ -97,3 +97,12 @@ def test_a_page_has_few_intervals(spark):
         for p in range(60):
             own = sorted((r["first"], r["last"]) for r in spans if r["page_no"] == p + p // 9 and r["input_id"].startswith(setting))
             assert own[0][0] == 0 and own[-1][1] == 49 and all(b[0] == a[1] + 1 for a, b in zip(own, own[1:]))
+
+
+def test_merges_of_a_forest_equal_greedy_ones():
+    rng = np.random.default_rng(6)
+    for n, kinds in ((1, 0), (2, 0), (40, 0), (40, 3)):
+        x = np.eye(4)[rng.integers(0, kinds, n)] if kinds else rng.normal(size=(n, 4))
+        d = blended_matrix(x, np.arange(n), 0.9)
+        for t in (0.4, 1.0, 2.5):
+            assert (labels_at(n, forest.single_merges(d, 2.5), t) == labels_at(n, greedy_merges(d, "single", stop=2.5), t)).all()
