@@ -15,7 +15,8 @@ therefore enters a branch only while the distances to the ring boundaries it cro
 ``radius`` or less. Each fingerprint is stored in its own shard and visits later shards within
 that bound; so each pair meets once. The number of rings follows the number of fingerprints, to
 keep shards at about ``SHARD_SIZE``. Inside a shard a smaller vantage-point tree with median
-splits leads to leaves, where all bits are compared. A shard returns a spanning forest of its
+splits leads to leaves, where all bits are compared; prints that are in one set already, first of all those around the vantage
+points of dense balls, aren't compared again. A shard returns a spanning forest of its
 links, never all pairs of a group, and components of the forest are those of the links.
 """
 
@@ -32,7 +33,8 @@ from .common import ready, same, stored
 from .graph import components
 
 SEED, BITS, BLOCKS = 42, 64, 8
-SHARD_SIZE, LEAF, QUERY_ROWS = 1000, 256, 4096
+SHARD_SIZE, LEAF, QUERY_ROWS, STARS = 1000, 256, 4096, 64
+HOT_PRINTS = 20_000  # at most so many fingerprints have over 1 / HOT_PRINTS of all rows
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -140,11 +142,29 @@ class Forest:
         return np.concatenate([*low, a[:0]]), np.concatenate([*high, a[:0]])
 
 
-def near(stock: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in ``stock``, in ``asked``) of all prints within the radius, leaf by leaf of a vantage-point tree over ``stock``."""
+def united(stock: np.ndarray, asked: np.ndarray, offset: int, forest: Forest, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Unites prints within the radius: places in ``stock`` with places in ``asked``, which are nodes from ``offset`` on. Yields the links that
+    joined two sets.
+
+    Stars first: a few vantage points are linked with all prints within the radius of them, so of a dense ball of prints nearly all
+    are one set after as many comparisons as there are prints. Then a vantage-point tree over ``stock`` with median splits, whose branches and leaves
+    leave out the pairs that are in one set already: those can't join anything. At most ``LEAF`` by ``QUERY_ROWS`` pairs are compared at once."""
+    if not len(stock) or not len(asked):
+        return
+    for v in np.linspace(0, len(stock) - 1, min(STARS, len(stock) // LEAF)).astype(np.int64):
+        rays = [np.flatnonzero(np.bitwise_count(side ^ stock[v]) <= radius) + first for side, first in ((stock, 0), (asked, offset))]
+        ends = np.concatenate(rays)
+        yield forest.unite(np.full(len(ends), v), ends)
     todo = [(np.arange(len(stock)), np.arange(len(asked)))]
     while todo:
         s, q = todo.pop()
+        if not len(s) or not len(q):
+            continue
+        set_s, set_q = forest.roots(s), forest.roots(q + offset)
+        if (set_s == set_s[0]).all():
+            q = q[set_q != set_s[0]]
+        elif (set_q == set_q[0]).all():
+            s = s[set_s != set_q[0]]
         if not len(s) or not len(q):
             continue
         if len(s) > LEAF:
@@ -158,10 +178,16 @@ def near(stock: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np
                 continue
         for at in range(0, len(s), LEAF):
             part = s[at : at + LEAF]
-            hits = np.bitwise_count(stock[part][:, None] ^ asked[q][None, :]) <= radius
-            i, j = np.nonzero(hits)
-            if len(i):
-                yield part[i], q[j]
+            for first in range(0, len(q), QUERY_ROWS):
+                own, other = part, q[first : first + QUERY_ROWS]
+                sets = forest.roots(own)
+                common = int(np.bincount(sets - sets.min()).argmax() + sets.min())
+                there = forest.roots(other + offset)
+                for rows, cols in ((own[sets == common], other[there != common]), (own[sets != common], other)):
+                    if len(rows) and len(cols):
+                        i, j = np.nonzero(np.bitwise_count(stock[rows][:, None] ^ asked[cols][None, :]) <= radius)
+                        if len(i):
+                            yield forest.unite(rows[i], cols[j] + offset)
 
 
 def _search(radius: int):
@@ -179,8 +205,7 @@ def _search(radius: int):
             forest = self.forest if own else Forest(0)
             if not own:
                 forest.parent = np.concatenate((self.forest.parent, np.arange(n, len(prints))))
-            for i, j in near(self.stock, self.stock if own else asked, radius):
-                a, b = forest.unite(i, j if own else j + n)
+            for a, b in united(self.stock, self.stock if own else asked, 0 if own else n, forest, radius):
                 if len(a):
                     out.append((prints[a], prints[b]))
             self.forest.parent = forest.roots(np.arange(len(prints)))[:n]
@@ -248,32 +273,51 @@ def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def classes(slim: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp, root, copies`` of each distinct fingerprint of ``slim(fp)``: the least fingerprint that links lead to, and its number of rows. Stored."""
+    nodes = stored(slim.groupBy("fp").agg(F.count("*").alias("copies")))
+    linked = stored(components(links(nodes.select("fp"), radius)))
+    return stored(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "copies"))
+
+
+def with_class(slim: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:
+    """``slim`` with the ``columns`` that ``named(fp, copies)`` has for its fingerprint. The fingerprints of most rows, of which there are ``HOT_PRINTS`` at
+    most whatever the input, are broadcast; so in the join by fingerprint no group of copies is larger than a small share of all rows."""
+    n = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > F.lit(max(1, n // HOT_PRINTS))
+    few = F.broadcast(named.where(hot).select("fp", *columns))
+    rest = slim.join(few.select("fp"), "fp", "left_anti").join(named.where(~hot).select("fp", *columns), "fp")
+    return slim.join(few, "fp").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id, text_hash, fingerprint, component_id`` for each row of ``docs(doc_id, text)``.
     ``component_id``: the smallest doc_id that links lead to, itself included; null only where all of
     them are null. Repeated rows are kept as often as they occur."""
     slim = stored(fingerprints(docs, width))
-    nodes = stored(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = stored(components(links(nodes.select("fp"), radius)))
-    classes = nodes.join(linked.withColumnRenamed("node", "fp"), "fp")
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(classes.join(roots, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return slim.join(named, "fp").select("doc_id", "text_hash", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+    found = classes(slim, radius)
+    least = slim.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = found.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(found.join(roots, "root").select("fp", "copies", "component_id"))
+    return with_class(slim, named, ["component_id"]).select("doc_id", "text_hash", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` without the documents that have a near-duplicate with a smaller id, columns as they
-    are. Of rows with the same id one stays, that of the smallest text hash. Rows without an id go
-    if a near-duplicate has one; else those of different texts stay."""
-    found = stored(near_duplicates(docs, width, radius).withColumn("part", F.when(F.col("doc_id").isNull(), F.col("text_hash"))))
-    best = F.min(F.when(same(F.col("component_id"), F.col("doc_id")), F.col("text_hash"))).alias("best")
-    ids = found.groupBy("doc_id", "part").agg(best, F.count("*").alias("n"))
-    gone = stored(ids.where("best is null or n > 1").select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), "best", "n"))
+    """One row of ``docs`` for each class of near-duplicates, columns as they are: the row of the smallest id, of those the one of the smallest text
+    hash; a row without an id stays only where no near-duplicate has one. Ids needn't be unique: rows of one id whose texts are no
+    near-duplicates are classes of their own and all stay. Of rows repeated with id and text one stays."""
+    slim = stored(fingerprints(docs, width))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    each = slim.groupBy("fp").agg(first, F.count("*").alias("copies"))
+    kept = classes(slim, radius).select("fp", "root").join(each, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    counts = slim.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"))
+    named = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    named = stored(named.join(counts, same(F.col("_id"), F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("_id", "_hash", "_n"))
     doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
-    match = same(doc_id, F.col("_id")) & same(F.when(doc_id.isNull(), text_hash), F.col("_part"))
-    single = docs.join(gone.select("_id", "_part"), match, "left_anti")
-    again = gone.where("best is not null and n > 1").select("_id", "_part", F.col("best").alias("_best"))
+    match = same(doc_id, F.col("_id")) & (text_hash == F.col("_hash"))
+    single = docs.join(named.where("_n = 1"), match, "left_semi")
+    again = named.where("_n > 1").select("_id", "_hash")
     if again.isEmpty():
         return single
-    repeated = docs.join(again, match & (text_hash == F.col("_best"))).dropDuplicates(["_id", "_part"]).drop("_id", "_part", "_best")
+    repeated = docs.join(again, match).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
     return single.unionByName(repeated)

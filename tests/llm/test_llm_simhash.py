@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from quire.llm import queries, simhash
@@ -115,4 +116,30 @@ def test_one_of_each_on_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.one_of_each(docs.limit(0)).collect() == []
     twice = spark.createDataFrame([(1, "p q r s t", "x", "y", "z"), (1, "p q r s t", "x", "y", "z"), (1, "other words entirely so far away", "x", "y", "z")], SCHEMA)
-    assert simhash.one_of_each(twice).count() == 1
+    kept = sorted(r["text"] for r in simhash.one_of_each(twice).collect())
+    assert kept == ["other words entirely so far away", "p q r s t"]
+    shared = spark.createDataFrame([(5, "a b c d e f g", "x", "y", "z"), (5, "what else there is to say of it", "x", "y", "z"), (6, "What ELSE there is to say of it", "x", "y", "z")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"][:6]) for r in simhash.one_of_each(shared).collect()) == [(5, "a b c "), (5, "what e")]
+
+
+@pytest.mark.parametrize("bits,seconds", [(3, 60), (5, 120)])
+def test_a_shard_of_many_distinct_near_copies(bits, seconds):
+    """100,000 prints around one centre: neither all pairs are compared nor held."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(bits)
+    flips = np.uint64(1) << rng.integers(0, 64, (100_000, bits)).astype(np.uint64)
+    prints = np.unique(np.uint64(0x0123456789ABCDEF) ^ np.bitwise_xor.reduce(flips, axis=1))
+    visitors = prints[::3] ^ np.uint64(1 << 40)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int64)), pa.array(np.full(len(p), own)), pa.array(p.view(np.int64))], ["shard", "own", "fp"]) for p, own in ((prints, True), (visitors, False))]
+    tracemalloc.start()
+    began = time.time()
+    links = np.concatenate([np.stack((b.column("u").to_numpy(), b.column("v").to_numpy()), 1) for b in simhash._search(4)(iter(batches))])
+    took, most = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < seconds and most < 400 << 20
+    nodes, at = np.unique(links, return_inverse=True)
+    forest = simhash.Forest(len(nodes))
+    forest.unite(*at.reshape(-1, 2).T)
+    assert len(np.unique(forest.roots(np.arange(len(nodes))))) == 1 and np.isin(prints, nodes.view(np.uint64)).all() and len(links) < 2 * (len(prints) + len(visitors))

@@ -130,10 +130,34 @@ def test_op2_on_whole_table(spark, words):
 
 
 def test_classes_hold_a_fixed_count():
-    packer = packing.Packer(2048)
-    for doc in range(64):
-        packer.add(doc, np.zeros(512, "<u4").tobytes())
-    done = packer.take()
-    assert len(done) == 64 and {p[5] for p in done} == set(range(16))
+    """Without stuffing every full bin waits; then it has exactly as many documents as its class says."""
+    rng = np.random.default_rng(0)
+    packer = packing.Packer(2048, waiting=10**6)
+    for doc in range(3000):
+        packer.add(doc, bytes(4 * int(rng.integers(1, 2049))))
+    bins = [p for *_, p in packer.waiting]
+    kinds = [{packing.class_of(len(x[2]) // 4, 2048) for x in own} for own in bins]
+    assert len(bins) > 1000 and all(len(k) == 1 and len(own) == k.pop() for k, own in zip(kinds, bins))
+    assert packing.class_of(1, 2048) == 32 and packing.class_of(683, 2048) == 2 and packing.class_of(682, 2048) == 3 and packing.class_of(2048, 2048) == 1
     with pytest.raises(ValueError):
-        packing.class_sizes(1000)
+        packing.Packer(1000)
+
+
+def test_few_documents_are_cut_and_nothing_is_padded(spark):
+    """On the table most documents that fit stay whole, and so they do where no document is long."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    pieces = packing.pack_documents(docs).drop("ids").collect()
+    fit = [p for p in pieces if p["doc_tokens"] <= 2048]
+    assert sum(p["length"] == p["doc_tokens"] for p in fit) > 0.95 * len({p["doc_id"] for p in fit})
+    rng = np.random.default_rng(1)
+    packer = packing.Packer(2048, waiting=64)
+    lengths = rng.integers(1, 1500, 4000)
+    for doc, n in enumerate(lengths):
+        packer.add(doc, bytes(4 * int(n)))
+        assert len(packer.waiting) <= 65 and packer.stuffed <= 64 * 2048
+    packer.flush()
+    done, sizes = packer.take(), {}
+    for p in done:
+        sizes[p[5]] = sizes.get(p[5], 0) + p[2]
+    assert sum(sizes.values()) == lengths.sum() and sum(n != 2048 for n in sizes.values()) <= 11 and all(n & (n - 1) == 0 for n in sizes.values())
+    assert sum(p[2] == p[4] for p in done) > 0.8 * len(lengths)
