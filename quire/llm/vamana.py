@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by cosine with robust-pruned directed graphs.
 
 Equal vectors are one node with its smallest ids, so copies cost nothing. The distinct vectors are dealt by hash
-into shards of about ``SHARD_ROWS``. Each shard builds a directed graph: nodes start with random
+into shards: as many as the session has cores, if each gets ``SHARD_LEAST`` of them, and more where a shard would have over ``SHARD_ROWS``, which a
+task's memory bounds. A search's cost grows with the logarithm of a shard's size, so few large shards cost less than many small ones. Each shard builds a directed graph: nodes start with random
 neighbours; then, in two passes, a greedy beam search from the shard's middle proposes neighbours of each node, and
 robust pruning keeps the nearest of them and drops all that are nearer to a kept one than to the
 node by the factor ``alpha``, so that the kept edges point in diverse directions. Edges are also
-added backwards, and lists that get too long are pruned again. Queries, in blocks, run a beam search in every
-shard. Scores are cosines in double precision on the vectors as they are given, and a query's nearest
+added backwards, and lists that get too long are pruned again. Queries go to the shards, as a stream: a task reads a shard's graph once, and runs a beam
+search for one batch of queries after the other. A search scores a small share of a large shard's nodes (``beam_search`` counts them). Scores are cosines in double precision on the vectors as they are given, and a query's nearest
 are chosen over all shards by score, then by id.
 
 Null vectors, zero vectors and those with null or non-finite components take no part. Vectors of different
 lengths never meet. Repeated rows (same id, same vector) count once. Fewer candidates than asked for give
-fewer rows; an empty table gives none. A task holds one shard or one shard's graph and one block of queries.
+fewer rows; an empty table gives none. A task holds one shard's graph and one batch of queries.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import ready, stored
 
-SHARD_ROWS, QUERY_BLOCK = 2000, 512
-DEGREE, BUILD_BEAM, SEARCH_BEAM, EXPAND = 32, 64, 160, 8
+SHARD_ROWS, SHARD_LEAST, QUERY_BLOCK = 50_000, 4000, 256
+DEGREE, BUILD_BEAM, SEARCH_BEAM, EXPAND = 32, 64, 64, 4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -35,8 +36,9 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return big / np.sqrt(np.einsum("ij,ij->i", big, big))[:, None]
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, asked: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``asked`` the ``beam`` nearest nodes met (-1: none) and their negative cosines, nearest first."""
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, asked: np.ndarray, beam: int, expand: int = EXPAND, scored: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``asked`` the ``beam`` nearest nodes met (-1: none) and their negative cosines, nearest first. ``scored``: a list that gets
+    the number of nodes scored for each."""
     rows, n = len(asked), len(x)
     ids = np.full((rows, beam), -1)
     far = np.full((rows, beam), np.inf, np.float32)
@@ -76,6 +78,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, asked: np.ndarray,
         far[active] = np.take_along_axis(all_far, best, 1)
         ids[active] = np.where(np.isfinite(far[active]), np.take_along_axis(np.concatenate((ids[active], reach), 1), best, 1), -1)
         done[active] = np.take_along_axis(np.concatenate((done[active], np.zeros_like(new)), 1), best, 1)
+    if scored is not None:
+        scored.extend(met.sum(1).tolist())
     return ids, far
 
 
@@ -177,64 +181,71 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("dim", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("key", F.col("ids")[0])
 
 
-def index(rows: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Graphs of ``rows(vec_id, vector, dim)``, a row per shard."""
-    ready(rows.sparkSession)
+GRAPH = "dim int, shard int, entry int, vectors binary, graph binary, ids array<array<long>>"
+
+
+def index(rows: DataFrame, k: int = 5, shard_rows: int | None = None) -> DataFrame:
+    """Graphs of ``rows(vec_id, vector, dim)``, a row per shard. ``shard_rows``: another size of shards."""
+    spark = ready(rows.sparkSession)
     nodes = stored(distinct_vectors(rows, k))
     n = nodes.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-n // shard_rows) if shard_rows else max(-(-n // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, n // SHARD_LEAST)))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(_build_shard, "dim int, shard int, entry int, vectors binary, graph binary, ids array<array<long>>")
-
-
-def _query_block(table: pa.Table) -> pa.Table:
-    dim = table.column("dim")[0].as_py()
-    table = table.take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
-    return pa.table(
-        {"dim": pa.array([dim], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.int64())), "asked": pa.array([_pack(_vectors(table.column("vector"), dim))])}
-    )
+    return dealt.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build_shard, GRAPH)
 
 
 def _search(k: int, beam: int):
+    """Rows come in order of (dim, shard): the shard's graph, then its queries ``(key, vector)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, graph, entry, ids = None, None, None, 0, []
         for batch in batches:
-            for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
-                dim = row["dim"]
-                vectors, asked = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("vectors", "asked"))
-                x, q = unit(vectors), unit(asked)
-                graph = np.frombuffer(row["graph"], np.int32).reshape(len(vectors), -1)
-                ids, _ = beam_search(x.astype(np.float32), graph, row["entry"], q.astype(np.float32), min(beam, len(vectors)))
-                near = ids[:, : 3 * (k + 1)]
+            at = list(zip(batch.column("dim").to_pylist(), batch.column("shard").to_pylist()))
+            is_graph = batch.column("graph").is_valid().to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(batch):
+                if is_graph[i]:
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    x = unit(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"]))
+                    now, graph, entry, ids = at[i], np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), row["entry"], row["ids"]
+                    near_x = x.astype(np.float32)
+                    i += 1
+                    continue
+                stop = i + 1
+                while stop < min(len(batch), i + QUERY_BLOCK) and at[stop] == at[i] and not is_graph[stop]:
+                    stop += 1
+                asked, i = batch.slice(i, stop - i), stop
+                if at[stop - 1] != now:  # this length has no such shard
+                    continue
+                keys, q = asked.column("key").to_numpy(), unit(_vectors(asked.column("vector"), now[0]))
+                found, _ = beam_search(near_x, graph, entry, q.astype(np.float32), min(beam, len(x)))
+                near = found[:, : 3 * (k + 1)]
                 a, b = np.nonzero(near >= 0)
-                found = near[a, b]
-                score = np.einsum("ij,ij->i", x[found], q[a])
-                order = np.lexsort((found, -score, a))
-                a, found, score = a[order], found[order], score[order]
-                starts = np.searchsorted(a, a)
-                top = np.arange(len(a)) - starts <= k
-                a, found, score = a[top], found[top], score[top]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(row["keys"], np.int64)[a]), pa.array(score), pa.array([row["ids"][f] for f in found.tolist()], pa.list_(pa.int64()))], ["key", "score", "ids"]
-                )
+                node = near[a, b]
+                score = np.einsum("ij,ij->i", x[node], q[a])
+                order = np.lexsort((node, -score, a))
+                a, node, score = a[order], node[order], score[order]
+                top = np.arange(len(a)) - np.searchsorted(a, a) <= k
+                a, node, score = a[top], node[top], score[top]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(score), pa.array([ids[f] for f in node.tolist()], pa.list_(pa.int64()))], ["key", "score", "ids"])
 
     return run
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest of each row of ``queries(vec_id, vector, dim)``, the query's own id left out."""
     ready(graphs.sparkSession)
     least = queries.groupBy("dim", "vector").agg(F.min("vec_id").alias("key"))
     named = stored(queries.distinct().join(least, ["dim", "vector"]).select("vec_id", "key"))
     least = stored(least)
-    blocks = max(1, -(-least.count() // block))
     n_shards = graphs.agg(F.max("shard")).first()[0]
     if n_shards is None:
         return named.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    packed = least.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_query_block, "dim int, block int, keys array<long>, asked binary")
-    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards))))
-    everywhere = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = everywhere.join(asked, ["dim", "shard", "block"]).select("dim", "entry", "vectors", "graph", "ids", "keys", "asked")
-    found = pairs.mapInArrow(_search(k, beam), "key long, score double, ids array<long>")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = least.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards))).alias("shard"), none("entry", "int"), none("vectors", "binary"), none("graph", "binary"), none("ids", "array<array<long>>"), "key", "vector")
+    visits = graphs.select("dim", "shard", "entry", "vectors", "graph", "ids", none("key", "long"), none("vector", "array<double>")).unionByName(asked)
+    ordered = visits.repartitionByRange(n_shards + 1, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("graph").isNull())
+    found = ordered.mapInArrow(_search(k, beam), "key long, score double, ids array<long>")
     each = found.select("key", "score", F.explode("ids").alias("vec_id"))
     order = (F.col("score").desc(), F.col("vec_id"))
     best = each.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("_rank") <= k + 1)

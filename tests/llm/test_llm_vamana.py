@@ -41,7 +41,7 @@ def test_recall_over_shards_of_random_vectors(spark):
     x = np.random.default_rng(0).normal(size=(4000, 32))
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     usable = vamana.valid(docs)
-    got = vamana.search(vamana.index(usable, shard_rows=900), usable.where("vec_id % 50 = 0"), block=30).collect()
+    got = vamana.search(vamana.index(usable, shard_rows=900), usable.where("vec_id % 50 = 0")).collect()
     want = brute(list(enumerate(x)))
     assert recall(got, want) >= 0.95
     for r in got[:50]:
@@ -49,6 +49,20 @@ def test_recall_over_shards_of_random_vectors(spark):
         assert abs(r["score"] - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
+def test_a_search_scores_few_nodes_of_a_large_shard():
+    """Recall and the share of scored nodes at two sizes: the share falls as the shard grows."""
+    rng, shares = np.random.default_rng(3), []
+    for n in (1500, 6000):
+        x = vamana.unit(np.repeat(rng.normal(size=(n // 20, 24)), 20, axis=0) + 0.4 * rng.normal(size=(n // 20 * 20, 24))).astype(np.float32)
+        graph, entry = vamana.build(x)
+        scored, q = [], x[:: n // 100]
+        found, _ = vamana.beam_search(x, graph, entry, q, vamana.SEARCH_BEAM, scored=scored)
+        want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :6]
+        assert np.mean([len(set(a) & set(b[:6])) / 6 for a, b in zip(want, found)]) >= 0.95
+        shares.append(np.mean(scored) / len(x))
+    assert shares[1] < 0.5 * shares[0] and shares[1] < 0.25
+
+
 def test_pruned_edges_are_diverse():
     rng = np.random.default_rng(1)
     x = vamana.unit(rng.normal(size=(300, 8))).astype(np.float32)
