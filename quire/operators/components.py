@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .pairs import band_width, page_pairs
+from .pairs import band_width, metric_pairs, page_pairs
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -61,8 +61,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def single_linkage_components(pages: DataFrame, alpha: float, threshold: float, vec: str = "embedding") -> DataFrame:
-    """A3 for large inputs: edges are band-pruned page pairs (exact for 0 <= alpha < 1) with
-    distance strictly below the threshold; clusters are their connected components."""
+    """A3 for large inputs: edges are the page pairs with distance strictly below the threshold, pruned by the band of pages
+    (exact for 0 <= alpha < 1) or by pivots where there is none; clusters are their connected components."""
     pages = pages.select("input_id", "page_no", vec)
-    edges = page_pairs(pages, alpha, vec=vec, max_gap=band_width(alpha, threshold)).where(F.col("dist") < F.lit(float(threshold)))
+    band = band_width(alpha, threshold)
+    if band is None and alpha >= 1:
+        edges = metric_pairs(pages, alpha, threshold, vec=vec)
+    else:
+        edges = page_pairs(pages, alpha, vec=vec, max_gap=band).where(F.col("dist") < F.lit(float(threshold)))
     return connected_components(pages, edges)

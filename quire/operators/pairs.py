@@ -13,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import blended_distance
+from ..functions.vectors import blended_distance, l2_distance
 
 DEFAULT_BLOCK = 256
 
@@ -84,6 +84,63 @@ def page_pairs(
     )
 
 
+PIVOTS = 4
+_SLACK = 1e-8  # distances are rounded, and their bounds are sums of doubles
+
+
+def pivot_blocks(pages: DataFrame, vec: str = "embedding", pivots: int = PIVOTS, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``(input_id, page_no, v, away, blk)``: each page's content distances to a few pivot pages of its input, and its block. Pages
+    are ordered by their nearest pivot and the distance to it, and cut into blocks of ``block`` pages, so a block's pages are near each other and
+    none is larger than another, however many vectors are equal. Stored."""
+    from ..session import cut_lineage
+    from .numbering import number_rows
+
+    p = cut_lineage(pages.select("input_id", "page_no", F.col(vec).alias("v")))
+    rank = F.row_number().over(Window.partitionBy("input_id").orderBy(F.xxhash64("page_no"), "page_no"))
+    chosen = p.withColumn("_rank", rank).where(F.col("_rank") <= pivots)
+    points = chosen.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "v"))), lambda s: s["v"]).alias("_points"))
+    far = p.join(points, "input_id").select("input_id", "page_no", "v", F.transform("_points", lambda q: l2_distance(q, "v")).alias("away"))
+    placed = far.withColumn("_d", F.array_min("away")).withColumn("_near", F.array_position("away", F.col("_d")))
+    ordered = number_rows(placed, "input_id", ["_near", "_d", "page_no"], out="_place")
+    return ordered.select("input_id", "page_no", "v", "away", F.floor(F.col("_place") / block).cast("int").alias("blk"))
+
+
+def metric_tiles(blocks: DataFrame, alpha: float, threshold: float) -> DataFrame:
+    """``(input_id, a, b)``: the pairs ``a <= b`` of ``pivot_blocks`` that may hold a pair of pages below the threshold. By the triangle
+    inequality two pages are at least as far apart as their distances to any pivot differ; what page numbers can take off (alpha > 1) is
+    bounded by the blocks' page ranges. Blocks meet as a row each, not their pages."""
+    span = blocks.select("input_id", "blk", "page_no", F.posexplode("away").alias("_p", "_d")).groupBy("input_id", "blk", "_p").agg(
+        F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.min("page_no").alias("first"), F.max("page_no").alias("last")
+    )
+    rows = span.groupBy("input_id", "blk").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_p", "lo", "hi"))), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))).alias("spans"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+    left = rows.select("input_id", F.col("blk").alias("a"), F.col("spans").alias("_sa"), F.col("first").alias("_fa"), F.col("last").alias("_la"))
+    right = rows.select("input_id", F.col("blk").alias("b"), F.col("spans").alias("_sb"), F.col("first").alias("_fb"), F.col("last").alias("_lb"))
+    apart = F.array_max(F.zip_with("_sa", "_sb", lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"], F.lit(0.0))))
+    most = F.greatest(F.col("_lb") - F.col("_fa"), F.col("_la") - F.col("_fb"))  # pages apart at most
+    least = F.greatest(F.col("_fb") - F.col("_la"), F.col("_fa") - F.col("_lb"), F.lit(0))
+    gap = (most if alpha > 1.0 else least).cast("double")
+    bound = F.lit(float(alpha)) * apart + F.lit(1.0 - float(alpha)) * gap
+    return left.join(right, "input_id").where((F.col("a") <= F.col("b")) & (bound < F.lit(float(threshold) + _SLACK))).select("input_id", "a", "b")
+
+
+def metric_pairs(pages: DataFrame, alpha: float, threshold: float, vec: str = "embedding", decimals: int | None = 9, pivots: int = PIVOTS, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """J1 below a threshold, for any ``alpha >= 0``: ``(input_id, i, j, dist)`` of the page pairs ``i < j`` with ``dist < threshold``. For alpha >= 1, where no band of
+    pages bounds a pair, tiles are left out by the pages' distances to pivots (``metric_tiles``); no pair below the threshold is lost."""
+    from ..session import cut_lineage
+
+    if not alpha >= 0:
+        raise ValueError(f"alpha must not be negative: {alpha}")
+    blocks = pivot_blocks(pages, vec, pivots, block)
+    tiles = cut_lineage(metric_tiles(blocks, alpha, threshold))
+    side = lambda c, p, v: blocks.select("input_id", F.col("blk").alias(c), F.col("page_no").alias(p), F.col("v").alias(v))
+    met = tiles.join(side("a", "_i", "_vi"), ["input_id", "a"]).join(side("b", "_j", "_vj"), ["input_id", "b"]).where((F.col("a") < F.col("b")) | (F.col("_i") < F.col("_j")))
+    found = met.select("input_id", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), blended_distance("_vi", "_vj", "_i", "_j", alpha, decimals).alias("dist"))
+    return found.where(F.col("dist") < F.lit(float(threshold)))
+
+
 def distance_matrix(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     """Full symmetric matrix from one pass over the upper triangle plus a zero diagonal."""
     both = pairs.select("input_id", F.inline(F.array(F.struct("i", "j", "dist"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))))

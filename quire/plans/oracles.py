@@ -251,6 +251,7 @@ def registry2() -> dict[str, str]:
 
     a, t = DEFAULT_ALPHA, DEFAULT_THRESHOLD
     o: dict[str, str] = {}
+    o["near_pairs"] = f"WITH {F2}, {_pairs_cte(1.0, 'f2v')} SELECT input_id, i, j, round(d, 6) AS dist FROM base WHERE d < 0.25"
     o["text_vectors"] = f"WITH {F2} SELECT input_id, page_no, cell, round(value, 6) AS value FROM f2s"
     o["embed_missing"] = f"""WITH {F2}
 SELECT s.input_id, s.page_no, md5(p.text) AS text_hash, s.cell, round(s.value, 6) AS value

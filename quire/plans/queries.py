@@ -233,6 +233,11 @@ def q_gap_split(spark, sf):
     return S.gap_split(_scattered_labels(spark, sf), 2)
 
 
+def q_near_pairs(spark, sf):
+    """J1 below a threshold without a band of pages (alpha 1): the F2 pages of an input whose texts are alike, by the pivot join."""
+    return pairs.metric_pairs(_f2_vectors(spark, sf), 1.0, 0.25).select("input_id", "i", "j", _r("dist", "dist"))
+
+
 # ---------------------------------------------------------------- documents (F2 clustered)
 def _f2_labels(spark, sf):
     """The F2 pages and their labels."""
@@ -457,6 +462,7 @@ def registry() -> dict:
         "cosine_similarity": q_cosine_similarity,
         "mean_vector": q_mean_vector,
         "page_pairs": q_page_pairs,
+        "near_pairs": q_near_pairs,
         "distance_matrix": q_distance_matrix,
         "distance_heatmap": q_distance_heatmap,
         "cluster_average": q_cluster_average,
