@@ -1,17 +1,18 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
 * text: letter n-gram likelihoods, learned from ``documents`` with a known language (a bounded sample,
-  the first ``FIT_ROWS`` per language by the hash of the id, whole texts up to ``FIT_BYTES`` bytes; of a language
+  the first ``FIT_ROWS`` per language by a hash of id and text, whole texts up to ``FIT_BYTES`` bytes; of a language
   that has only longer ones, their first ``FIT_BYTES`` characters);
-* declared markup language: how often pages of a language declare which one;
-* address: how often pages of a language have which suffix of the host and which language-like first path part;
-* host: a prior from the other pages of the host, smoothed towards its registered domain, that towards
-  its suffix, and that towards all pages.
+* declared markup language, and the language-like first part of the address' path: how often pages of a language have which;
+* address suffix and host: a prior from the other pages of the host, smoothed towards its registered domain, that towards
+  its suffix, and that towards all pages. The suffix enters here, and only here.
 
-The counts behind the last three come from all pages by grouped aggregation, each page counting by its
+The counts behind the last two come from all pages by grouped aggregation, each page counting by its
 text's own posterior, so declarations that are wrong as a rule weigh little. A page's own share is taken
-out of its host's counts. Every declared code, suffix, path part and host has a count of its own: they are summed in
-the tasks first, and joined back by value. Numeric hosts have no suffix and are their own domain.
+out of all counts it meets, so a value that only this page has says nothing: smoothing adds to a value's counts in proportion to the languages'
+sizes. Every declared code, path part, suffix and host has a count of its own: they are summed in
+the tasks first, and joined back by value. Numeric hosts have no suffix and are their own domain. The registered domain is the last two
+labels, or three where a country's suffix follows one of the ``SECOND_LEVEL`` labels.
 
 The text's log-likelihood is divided by the square root of its length, as neighbouring n-grams
 aren't independent. Pages without text rely on the other evidence; null address and markup give none. Ties go
@@ -32,6 +33,9 @@ from .common import ready, same, stored
 from .warc import LANG, plain_text
 
 FIT_ROWS, FIT_BYTES, CELLS, SMOOTH = 400, 20_000, 1 << 15, 5.0
+VALUE_SMOOTH, PLACES = 1.0, 1 << 40  # added counts of a value, over all languages; places of the sample's hash
+# Labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "info", "mil", "ne", "net", "nom", "or", "org")
 
 
 def cells(text: str) -> np.ndarray:
@@ -49,10 +53,17 @@ def fit_text(docs: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES)
     from pyspark.sql import Window
 
     long = F.octet_length("text") > max_bytes
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = known.select("lang", F.when(long, F.substring("text", 1, max_bytes)).otherwise(F.col("text")).alias("text"), F.xxhash64("doc_id", "text").alias("h"), long.alias("long"))
-    few = known.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).where(F.col("_rank") <= rows)
-    sample = few.select("lang", "text", "h", "long").collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", place.alias("h"), long.alias("long"))
+    # places are picked before texts move: of each language about four times as many rows as wanted have a place below its bound, whatever
+    # its size, and the first of those are the first of all
+    keys = known.select("lang", "long", "h")
+    bounds = keys.groupBy("lang", "long").agg(F.count("*").alias("n")).select(F.col("lang").alias("_l"), F.col("long").alias("_g"), (F.lit(4.0 * rows * PLACES) / F.col("n")).alias("bound"))
+    likely = keys.join(bounds, (F.col("lang") == F.col("_l")) & (F.col("long") == F.col("_g"))).where(F.col("h") <= F.col("bound")).select("lang", "long", "h")
+    first = likely.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).where(F.col("_rank") <= rows)
+    picked = stored(first.select("lang", "long", "h").distinct())
+    texts = known.select("lang", "long", "h", F.when(F.col("long"), F.substring("text", 1, max_bytes)).otherwise(F.col("text")).alias("text"))
+    sample = texts.join(picked, ["lang", "long", "h"], "left_semi").dropDuplicates(["lang", "h"]).collect()
     short = {r["lang"] for r in sample if not r["long"]}
     sample = [r for r in sample if not r["long"] or r["lang"] not in short]
     langs = sorted({r["lang"] for r in sample})
@@ -81,7 +92,8 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     first_path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/]+/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)", 1)
     declared = F.lower(F.regexp_extract(F.coalesce("html", none), LANG, 1))
     numeric = host.rlike(r"^[0-9]+(\.[0-9]+)*$")
-    domain = F.when(numeric, host).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
+    under = F.regexp_extract(host, rf"([^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$", 1)
+    domain = F.when(numeric, host).when(under != "", under).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
     suffix = F.when(numeric, none).otherwise(F.regexp_extract(host, r"\.([^.]+)$", 1))
     parts = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"),
@@ -101,12 +113,13 @@ def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("text_p")[i]) for i in range(n)]).alias(name))
 
 
-def _likelihoods(sums: DataFrame, column: str, count: str, total: list[float], n: int) -> DataFrame:
-    """``column`` and ``_l_column``: the log-probability of each value in each language, as an array. ``sums`` has the sums of ``count`` of each value."""
-    known = sums.where(F.col(column) != "")
-    kinds = known.count() + 1  # one more for values never seen
-    logs = F.array(*[F.log((F.col(count)[i] + 0.5) / F.lit(total[i] + 0.5 * kinds)) for i in range(n)])
-    return known.select(F.col(column).alias(f"_v_{column}"), logs.alias(f"_l_{column}"))
+def value_logs(count: str, total: list[float]) -> Column:
+    """The log-likelihood of a value in each language, from its ``count`` without the page's own share; null where no page has it."""
+    whole = F.array(*[F.lit(t) for t in total])
+    rest = F.zip_with(whole, F.col("text_p"), lambda t, p: F.greatest(t - p, F.lit(0.0)) + 0.5)
+    size = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
+    own = F.zip_with(F.col(count), F.col("text_p"), lambda c, p: F.greatest(c - p, F.lit(0.0)))
+    return F.zip_with(own, rest, lambda c, t: F.log(c / t + VALUE_SMOOTH / size))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,11 +139,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     counts = domains.join(suffixes, "suffix").join(hosts, ["suffix", "domain"])
     counts = stored(counts.select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), "host_n", "domain_n", "suffix_n"))
     joined = rows.join(counts, same(rows["host"], counts["_h"]) & (rows["suffix"] == counts["_s"]))
-    found = [(c, stored(_sums(rows.where(F.col(c) != ""), [c], n, "c")), "c") for c in ("declared", "path")]
-    for column, sums, count in [*found, ("suffix", stored(suffixes), "suffix_n")]:
-        logs = _likelihoods(sums, column, count, total, n)
-        joined = joined.join(logs, F.col(column) == F.col(f"_v_{column}"), "left")
-    said = lambda c: F.coalesce(F.col(f"_l_{c}"), F.array(*[F.lit(0.0)] * n))
+    for column in ("declared", "path"):
+        sums = stored(_sums(rows.where(F.col(column) != ""), [column], n, f"_n_{column}"))
+        joined = joined.join(sums.withColumnRenamed(column, f"_v_{column}"), F.col(column) == F.col(f"_v_{column}"), "left")
+    said = lambda c: F.coalesce(value_logs(f"_n_{c}", total), F.array(*[F.lit(0.0)] * n))
     whole = F.array(*[F.lit((t + 1) / (sum(total) + n)) for t in total])
 
     def smoothed(count: str, above: Column) -> Column:
@@ -141,8 +153,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     a = joined.withColumn("_suffix_p", smoothed("suffix_n", whole))
     a = a.withColumn("_domain_p", smoothed("domain_n", F.col("_suffix_p")))
     a = a.withColumn("_host_p", smoothed("host_n", F.col("_domain_p")))
-    a = a.withColumn("_declared", said("declared")).withColumn("_address", said("suffix")).withColumn("_path", said("path"))
-    logs = F.array(*[F.col("text_log")[i] + F.log(F.col("_host_p")[i]) + F.col("_declared")[i] + F.col("_address")[i] + F.col("_path")[i] for i in range(n)])
+    a = a.withColumn("_declared", said("declared")).withColumn("_path", said("path"))
+    logs = F.array(*[F.col("text_log")[i] + F.log(F.col("_host_p")[i]) + F.col("_declared")[i] + F.col("_path")[i] for i in range(n)])
     fused = a.withColumn("_logs", logs).withColumn("_p", posterior(F.col("_logs"), n))
     names = F.array(*map(F.lit, langs))
     best = lambda p: F.element_at(names, F.array_position(F.col(p), F.array_max(p)).cast("int"))

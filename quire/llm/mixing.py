@@ -1,15 +1,15 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a fixed hash of its id. A source that is to give ``target`` words takes each of
+Every document has a fixed hash of its id and text. A source that is to give ``target`` words takes each of
 its documents ``floor(target / size of the source)`` times, and those below a hash threshold once
 more. The threshold comes from histograms: words are summed by source and hash bucket (the hash's
 leading bits), the bucket where the running sum crosses the budget is the boundary, and only its
 documents are summed again by the next bits, until the boundary holds one hash value. The documents
 are then filtered by comparing hashes; nothing is sorted but the bucket sums of a source.
 
-A boundary hash is taken if that brings the sum nearer to the budget. Rows of the same id share a
-hash and go together. Null texts and texts without words have size 0 and are taken 0 words of; null
-sources are one source, last in order; a null id hashes like an empty one. With no words at all every target is 0.
+A boundary hash is taken if that brings the sum nearer to the budget. Rows that are equal in id and text share a
+hash and go together; ids may be null or repeat. Null texts and texts without words have size 0 and are taken 0 words of; null
+sources are one source, last in order; a null id or text hashes like an empty one. With no words at all every target is 0.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ HASH_BITS, STEP_BITS = 60, 12
 WEIGHTS, SHARE, CEILING = (3, 1, 2), (3, 2), 2
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the id's MD5 as long."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id and the text's MD5, as long."""
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def weighted(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -85,7 +86,7 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def with_size(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, word_count(F.col("text")).alias("_size"), id_hash(F.col("doc_id")).alias("_h"))
+    return docs.select(*keep, word_count(F.col("text")).alias("_size"), row_hash(F.col("doc_id"), F.col("text")).alias("_h"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, ceiling: int = CEILING) -> DataFrame:
@@ -118,5 +119,5 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     goals = plan(stored(with_size(docs, "source")), weights, share, ceiling)
     renamed = goals.select(F.col("source").alias("_of"), F.col("base").alias("_base"), F.col("bound").alias("_bound"))
     joined = docs.join(renamed, same(docs["source"], renamed["_of"]))
-    copies = F.col("_base") + (id_hash(docs["doc_id"]) < F.col("_bound")).cast("long")
+    copies = F.col("_base") + (row_hash(docs["doc_id"], docs["text"]) < F.col("_bound")).cast("long")
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).drop("_copy")

@@ -25,7 +25,8 @@ def brute(rows):
         full |= more
     target = {s: 2 * total[s] if s in full else left * weight[s] / free for s in names}
     out = []
-    h = [int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) for r in rows]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    h = [int(md5(("" if r[0] is None else str(r[0])) + ":" + md5(r[1] or ""))[:15], 16) for r in rows]
     for s in names:
         base = int(target[s] // total[s]) if total[s] else 0
         budget, taken, extra = target[s] - base * total[s], 0, set()
@@ -56,6 +57,15 @@ def test_mix_equals_brute_force(spark, hot):
     assert all(taken <= 2 * size for _, size, _, _, taken in got)
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_targets_are_met_where_ids_are_null_or_repeat(spark, shared):
+    rows = [(shared, f"text number {i} " + "w " * (i % 11), "abc"[i % 3], "x", "y") for i in range(1500)]
+    got = found(mixing.mix(spark.createDataFrame(rows, SCHEMA)))
+    assert got == brute(rows)
+    for target in {r[3] for r in got}:
+        assert abs(sum(r[4] for r in got if r[3] == target) - target) < 0.01 * target
+
+
 def test_mix_without_words_or_rows(spark):
     docs = spark.createDataFrame([(1, None, "a", "", ""), (2, "  ", None, "", "")], SCHEMA)
     assert [r[4] for r in found(mixing.mix(docs))] == [0, 0]

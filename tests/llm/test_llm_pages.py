@@ -69,10 +69,9 @@ def test_posteriors_equal_a_plain_version(spark, texts):
             own = np.maximum(part(key, i) - p[i], 0)
             prior = (own + 5 * prior) / (own.sum() + 5)
         z = log[i] + np.log(prior)
-        for key in (declared, suffix):
-            kinds = len({key(x) for x in rows} - {""}) + 1
-            if key(r):
-                z = z + np.log((part(key, i) + 0.5) / (total + 0.5 * kinds))
+        if declared(r):
+            rest = np.maximum(total - p[i], 0) + 0.5
+            z = z + np.log(np.maximum(part(declared, i) - p[i], 0) / rest + 1 / rest.sum())
         want[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     for r in langid.identify(pages, texts).collect():
         assert r["lang"] == langs[int(want[r["page_id"]].argmax())] and abs(r["probability"] - want[r["page_id"]].max()) < 1e-6
@@ -86,13 +85,43 @@ def test_rare_values_have_counts_of_their_own(spark, texts):
     assert len(got) == len(rows) and got[-1] == "fr"
 
 
+def test_pages_with_wrong_or_no_declaration(spark):
+    """Pages made of documents of a known language, which is kept apart; half of the declarations are wrong or missing, a fifth of the texts a few words."""
+    import random
+
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    rows = [(r["doc_id"], r["lang"], r["text"].split()) for r in docs.where("lang IS NOT NULL AND length(text) > 200").orderBy("doc_id").limit(600).collect()]
+    langs = sorted({lang for _, lang, _ in rows})
+    pages, truth, said = [], {}, {}
+    for i, lang, words in rows:
+        kind = rng.random()
+        declared = "" if kind < 0.25 else rng.choice(langs) if kind < 0.5 else lang
+        words = words[:4] if rng.random() < 0.2 else words[:80]
+        host = f"www.{lang}{rng.randrange(6)}.site.{lang}" if rng.random() < 0.7 else f"h{rng.randrange(9)}.com"
+        truth[i], said[i] = lang, declared
+        pages.append((i, f"http://{host}/{i}", page(declared, " ".join(words).replace("<", " "))))
+    found = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    wrong = [r for r in found if said[r["page_id"]] != truth[r["page_id"]]]
+    right = lambda rows, c: sum(r[c] == truth[r["page_id"]] for r in rows) / len(rows)
+    assert len(found) == len(rows) and len(wrong) > 150
+    assert right(wrong, "lang") > 0.95 and right(found, "lang") > 0.97 and right(found, "lang") >= right(found, "text_lang")
+
+
+def test_a_value_of_one_page_says_nothing(spark, texts):
+    rows = [(i, f"http://a{i}.com/", page("fr", WORDS["fr"])) for i in range(40)] + [(100 + i, f"http://b{i}.com/", page("en", WORDS["en"])) for i in range(4)]
+    pages = lambda code: spark.createDataFrame([*rows, (-1, "http://new.com/", page(code, "x y"))], "page_id long, url string, html string")
+    alone, none = ({r["page_id"]: r["probability"] for r in langid.identify(pages(code), texts).collect()}[-1] for code in ("zz", ""))
+    assert abs(alone - none) < 1e-9
+
+
 def test_numeric_hosts_have_no_suffix_and_long_texts_a_class(spark, texts):
     longer = spark.createDataFrame([(500, "der die das und nicht mit einem auch " * 1000, "de")], texts.schema)
     langs, table = langid.fit_text(texts.union(longer))
     assert langs == ["de", "en", "fr"]
-    urls = [(1, "http://10.0.0.77/a", ""), (2, "http://a.b.fr/", "")]
+    urls = [(1, "http://10.0.0.77/a", ""), (2, "http://a.b.fr/", ""), (3, "http://www.shop.co.uk/", ""), (4, "http://co.uk/", "")]
     got = {r["page_id"]: (r["domain"], r["suffix"]) for r in langid.evidence(spark.createDataFrame(urls, "page_id long, url string, html string"), langs, table).collect()}
-    assert got == {1: ("10.0.0.77", ""), 2: ("b.fr", "fr")}
+    assert got == {1: ("10.0.0.77", ""), 2: ("b.fr", "fr"), 3: ("shop.co.uk", "uk"), 4: ("co.uk", "uk")}
 
 
 def read_warc(path):
