@@ -58,7 +58,7 @@ def _op10() -> str:
         return f"('\"' || regexp_replace({x}, '[\\x00-\\x1F]', ' ', 'g') || '\"')"
 
     fields = [("refers-to", string("refers_to")), ("uri", string("target_uri")), ("title", string("title")), ("lang", string("lang")), ("source-headers", string("http_header")),
-              ("source-digest", string("source_digest")), ("source-length", "source_length::VARCHAR"), ("text-digest", string("'sha1:' || sha1(txt)")), ("links", f"('[' || coalesce(array_to_string(list_transform(links, lambda x: {string('substr(x, 2, length(x) - 2)')}), ','), '') || ']')")]
+              ("source-digest", string("source_digest")), ("source-length", "source_length::VARCHAR"), ("text-digest", string("'sha1:' || sha1(txt)")), ("links", f"('[' || coalesce(array_to_string(list_transform(links, lambda x: {string("CASE WHEN x[1] IN (chr(34), chr(39)) THEN substr(x, 2, length(x) - 2) ELSE x END")}), ','), '') || ']')")]
     json = "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields) + " || '}'"
     return f"""
 WITH base AS (

@@ -29,7 +29,8 @@ TAG = r"(?s)<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 LANG = r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)"
-LINK = r"(?i)<a\s[^>]*?href=(\"[^\">]*\"|'[^'>]*')"
+#: An anchor's address: quoted or not, with white space around the sign or not.
+LINK = r"(?i)<a[ \t\n\x0B\f\r](?:[^>]*?[ \t\n\x0B\f\r\"'])?href[ \t\n\x0B\f\r]*=[ \t\n\x0B\f\r]*(\"[^\">]*\"|'[^'>]*'|[^ \t\n\x0B\f\r\"'>]+)"
 
 
 def plain_text(html: Column) -> Column:
@@ -87,7 +88,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         plain_text(html).alias("text"),
     )
     ids = lambda kind: record_id(kind, F.col("page_id"), F.col("target_uri"), F.col("source_digest"))
-    links = F.concat(F.lit("["), F.concat_ws(",", F.transform("links", lambda x: _json(F.substr(x, F.lit(2), F.length(x) - 2)))), F.lit("]"))
+    links = F.concat(F.lit("["), F.concat_ws(",", F.transform("links", lambda x: _json(F.when(x.rlike("^[\"']"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)))), F.lit("]"))
     fields = [("refers-to", _json(F.col("refers_to"))), ("uri", _json(F.col("target_uri"))), ("title", _json(F.col("title"))), ("lang", _json(F.col("lang"))), ("source-headers", _json(F.col("http_header"))),
               ("source-digest", _json(F.col("source_digest"))), ("source-length", F.col("source_length").cast("string")), ("text-digest", _json(digest(F.col("text")))), ("links", links)]
     metadata = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields]), F.lit("}"))

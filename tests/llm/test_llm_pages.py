@@ -167,6 +167,31 @@ def test_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).collect() == []
 
 
+def test_links_are_those_of_an_html_parser(spark):
+    from html.parser import HTMLParser
+
+    class Anchors(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            self.found += [v for k, v in attrs if tag == "a" and k == "href"][:1]
+
+    bodies = [
+        "<a href=/x>1</a><A HREF = '/y z'>2</A><a class=c\n href\n=\n\"/w\">3</a>", "<a data-href=/no href=/yes>4</a><a name=n>5</a><abbr href=/no>6</abbr>", "<a href=https://a.org/?q=1&r=2 class=k>7</a><a href=''>8</a>",
+        "<a class='x'href='/tight'>9</a><link href=/no><a\thref=/tab\tid=i>10</a>", "no links",
+    ]
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()] + [(10_000 + i, b) for i, b in enumerate(bodies)]
+    made = warc.derivatives(warc.responses(spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in pages], "page_id long, url string, html string")))
+    got = {r["page_id"]: json.loads(r["block"])["links"] for r in made.where("record_type = 'metadata'").collect()}
+    for i, body in pages:
+        parser = Anchors()
+        parser.feed(body or "")
+        assert got[i] == parser.found, (i, body)
+    assert sum(map(len, got.values())) > 50
+
+
 def test_op10_has_two_records_a_page(spark):
     rows = queries.op10_derivative_records(spark, SF001).collect()
     assert len(rows) == 2 * spark.read.parquet(f"{SF001}/pages.parquet").count() and len({r["record_id"] for r in rows}) == len(rows)
