@@ -114,5 +114,21 @@ FROM g
 """
 
 
+OP13 = """
+WITH t AS (  -- the checksum's table by its rule: eight steps of the reversed polynomial for each byte
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS crc),
+d AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes,
+         list_transform(range(17), lambda s: ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || s::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)) AS scores
+  FROM documents),
+e AS (
+  SELECT doc_id, len(bytes)::BIGINT + 1 AS size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32,
+         (list_position(scores, list_max(scores[1:16])) - 1)::INTEGER AS shard, (list_position(scores, list_max(scores)) - 1)::INTEGER AS grown_shard
+  FROM d, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
+FROM e
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op4_threshold_mixing": OP4, "op10_derivative_records": _op10(), "op11_segment_negatives": OP11, "op12_learned_rank_fim": OP12}
+    return {"op4_threshold_mixing": OP4, "op10_derivative_records": _op10(), "op11_segment_negatives": OP11, "op12_learned_rank_fim": OP12, "op13_rendezvous_shards": OP13}
