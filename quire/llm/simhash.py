@@ -312,10 +312,13 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     kept = classes(slim, radius).select("fp", "root").join(each, "fp").groupBy("root").agg(F.min("first").alias("first"))
     counts = slim.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"))
     named = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    named = stored(named.join(counts, same(F.col("_id"), F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("_id", "_hash", "_n"))
+    mine = same(F.col("_id"), F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    named = stored(named.join(counts, mine).select("_id", "_hash", "_n"))
+    # what goes is the smaller part as a rule, so that its join seldom moves texts
+    gone = stored(counts.join(named.where("_n = 1").drop("_n"), mine, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     doc_id, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
     match = same(doc_id, F.col("_id")) & (text_hash == F.col("_hash"))
-    single = docs.join(named.where("_n = 1"), match, "left_semi")
+    single = docs.join(gone, match, "left_anti")
     again = named.where("_n > 1").select("_id", "_hash")
     if again.isEmpty():
         return single
