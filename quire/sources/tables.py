@@ -25,7 +25,8 @@ _ROW_IDS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. A scan of several splits is left as it is. One that is a single split (so at most
-    ``spark.sql.files.maxPartitionBytes``, or one row group) is dealt out by its row id, so that text work runs on every core."""
+    ``spark.sql.files.maxPartitionBytes``, or one row group) is dealt out by its row id, so that text work runs on every core. The plan follows
+    the number of splits so; results don't."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in _ROW_IDS and df.rdd.getNumPartitions() == 1:
         df = df.repartition(spark.sparkContext.defaultParallelism, _ROW_IDS[name])
