@@ -88,21 +88,21 @@ PIVOTS = 4
 _SLACK = 1e-8  # distances are rounded, and their bounds are sums of doubles
 
 
-def pivot_blocks(pages: DataFrame, vec: str = "embedding", pivots: int = PIVOTS, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """``(input_id, page_no, v, away, blk)``: each page's content distances to a few pivot pages of its input, and its block. Pages
+def pivot_blocks(pages: DataFrame, vec: str = "embedding", pivots: int = PIVOTS, block: int = DEFAULT_BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(input_id, page_no, v, away, blk)`` and the columns to ``keep``: each page's content distances to a few pivot pages of its input, and its block. Pages
     are ordered by their nearest pivot and the distance to it, and cut into blocks of ``block`` pages, so a block's pages are near each other and
     none is larger than another, however many vectors are equal. Stored."""
     from ..session import cut_lineage
     from .numbering import number_rows
 
-    p = cut_lineage(pages.select("input_id", "page_no", F.col(vec).alias("v")))
+    p = cut_lineage(pages.select("input_id", "page_no", F.col(vec).alias("v"), *keep))
     rank = F.row_number().over(Window.partitionBy("input_id").orderBy(F.xxhash64("page_no"), "page_no"))
     chosen = p.withColumn("_rank", rank).where(F.col("_rank") <= pivots)
     points = chosen.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "v"))), lambda s: s["v"]).alias("_points"))
-    far = p.join(points, "input_id").select("input_id", "page_no", "v", F.transform("_points", lambda q: l2_distance(q, "v")).alias("away"))
+    far = p.join(points, "input_id").select("input_id", "page_no", "v", *keep, F.transform("_points", lambda q: l2_distance(q, "v")).alias("away"))
     placed = far.withColumn("_d", F.array_min("away")).withColumn("_near", F.array_position("away", F.col("_d")))
     ordered = number_rows(placed, "input_id", ["_near", "_d", "page_no"], out="_place")
-    return ordered.select("input_id", "page_no", "v", "away", F.floor(F.col("_place") / block).cast("int").alias("blk"))
+    return ordered.select("input_id", "page_no", "v", *keep, "away", F.floor(F.col("_place") / block).cast("int").alias("blk"))
 
 
 def metric_tiles(blocks: DataFrame, alpha: float, threshold: float) -> DataFrame:

@@ -251,7 +251,17 @@ def registry2() -> dict[str, str]:
 
     a, t = DEFAULT_ALPHA, DEFAULT_THRESHOLD
     o: dict[str, str] = {}
-    o["near_pairs"] = f"WITH {F2}, {_pairs_cte(1.0, 'f2v')} SELECT input_id, i, j, round(d, 6) AS dist FROM base WHERE d < 0.25"
+    alike = f"""WITH {F2}, {_pairs_cte(1.0, 'f2v')},
+classes AS (SELECT input_id, page_no, CAST(min(page_no) OVER (PARTITION BY input_id, embedding) AS INTEGER) AS class_page FROM f2v)"""
+    o["near_pairs"] = alike + """
+SELECT b.input_id, b.i, b.j, round(b.d, 6) AS dist FROM base b
+JOIN classes x ON x.input_id = b.input_id AND x.page_no = b.i AND x.class_page = b.i
+JOIN classes y ON y.input_id = b.input_id AND y.page_no = b.j AND y.class_page = b.j WHERE b.d < 0.25"""
+    o["near_links"] = alike + """,
+ends AS (SELECT input_id, unnest([i, j]) AS page_no FROM base WHERE d < 0.25),
+links AS (SELECT input_id, page_no, count(*) AS n FROM ends GROUP BY ALL)
+SELECT c.input_id, c.page_no, c.class_page, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM classes c LEFT JOIN links l ON l.input_id = c.input_id AND l.page_no = c.page_no"""
     o["text_vectors"] = f"WITH {F2} SELECT input_id, page_no, cell, round(value, 6) AS value FROM f2s"
     o["embed_missing"] = f"""WITH {F2}
 SELECT s.input_id, s.page_no, md5(p.text) AS text_hash, s.cell, round(s.value, 6) AS value

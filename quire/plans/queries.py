@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_ALPHA, DEFAULT_BOUNDARY_THRESHOLD, DEFAULT_THRESHOLD, SPLIT_LEVEL_MAX, SPLIT_LEVEL_MIN, SPLIT_LEVEL_STEP
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import cluster, pairs
+from ..operators import cluster, links, pairs
 from ..operators import documents as D
 from ..operators import evaluate as E
 from ..operators import segment as S
@@ -234,8 +234,14 @@ def q_gap_split(spark, sf):
 
 
 def q_near_pairs(spark, sf):
-    """J1 below a threshold without a band of pages (alpha 1): the F2 pages of an input whose texts are alike, by the pivot join."""
-    return pairs.metric_pairs(_f2_vectors(spark, sf), 1.0, 0.25).select("input_id", "i", "j", _r("dist", "dist"))
+    """J1 below a threshold without a band of pages (alpha 1): the F2 pages of an input whose texts are alike, by the pivot join. Copies are not
+    expanded: a pair stands for all pages with the same two vectors, by the lowest page of each (``near_links`` has the members)."""
+    return pairs.metric_pairs(links.copy_classes(_f2_vectors(spark, sf)), 1.0, 0.25, vec="v").select("input_id", "i", "j", _r("dist", "dist"))
+
+
+def q_near_links(spark, sf):
+    """J1 below a threshold as a row per page: the lowest page with the same vector, and the number of pages that are alike."""
+    return links.near_links(_f2_vectors(spark, sf), 0.25)
 
 
 # ---------------------------------------------------------------- documents (F2 clustered)
@@ -463,6 +469,7 @@ def registry() -> dict:
         "mean_vector": q_mean_vector,
         "page_pairs": q_page_pairs,
         "near_pairs": q_near_pairs,
+        "near_links": q_near_links,
         "distance_matrix": q_distance_matrix,
         "distance_heatmap": q_distance_heatmap,
         "cluster_average": q_cluster_average,
