@@ -20,7 +20,8 @@ from ..constants import DIST_DECIMALS
 from ..session import cut_lineage
 from .pairs import PIVOTS, metric_tiles, pivot_blocks
 
-TILE = 1024
+TILE = 4096
+STRIP = 512  # rows of a pair of blocks that are compared at once
 SALTS = 16  # a class's pages meet it in so many tasks
 COUNTS = "input_id string, page_no int, n long"
 
@@ -54,16 +55,29 @@ def near_matrix(x: np.ndarray, y: np.ndarray, threshold: float, chunk: int = 1 <
     return near
 
 
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's classes as one row: pages, sizes and vectors as bytes."""
+    pages, size, v = (np.ascontiguousarray(x).tobytes() for x in (pdf["page_no"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.float64)))
+    return pd.DataFrame({"input_id": [key[0]], "blk": [key[1]], "pages": [pages], "sizes": [size], "vectors": [v]})
+
+
 def _count_fn(threshold: float):
     def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         input_id, a, b = key
-        sides = [pdf[pdf["blk"] == blk] for blk in (a, b)]
-        left, right = ([s["page_no"].to_numpy(np.int64), s["size"].to_numpy(np.int64), np.array(s["v"].tolist(), np.float64)] for s in sides)
-        near = near_matrix(left[2], right[2], threshold)
-        if a == b:
-            np.fill_diagonal(near, False)
-        counts = [(left[0], near @ right[1])] + ([(right[0], left[1] @ near)] if a != b else [])
-        page, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+        sides = {}
+        for row in pdf.itertuples(index=False):
+            pages = np.frombuffer(row.pages, np.int64)
+            sides[row.blk] = pages, np.frombuffer(row.sizes, np.int64), np.frombuffer(row.vectors, np.float64).reshape(len(pages), -1)
+        (pages_a, size_a, v_a), (pages_b, size_b, v_b) = sides[a], sides[b]
+        n_a, n_b = np.zeros(len(pages_a), np.int64), np.zeros(len(pages_b), np.int64)
+        for s in range(0, len(pages_a), STRIP):
+            part = slice(s, s + STRIP)
+            near = near_matrix(v_a[part], v_b, threshold)
+            if a == b:
+                near[np.arange(len(near)), s + np.arange(len(near))] = False
+            n_a[part] = near @ size_b
+            n_b += size_a[part] @ near
+        page, n = (pages_a, n_a) if a == b else (np.concatenate((pages_a, pages_b)), np.concatenate((n_a, n_b)))
         return pd.DataFrame({"input_id": input_id, "page_no": page[n > 0], "n": n[n > 0]})
 
     return fn
@@ -74,8 +88,8 @@ def class_links(classes: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
     blocks = cut_lineage(pivot_blocks(classes, "v", pivots, block, keep=("size",)))
     both = F.array(F.struct(F.col("a").alias("blk"), "a", "b"), F.struct(F.col("b").alias("blk"), "a", "b"))
     of = metric_tiles(blocks, 1.0, threshold).select("input_id", F.inline(F.array_distinct(both)))
-    wanted = of.groupBy("input_id", "blk").agg(F.collect_list(F.struct("a", "b")).alias("_tiles"))
-    met = blocks.join(wanted, ["input_id", "blk"]).select("input_id", "blk", "page_no", "size", "v", F.inline("_tiles"))
+    packed = blocks.groupBy("input_id", "blk").applyInPandas(_pack, "input_id string, blk int, pages binary, sizes binary, vectors binary")
+    met = packed.join(of, ["input_id", "blk"])
     return met.groupBy("input_id", "a", "b").applyInPandas(_count_fn(float(threshold)), COUNTS).groupBy("input_id", "page_no").agg(F.sum("n").alias("n"))
 
 

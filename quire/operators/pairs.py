@@ -85,6 +85,7 @@ def page_pairs(
 
 
 PIVOTS = 4
+SALTS = 64
 _SLACK = 1e-8  # distances are rounded, and their bounds are sums of doubles
 
 
@@ -99,7 +100,8 @@ def pivot_blocks(pages: DataFrame, vec: str = "embedding", pivots: int = PIVOTS,
     rank = F.row_number().over(Window.partitionBy("input_id").orderBy(F.xxhash64("page_no"), "page_no"))
     chosen = p.withColumn("_rank", rank).where(F.col("_rank") <= pivots)
     points = chosen.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "v"))), lambda s: s["v"]).alias("_points"))
-    far = p.join(points, "input_id").select("input_id", "page_no", "v", *keep, F.transform("_points", lambda q: l2_distance(q, "v")).alias("away"))
+    spread = points.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a long input meets its points in many tasks
+    far = p.withColumn("_salt", F.pmod(F.hash("page_no"), F.lit(SALTS))).join(spread, ["input_id", "_salt"]).select("input_id", "page_no", "v", *keep, F.transform("_points", lambda q: l2_distance(q, "v")).alias("away"))
     placed = far.withColumn("_d", F.array_min("away")).withColumn("_near", F.array_position("away", F.col("_d")))
     ordered = number_rows(placed, "input_id", ["_near", "_d", "page_no"], out="_place")
     return ordered.select("input_id", "page_no", "v", *keep, "away", F.floor(F.col("_place") / block).cast("int").alias("blk"))
