@@ -46,7 +46,7 @@ def test_held_out_accuracy(spark):
     rows = got.where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
     good, bad = [r for r in rows if r["quality"] == 1], [r for r in rows if r["quality"] == 0]
     assert len(bad) > 5 and sum(r["predicted"] for r in good) / len(good) > 0.97
-    assert sum(r["predicted"] for r in bad) / len(bad) < 0.4
+    assert sum(r["predicted"] for r in bad) / len(bad) < 0.2  # 2 of the 11 here
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
