@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DIST_DECIMALS
 from ..session import cut_lineage
-from .pairs import PIVOTS, metric_tiles, pivot_blocks
+from .pairs import PIVOTS, STRIP, TILE, metric_tiles, pivot_blocks
 
-TILE = 4096
-STRIP = 512  # rows of a pair of blocks that are compared at once
 SALTS = 16  # a class's pages meet it in so many tasks
 COUNTS = "input_id string, page_no int, n long"
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,8 @@ def page_pairs(
 
 PIVOTS = 4
 SALTS = 64
+TILE = 4096  # pages of a block that is measured as a matrix
+STRIP = 512  # rows of a pair of blocks that are compared at once
 _SLACK = 1e-8  # distances are rounded, and their bounds are sums of doubles
 
 
@@ -128,19 +132,72 @@ def metric_tiles(blocks: DataFrame, alpha: float, threshold: float) -> DataFrame
     return left.join(right, "input_id").where((F.col("a") <= F.col("b")) & (bound < F.lit(float(threshold) + _SLACK))).select("input_id", "a", "b")
 
 
-def metric_pairs(pages: DataFrame, alpha: float, threshold: float, vec: str = "embedding", decimals: int | None = 9, pivots: int = PIVOTS, block: int = DEFAULT_BLOCK) -> DataFrame:
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's pages as one row: their numbers and vectors as bytes."""
+    pages, v = pdf["page_no"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.float64)
+    return pd.DataFrame({"input_id": [key[0]], "blk": [key[1]], "pages": [pages.tobytes()], "vectors": [np.ascontiguousarray(v).tobytes()]})
+
+
+def near_cells(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, alpha: float, threshold: float, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, columns, content distances)`` of the pairs of ``x`` (pages ``p``) and ``y`` (pages ``q``) whose blended distance may lie below the threshold: chosen by one
+    matrix product with room for its rounding, then measured by direct differences."""
+    gap = np.zeros((1, 1)) if alpha == 1.0 else np.abs(p[:, None] - q[None, :]).astype(np.float64)
+    rest = threshold - (1.0 - alpha) * gap + _SLACK  # what the content distance may weigh
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    weighed = alpha * alpha * (size - 2 * (x @ y.T))
+    r, c = np.nonzero((rest >= 0) & (weighed < rest * rest + 1e-8 * (1 + rest * rest + alpha * alpha * size)))
+    l2 = np.empty(len(r))
+    for k in range(0, len(r), chunk):
+        diff = x[r[k : k + chunk]] - y[c[k : k + chunk]]
+        l2[k : k + chunk] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return r, c, l2
+
+
+def _near_fn(alpha: float, threshold: float):
+    """Per pair of blocks: a row for each page of the first that has any near ones in the second, with their numbers and content distances."""
+
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        input_id, a, b = key
+        sides = {}
+        for row in pdf.itertuples(index=False):
+            pages = np.frombuffer(row.pages, np.int64)
+            sides[row.blk] = pages, np.frombuffer(row.vectors, np.float64).reshape(len(pages), -1)
+        (p, x), (q, y) = sides[a], sides[b]
+        first, others, far = [], [], []
+        for s in range(0, len(p), STRIP):
+            r, c, l2 = near_cells(x[s : s + STRIP], y, p[s : s + STRIP], q, alpha, threshold)
+            r += s
+            if a == b:
+                once = p[r] < q[c]
+                r, c, l2 = r[once], c[once], l2[once]
+            at = np.flatnonzero(np.diff(r, prepend=-1))  # rows come in order
+            first += p[r[at]].tolist()
+            others += np.split(q[c], at[1:]) if len(at) else []
+            far += np.split(l2, at[1:]) if len(at) else []
+        return pd.DataFrame({"input_id": input_id, "p": pd.array(first, dtype="int64"), "q": pd.Series(others, dtype=object), "l2": pd.Series(far, dtype=object)})
+
+    return fn
+
+
+def metric_pairs(pages: DataFrame, alpha: float, threshold: float, vec: str = "embedding", decimals: int | None = 9, pivots: int = PIVOTS, block: int = TILE) -> DataFrame:
     """J1 below a threshold, for any ``alpha >= 0``: ``(input_id, i, j, dist)`` of the page pairs ``i < j`` with ``dist < threshold``. For alpha >= 1, where no band of
-    pages bounds a pair, tiles are left out by the pages' distances to pivots (``metric_tiles``); no pair below the threshold is lost."""
+    pages bounds a pair, tiles are left out by the pages' distances to pivots (``metric_tiles``); no pair below the threshold is lost. Blocks travel packed as one row
+    and a task measures one pair of blocks as a matrix, in strips; only near pairs become rows."""
     from ..session import cut_lineage
 
     if not alpha >= 0:
         raise ValueError(f"alpha must not be negative: {alpha}")
-    blocks = pivot_blocks(pages, vec, pivots, block)
-    tiles = cut_lineage(metric_tiles(blocks, alpha, threshold))
-    side = lambda c, p, v: blocks.select("input_id", F.col("blk").alias(c), F.col("page_no").alias(p), F.col("v").alias(v))
-    met = tiles.join(side("a", "_i", "_vi"), ["input_id", "a"]).join(side("b", "_j", "_vj"), ["input_id", "b"]).where((F.col("a") < F.col("b")) | (F.col("_i") < F.col("_j")))
-    found = met.select("input_id", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), blended_distance("_vi", "_vj", "_i", "_j", alpha, decimals).alias("dist"))
-    return found.where(F.col("dist") < F.lit(float(threshold)))
+    alpha, threshold, number = float(alpha), float(threshold), pages.schema["page_no"].dataType
+    blocks = cut_lineage(pivot_blocks(pages.where(F.col(vec).isNotNull() & F.col("page_no").isNotNull()), vec, pivots, block))
+    both = F.array(F.struct(F.col("a").alias("blk"), "a", "b"), F.struct(F.col("b").alias("blk"), "a", "b"))
+    of = metric_tiles(blocks, alpha, threshold).select("input_id", F.inline(F.array_distinct(both)))
+    packed = blocks.groupBy("input_id", "blk").applyInPandas(_pack, "input_id string, blk int, pages binary, vectors binary")
+    near = packed.join(of, ["input_id", "blk"]).groupBy("input_id", "a", "b").applyInPandas(_near_fn(alpha, threshold), "input_id string, p long, q array<long>, l2 array<double>")
+    each = near.select("input_id", F.col("p").alias("_p"), F.inline(F.arrays_zip("q", "l2")).alias("_q", "_l2"))
+    dist = F.lit(alpha) * F.col("_l2") + F.lit(1.0 - alpha) * F.abs(F.col("_p") - F.col("_q")).cast("double")
+    dist = F.round(dist, decimals) if decimals is not None else dist
+    found = each.select("input_id", F.least("_p", "_q").cast(number).alias("i"), F.greatest("_p", "_q").cast(number).alias("j"), dist.alias("dist"))
+    return found.where(F.col("dist") < F.lit(threshold))
 
 
 def distance_matrix(pairs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -40,3 +40,17 @@ def test_tiles_are_left_out_and_blocks_are_even(spark):
     assert pairs.metric_pairs(pages.limit(0), 1.0, 1.0).collect() == []
     with pytest.raises(ValueError):
         pairs.metric_pairs(pages, -0.5, 1.0)
+
+
+def test_pairs_are_measured_in_tasks_by_matrix(spark):
+    """No joined row per pair of pages of two blocks: of 1,500 distant pages and two near ones only the near pair leaves the tasks."""
+    rng = np.random.default_rng(5)
+    rows = [("a", p, (rng.normal(size=6) * 100).tolist()) for p in range(1500)]
+    rows.append(("a", 1500, [x + 1e-4 for x in rows[700][2]]))
+    pages = spark.createDataFrame([*rows, ("a", 1501, None), ("a", None, [0.0] * 6)], "input_id string, page_no int, embedding array<double>")
+    got = pairs.metric_pairs(pages, 1.0, 0.01, block=100)
+    assert [tuple(r)[:3] for r in got.collect()] == [("a", 700, 1500)] and [t for _, t in got.dtypes] == ["string", "int", "int", "double"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
+    r, c, l2 = pairs.near_cells(np.eye(3), np.eye(3), np.arange(3), np.arange(3), 1.0, 0.5)
+    assert r.tolist() == c.tolist() == [0, 1, 2] and not l2.any()
