@@ -40,7 +40,8 @@ def number_rows(df: DataFrame, key: str, order: list[str], out: str = "page_no")
     spans = placed.groupBy("_part", key).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    spans = spans.select(F.col("_part").alias("_s_part"), F.col(key).alias("_s_key"), "_first", "_offset")
+    # written as well: with the size of its files known, the few rows are sent to the pages, which need no shuffle to meet them
+    spans = cut_lineage(spans.select(F.col("_part").alias("_s_part"), F.col(key).alias("_s_key"), "_first", "_offset"))
     # null-safe, so the rows of a null key are numbered like those of any other
     whole = placed.join(spans, (F.col("_part") == F.col("_s_part")) & F.col(key).eqNullSafe(F.col("_s_key")))
     return whole.select(*df.columns, (F.col("_offset") + F.col("_local") - F.col("_first")).cast("int").alias(out))
@@ -51,5 +52,5 @@ def dense_rank_within(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
     only (for low-cardinality ``col`` such as a language)."""
     distinct = df.select(key, col).distinct()
     ranked = distinct.withColumn(out, (F.dense_rank().over(Window.partitionBy(key).orderBy(col)) - 1).cast("int"))
-    renamed = ranked.select(F.col(key).alias("_r_key"), F.col(col).alias("_r_col"), out)
+    renamed = cut_lineage(ranked.select(F.col(key).alias("_r_key"), F.col(col).alias("_r_col"), out))  # of known size, so few rows don't shuffle ``df``
     return df.join(renamed, df[key].eqNullSafe(F.col("_r_key")) & df[col].eqNullSafe(F.col("_r_col"))).drop("_r_key", "_r_col")

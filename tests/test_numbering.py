@@ -85,3 +85,13 @@ def test_views_with_repeated_and_null_ids_against_row_number(spark, scratch):
         got = view(spark, scratch)
         ranks = lambda df: sorted(tuple((r[c] is not None, r[c]) for c in ["page_no", *order]) for r in df.collect())  # noqa: B023, E731
         assert ranks(got) == ranks(number_rows_window(got.drop("page_no"), "input_id", order)) and got.count() == 60
+
+
+def test_numbers_and_ranks_meet_their_rows_without_a_shuffle_of_them(spark):
+    rows = [(f"k{i % 7}", f"l{i % 3}", i, "x" * 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "input_id string, lang string, rid int, text string").repartition(6)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    numbered = plan(number_rows(df, "input_id", ["rid"]))
+    assert "BroadcastHashJoin" in numbered and "SortMergeJoin" not in numbered and "hashpartitioning" not in numbered
+    ranked = plan(dense_rank_within(df, "input_id", "lang", "gold"))
+    assert "BroadcastHashJoin" in ranked and "SortMergeJoin" not in ranked
