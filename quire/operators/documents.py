@@ -48,8 +48,17 @@ def page_texts(doc_pages: DataFrame, texts: DataFrame, text: str = "text") -> Da
 
 
 def first_page_text(doc_text: DataFrame) -> DataFrame:
-    """Text of the lowest page of each document."""
-    return doc_text.groupBy("input_id", "document_no").agg(F.min_by("text", "page_no").alias("text"))
+    """Text of the lowest page of each document. The lowest pages are found without their texts, and the texts of others are dropped by
+    ``with_pages`` before the documents' rows meet."""
+    first = doc_text.groupBy("input_id", "document_no").agg(F.min("page_no").alias("page_no"))
+    return with_pages(doc_text, first).groupBy("input_id", "document_no").agg(F.min_by("text", "page_no").alias("text"))
+
+
+def with_pages(doc_text: DataFrame, rows: DataFrame) -> DataFrame:
+    """``doc_text`` joined with ``rows(input_id, document_no, page_no, ...)``. The join is by input and page, as texts were joined with their pages, so texts that
+    have just been so stay where they are and only ``rows`` move; that the documents are equal is looked at afterwards."""
+    other = rows.withColumnRenamed("document_no", "_document")
+    return doc_text.join(other, ["input_id", "page_no"]).where(F.col("document_no") - F.col("_document") == 0).drop("_document")
 
 
 def sample_pages(doc_text: DataFrame, k: int = TOPIC_SAMPLE_PAGES, seed: str = SAMPLE_SEED) -> DataFrame:

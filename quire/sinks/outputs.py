@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DOCUMENT_NAME_FORMAT
+from ..operators.documents import with_pages
 
 
 def output_names(named_docs: DataFrame) -> DataFrame:
@@ -28,6 +29,7 @@ def _write(rows: DataFrame, path: str, max_records_per_file: int) -> None:
         .sortWithinPartitions("input_id", "document_no", "page_no")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
     )
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
@@ -50,8 +52,9 @@ def write_documents(doc_pages: DataFrame, named_docs: DataFrame, path: str, max_
     ``inputs``: further inputs whose outputs are to be replaced even if they have no document now. Writing is
     idempotent, so a retried task or a re-run gives the same outputs. Read them with ``read_documents``.
     """
-    out = doc_pages.join(named_docs.select("input_id", "document_no", "topic_name"), ["input_id", "document_no"])
-    out = out.select("document_no", "page_no", "text", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"), "input_id")
+    # names go to page numbers first, so that no text is shuffled to meet its document's name
+    names = doc_pages.select("input_id", "document_no", "page_no").distinct().join(named_docs.select("input_id", "document_no", "topic_name"), ["input_id", "document_no"])
+    out = with_pages(doc_pages, names).select("document_no", "page_no", "text", F.format_string(DOCUMENT_NAME_FORMAT, "document_no", "topic_name").alias("name"), "input_id")
     if inputs is not None:
         out = out.unionByName(_emptied(inputs))
     _write(out, path, max_records_per_file)

@@ -284,3 +284,28 @@ def test_online_boundaries_equal_batch_fold(spark, scratch):
     got = {(r.input_id, r.page_no): r.label for r in spark.table("online_test").where(F.col("status") == "ok").collect()}
     exp = {(r.input_id, r.page_no): r.label for r in boundary_fold(spark.createDataFrame(rows, schema), 0.4).collect()}
     assert got == exp and len(got) == 90
+
+
+def test_names_and_first_pages_move_no_texts(spark, scratch):
+    """Texts are shuffled once to meet their pages, and not again to meet the names or to find the first page; repeated rows keep their number."""
+    from quire.operators import documents as D
+    from quire.sinks import outputs as O
+
+    pages = spark.createDataFrame([("a", p, f"text {p}") for p in range(40)], "input_id string, page_no int, text string")
+    doc_pages = spark.createDataFrame([("a", p // 4, p) for p in range(40)], "input_id string, document_no int, page_no int")
+    doc_text = D.page_texts(doc_pages, pages)
+    first = D.first_page_text(doc_text)
+    assert sorted(tuple(r) for r in first.collect()) == [("a", d, f"text {4 * d}") for d in range(10)]
+    names = doc_pages.select("input_id", "document_no").distinct().withColumn("topic_name", F.lit("t"))
+    out = f"{scratch}/named"
+    O.write_documents(doc_text.unionByName(doc_text.where("page_no = 5")), names, out)
+    got = [(r.document_no, r.page_no, r.text, r.name) for r in O.read_documents(spark, out).collect()]
+    assert sorted(got) == sorted([(p // 4, p, f"text {p}", f"document_{p // 4}_t") for p in [*range(40), 5]])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with_names = D.with_pages(doc_text, doc_pages.join(names, ["input_id", "document_no"]))
+        plan = with_names._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(texts) == 5 and plan.count("SortMergeJoin") == 3, plan  # pages, texts, pages again, names, and the named pages
