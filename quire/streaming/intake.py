@@ -54,11 +54,11 @@ def start_intake(
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
-        good, bad = named_pages(cut_lineage(batch))
+        good, bad = named_pages(batch)  # the intake's files are read again for each use
         # an epoch's rows are a partition of their own, which a replay overwrites
         dealt = good.withColumn("bucket", input_bucket(buckets)).repartition("bucket", F.pmod("page_no", F.lit(8)))  # few files per bucket, a hot input in several
         for rows, folder, parts in ((dealt, pages_dir, ("bucket", "epoch")), (bad, rejected_dir, ("epoch",))):
-            rows.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
+            rows.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(folder)
         touched = good.select("input_id").distinct()
         if touched.isEmpty():
             return
