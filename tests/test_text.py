@@ -71,3 +71,26 @@ def test_vectors_are_made_without_a_shuffle(spark):
         counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
     norm = sum(c * c for c in counts) ** 0.5
     assert max(abs(c / norm - v) for c, v in zip(counts, vectors[0])) < 1e-12
+
+
+def test_words_of_a_batch_are_counted_in_strips(spark, monkeypatch):
+    """What the vector function holds per word doesn't grow with the batch; strips give what one row alone gives."""
+    import pyarrow as pa
+
+    from quire.operators import vectorize as vz
+
+    count = vz._counter(8).func
+    rows = [["a", "b", "", "a"], None, [], ["c"] * 3, ["b", "d"]] * 7
+    whole = count(pa.array(rows, pa.list_(pa.string())))
+    alone = [count(pa.array([r], pa.list_(pa.string()))).to_pylist()[0] for r in rows]
+    monkeypatch.setattr(vz, "STRIP_ROWS", 4)
+    assert count(pa.array(rows, pa.list_(pa.string()))).to_pylist() == whole.to_pylist() == alone
+    import tracemalloc
+
+    monkeypatch.setattr(vz, "STRIP_ROWS", 64)
+    long = pa.array([["w"] * 200] * 4096, pa.list_(pa.string()))
+    tracemalloc.start()
+    count(long)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4096 * 200 * 8  # bytes of one number per word
