@@ -26,20 +26,16 @@ STRIP_ROWS = 512  # rows of a batch whose words are counted at once
 def _counter(cells: int):
     @arrow_udf("array<double>")
     def vectors(words: pa.Array) -> pa.Array:
-        known: dict[str, int] = {}  # a word is hashed once per batch
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()  # a word is hashed once per batch
+        cell = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % cells if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        place, ends = coded.indices.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
         counts = np.zeros((len(words), cells))
-        for s in range(0, len(words), STRIP_ROWS):  # what is held per word is held for a strip of the batch
-            part = words.slice(s, STRIP_ROWS)
-            lengths = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = part.flatten().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            for w in distinct:
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % cells if w else -1
-            cell = np.array([known[w] for w in distinct], np.int64)
-            of = cell[coded.indices.to_numpy(zero_copy_only=False)] if len(cell) else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(part)), lengths)
-            counts[s : s + STRIP_ROWS] = np.bincount((row * cells + of)[of >= 0], minlength=len(part) * cells).reshape(len(part), cells)
+        for s in range(0, len(words), STRIP_ROWS):  # numbers per word are held for a strip of the batch
+            own = lengths[s : s + STRIP_ROWS]
+            of = cell[place[ends[s] : ends[s + len(own)]]]
+            row = np.repeat(np.arange(len(own)), own)
+            counts[s : s + len(own)] = np.bincount((row * cells + of)[of >= 0], minlength=len(own) * cells).reshape(len(own), cells)
         norm = np.sqrt((counts * counts).sum(1, keepdims=True))
         np.divide(counts, norm, out=counts, where=norm > 0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * cells), pa.array(counts.ravel()))
