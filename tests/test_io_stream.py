@@ -69,6 +69,19 @@ def test_staged_texts_come_back(spark, scratch):
     assert got == [("doc_1", 0, "a\n"), ("doc_1", 1, ""), ("doc_2", 0, "b\n\nc")]
 
 
+def test_small_pages_are_staged_by_many_tasks(spark, scratch):
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "true")  # Spark's default, which looks at bytes only
+    try:
+        pages = spark.range(60).selectExpr("format_string('doc_%d_page_1.pdf', id) AS page_name", "'a' AS text")
+        stage_page_texts(pages, scratch + "/out")
+    finally:
+        spark.conf.set(merging, before)
+    files = [f for _, _, names in os.walk(scratch + "/out") for f in names if f.startswith("part-")]
+    assert len(files) == 60 and len({f.split("-")[1] for f in files}) == spark.sparkContext.defaultParallelism
+
+
 def test_listing_opens_no_file(spark, scratch):
     for name in ["a.pdf", "b.txt"]:
         with open(os.path.join(scratch, name), "wb") as fh:
