@@ -3,8 +3,9 @@
 Two clusters whose mean pages are ``threshold / (1 - alpha)`` pages apart or more (the band) never merge, and a cluster has
 no more pages than a few bands. So an input is cut into blocks of ``BLOCK`` pages by the clusters' mean pages.
 A task gets a block's clusters (its core) and those within the band around it, and does all merges of core clusters that don't
-depend on clusters outside (``merge.settled_merges``). What waits at a border is merged in the next round,
-whose blocks are shifted by half a block. It ends when two rounds in a row, one of each kind, merge nothing; inputs within one
+depend on clusters outside (``merge.settle``). What waits at a border is merged in the next round,
+whose blocks are shifted by half a block. A round's settled clusters never merge again, so only those that wait take part in the next one.
+It ends when none waits, or two rounds in a row, one of each kind, merge nothing; inputs within one
 block are done after the first. A task holds the matrix of one block whatever the size of the input.
 
 Several settings ``(alpha, linkage)`` are worked on together, as inputs ``"<setting>:<input_id>"``.
@@ -13,6 +14,7 @@ Several settings ``(alpha, linkage)`` are worked on together, as inputs ``"<sett
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..constants import DIST_DECIMALS
 from ..session import cut_lineage
-from .merge import blended_matrix, settled_merges
+from .merge import blended_matrix, settle
 from .pairs import band_width
 
 BLOCK, LARGEST_BLOCK = 1024, 4096
-STATE = "input_id string, page_no int, cl int, mean double, into int, height double"
+STATE = "input_id string, page_no int, cl int, mean double, into int, height double, waits boolean"
 
 
 def block_pages(alpha: float, threshold: float) -> int | None:
@@ -58,7 +60,8 @@ def _block_fn(settings: dict[int, tuple[float, str]], threshold: float):
         sums = pdf["mean"].to_numpy()[starts] * size
         count, root = size.astype(np.float64), np.arange(len(ids))
         into, height = {}, {}
-        for a, b, h in settled_merges(d, size, core, linkage, DIST_DECIMALS, threshold):
+        merges, settled = settle(d, size, core, linkage, DIST_DECIMALS, threshold)
+        for a, b, h in merges:
             root[root == b] = a
             sums[a] += sums[b]
             count[a] += count[b]
@@ -69,6 +72,7 @@ def _block_fn(settings: dict[int, tuple[float, str]], threshold: float):
         first = pdf["page_no"].map(into)
         out["height"] = out["height"].where(first.isna(), pdf["page_no"].map(height)).astype("float64")
         out["into"] = out["into"].where(first.isna(), first).astype("Int64")
+        out["waits"] = ~settled[own]
         return out[pdf["core"].to_numpy(dtype=bool)]
 
     return fn
@@ -83,27 +87,23 @@ def block_states(pages: DataFrame, settings: dict[int, tuple[float, str]], thres
     page = F.col("page_no")
     none = [F.lit(None).cast("int").alias("into"), F.lit(None).cast("double").alias("height")]
     rows = pages.select("input_id", "page_no", "v", page.alias("cl"), page.cast("double").alias("mean"), *none)
-    done, shift, idle = [], 0.0, 0
-    merged_before, vectors = 0, None
+    done, shift, idle, merged_before, vectors = [], 0.0, 0, 0, None
     while True:
         at = lambda x: F.floor((x + shift) / block)  # noqa: E731, B023
         m = F.col("mean")
         spread = rows.select("*", at(m).alias("_own"), F.explode(F.array_distinct(F.array(at(m - band), at(m), at(m + band)))).alias("_block"))
         work = spread.where(F.col("_block") >= 0).withColumn("core", F.col("_own") == F.col("_block")).drop("_own")
         state = cut_lineage(work.groupBy("input_id", "_block").applyInPandas(_block_fn(settings, threshold), STATE))
-        if vectors is None:  # after the first round only inputs of several blocks go on
-            long = state.where(page >= block).select("input_id").distinct()
-            if long.isEmpty():
-                return state
-            long = cut_lineage(long)
-            done.append(state.join(long, "input_id", "left_anti"))
-            state = state.join(long, "input_id", "left_semi")
-            vectors = cut_lineage(pages.join(long, "input_id", "left_semi"))
-        merged = state.where(F.col("into").isNotNull()).count()
+        into, waits = F.col("into").isNotNull(), F.col("waits")
+        merged, waiting, merged_waiting = state.agg(F.count_if(into), F.count_if(waits), F.count_if(into & waits)).first()
         idle = idle + 1 if merged == merged_before else 0
-        merged_before = merged
-        if idle == 2:
-            return state.unionByName(done[0])
+        merged_before = merged_waiting
+        if waiting == 0 or idle == 2:
+            return reduce(DataFrame.unionByName, done, state).drop("waits")
+        done.append(state.where(~waits))
+        state = state.where(waits).drop("waits")
+        if vectors is None:  # what waits later also waits after the first round
+            vectors = cut_lineage(pages.join(cut_lineage(state.select("input_id", "page_no")), ["input_id", "page_no"], "left_semi"))
         shift = 0.0 if shift else block / 2
         rows = state.join(vectors, ["input_id", "page_no"])
 

@@ -107,12 +107,20 @@ def greedy_merges(d: np.ndarray, linkage: str, decimals: int = 9, stop: float |
 
 
 def settled_merges(d: np.ndarray, size: np.ndarray, core: np.ndarray, linkage: str, decimals: int = 9, stop: float = INF):
-    """Merges ``[(a, b, height)]`` below ``stop`` of clusters that are part of a larger input, as far as they are sure.
+    """Merges ``[(a, b, height)]`` below ``stop`` of clusters that are part of a larger input, as far as they are sure: ``settle`` without
+    what waits."""
+    return settle(d, size, core, linkage, decimals, stop)[0]
+
+
+def settle(d: np.ndarray, size: np.ndarray, core: np.ndarray, linkage: str, decimals: int = 9, stop: float = INF):
+    """Merges ``[(a, b, height)]`` below ``stop`` of clusters that are part of a larger input, as far as they are sure; and which of the clusters
+    are settled.
 
     ``d``: linkages of all cluster pairs, ``size``: pages of each cluster, ``core``: the clusters whose neighbours below
     ``stop`` are all here. The others may merge elsewhere, so a core cluster whose nearest neighbour is one of them waits:
     from then on it counts as one of them. A pair merges when both are core and each other's nearest; by reducibility
-    it merges whatever the others do.
+    it merges whatever the others do. A core cluster that doesn't wait in the end has no neighbour below ``stop``, and by
+    reducibility never gets one: it is settled.
     """
     n = d.shape[0]
     u = np.triu(d.astype(np.float64), 1)
@@ -161,7 +169,7 @@ def settled_merges(d: np.ndarray, size: np.ndarray, core: np.ndarray, linkage: s
         idx = np.nonzero(better)[0]
         bestd[idx], bestc[idx] = cand[idx], a
         rescan(np.nonzero(redo)[0])
-    return merges
+    return merges, core
 
 
 def labels_at(n: int, merges, threshold: float) -> np.ndarray:

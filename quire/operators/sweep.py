@@ -84,10 +84,13 @@ def long_labels(pages: DataFrame, alpha: float, linkage: str, thresholds: list[f
     """``(input_id, threshold, page_no, label)``, labels the lowest pages of clusters."""
     ordered = sorted(thresholds)
     spans = long_spans(pages, {0: (float(alpha), linkage)}, ordered, vec, block)
-    each = cut_lineage(spans.select(plain_id(), "page_no", F.col("label").alias("_name"), F.explode(F.sequence("first", "last")).alias("_k")))
-    lowest = each.groupBy("input_id", "_k", "_name").agg(F.min("page_no").cast("int").alias("label"))
+    each = spans.select(plain_id(), F.col("page_no").cast("int").alias("page_no"), F.col("label").cast("int").alias("label"), F.explode(F.sequence("first", "last")).alias("_k"))
     threshold = F.element_at(F.array(*[F.lit(float(t)) for t in ordered]), F.col("_k") + 1).alias("threshold")
-    return each.join(lowest, ["input_id", "_k", "_name"]).select("input_id", threshold, F.col("page_no").cast("int").alias("page_no"), "label")
+    if linkage != "single":  # a merge keeps the name of the lower cluster, so the labels are lowest pages already
+        return each.select("input_id", threshold, "page_no", "label")
+    each = cut_lineage(each.withColumnRenamed("label", "_name"))
+    lowest = each.groupBy("input_id", "_k", "_name").agg(F.min("page_no").alias("label"))
+    return each.join(lowest, ["input_id", "_k", "_name"]).select("input_id", threshold, "page_no", "label")
 
 
 def long_contingency(pages: DataFrame, gold: DataFrame, settings: Settings, thresholds: list[float], vec: str = "embedding", block: int | None = None) -> DataFrame:

@@ -54,6 +54,29 @@ def test_a_long_input_is_cut_by_default(spark):
     assert len(seen) >= 3 and got == _labels(cluster.cluster_pages(pages, spread=False))
 
 
+def test_settled_pages_are_not_measured_again(spark):
+    pages = _pages(spark, [2300, 40])
+    rounds = []
+    fn = blocks._block_fn
+
+    def counted(settings, threshold):
+        inner, later = fn(settings, threshold), len(rounds) > 0
+
+        def checked(pdf):
+            assert not later or len(pdf) < blocks.BLOCK / 4, "a later round holds settled pages"
+            return inner(pdf)
+
+        rounds.append(1)
+        return checked
+
+    blocks._block_fn = counted
+    try:
+        got = _labels(cluster.cluster_pages(pages))
+    finally:
+        blocks._block_fn = fn
+    assert len(rounds) >= 2 and got == _labels(cluster.cluster_pages(pages, spread=False))
+
+
 def test_the_path_without_a_limit_is_the_default():
     for f in (cluster.cluster_pages, cluster.threshold_sweep, evaluate.grid_contingency, evaluate.grid_search, segment.boundary_detection, split.page_labels, split.split_with_pages):
         assert inspect.signature(f).parameters["spread"].default is True, f

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quire.operators.merge import blended_matrix, greedy_merges, labels_at
+from quire.operators.merge import blended_matrix, greedy_merges, labels_at, settle
 
 
 def brute_labels(d, linkage, t):
@@ -76,3 +76,11 @@ def test_lower_threshold_never_fewer_clusters(linkage):
     merges = greedy_merges(d, linkage)
     counts = [len(set(labels_at(30, merges, t).tolist())) for t in np.linspace(0.5, 6, 12)]
     assert counts == sorted(counts, reverse=True)
+
+
+def test_what_can_still_merge_is_not_settled():
+    d = np.full((4, 4), 9.0)
+    for a, b, v in ((0, 1, 0.5), (1, 2, 1.2), (2, 3, 0.8)):
+        d[a, b] = d[b, a] = v
+    merges, settled = settle(d, np.ones(4), np.array([True, True, True, False]), "complete", 9, 2.0)
+    assert merges == [(0, 1, 0.5)] and settled.tolist()[0] and not settled[2:].any()  # 2 is nearest to 3, which may merge elsewhere

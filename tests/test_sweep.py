@@ -32,6 +32,11 @@ def test_sweep_of_long_inputs_equals_merge_sequences(spark, linkage, alpha, kind
     assert _rows(threshold_sweep(pages, alpha, ts, linkage, block=6)) == _rows(threshold_sweep(pages, alpha, ts, linkage, spread=False))
 
 
+def test_labels_of_a_sweep_are_spread_without_a_shuffle(spark):
+    labels = sweep.long_labels(_pages(spark, [30]), 0.8, "average", [0.2, 0.7, 1.0], block=6)
+    assert labels._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
 def test_one_threshold_without_a_band(spark):
     pages = _pages(spark, [20, 3])
     one, two = ({(r.input_id, r.page_no): r.label for r in cluster_pages(pages, 1.1, 0.8, "complete", spread=s).collect()} for s in (True, False))
