@@ -5,7 +5,7 @@ no more pages than a few bands. So an input is cut into blocks of ``BLOCK`` page
 A task gets a block's clusters (its core) and those within the band around it, and does all merges of core clusters that don't
 depend on clusters outside (``merge.settle``). What waits at a border is merged in the next round,
 whose blocks are shifted by half a block. A round's settled clusters never merge again, so only those that wait take part in the next one.
-It ends when none waits, or two rounds in a row, one of each kind, merge nothing; inputs within one
+It ends when two rounds in a row, one of each kind, merge nothing, or one does and none waits; inputs within one
 block are done after the first. A task holds the matrix of one block whatever the size of the input.
 
 Several settings ``(alpha, linkage)`` are worked on together, as inputs ``"<setting>:<input_id>"``.
@@ -98,7 +98,7 @@ def block_states(pages: DataFrame, settings: dict[int, tuple[float, str]], thres
         merged, waiting, merged_waiting = state.agg(F.count_if(into), F.count_if(waits), F.count_if(into & waits)).first()
         idle = idle + 1 if merged == merged_before else 0
         merged_before = merged_waiting
-        if waiting == 0 or idle == 2:
+        if idle == 2 or (waiting == 0 and (idle or vectors is None)):
             return reduce(DataFrame.unionByName, done, state).drop("waits")
         done.append(state.where(~waits))
         state = state.where(waits).drop("waits")
