@@ -47,6 +47,14 @@ def page_texts(doc_pages: DataFrame, texts: DataFrame, text: str = "text") -> Da
     return doc_pages.join(texts.select("input_id", "page_no", F.col(text).alias("text")), ["input_id", "page_no"])
 
 
+def first_pages(doc_pages: DataFrame) -> DataFrame:
+    """``(input_id, document_no, page_no)`` of the lowest page of each document. Written once: with the size of its files known, the few rows are sent
+    to the texts, and no text is shuffled to meet its document."""
+    from ..session import cut_lineage
+
+    return cut_lineage(doc_pages.groupBy("input_id", "document_no").agg(F.min("page_no").alias("page_no")))
+
+
 def first_page_text(doc_text: DataFrame) -> DataFrame:
     """Text of the lowest page of each document. The lowest pages are found without their texts, and the texts of others are dropped by
     ``with_pages`` before the documents' rows meet."""

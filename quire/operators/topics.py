@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_words
+from ..session import cut_lineage
 from .documents import first_page_text, sample_pages
 
 STRATEGIES = ("first_page", "random_sample")
@@ -29,7 +30,7 @@ def tfidf_topics(doc_text: DataFrame, k: int = TOPIC_WORDS) -> DataFrame:
     Only words of more than one letter count (the short-segment rule).
     """
     w = explode_words(doc_text, ["input_id", "document_no"], "text", "word").where(F.length("word") > 1)
-    tf = w.groupBy("input_id", "document_no", "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(w.groupBy("input_id", "document_no", "word").agg(F.count(F.lit(1)).alias("tf")))  # texts are cut into words once, for both counts
     df_ = tf.groupBy("input_id", "word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = doc_text.groupBy("input_id").agg(F.count(F.lit(1)).alias("n_docs"))
     scored = tf.join(df_, ["input_id", "word"]).join(n_docs, "input_id").select(

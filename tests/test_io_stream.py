@@ -10,12 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators.documents import first_pages, page_texts
 from quire.operators.segment import boundary_fold
 from quire.operators.vectorize import embed_missing, stored_vectors, text_vectors
 from quire.plans.split import named_pages, run_split, split_level, split_pages
 from quire.sinks.outputs import output_names, read_documents, reset_outputs, write_documents
 from quire.sources.pages import explode_pages, missing_inputs, scan_page_files, scan_page_texts, stage_page_texts
-from quire.operators.topics import assign_topics, model_namer
+from quire.operators.topics import assign_topics, model_namer, tfidf_topics
 from quire.streaming import intake
 from quire.streaming.intake import start_intake
 from quire.streaming.online import STATE_STORE, online_boundaries
@@ -322,3 +323,18 @@ def test_names_and_first_pages_move_no_texts(spark, scratch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     texts = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(texts) == 5 and plan.count("SortMergeJoin") == 3, plan  # pages, texts, pages again, names, and the named pages
+
+
+def test_first_texts_are_not_shuffled_to_their_documents(spark):
+    doc_pages = spark.createDataFrame([("x", 0, 0), ("x", 0, 2), ("x", 1, 1)], "input_id string, document_no int, page_no int")
+    pages = spark.createDataFrame([("x", n, f"t{n}") for n in range(3)], "input_id string, page_no int, text string")
+    first = page_texts(first_pages(doc_pages), pages)
+    assert first._jdf.queryExecution().executedPlan().toString().count("Exchange") == first._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    assert sorted((r.document_no, r.page_no, r.text) for r in first.collect()) == [(0, 0, "t0"), (1, 1, "t1")]
+
+
+def test_words_are_counted_once_for_topics(spark):
+    texts = spark.createDataFrame([("x", 0, "aa aa bb"), ("x", 1, "cc bb")], "input_id string, document_no int, text string")
+    topics = tfidf_topics(texts)
+    assert "Generate" not in topics._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.document_no, r.topic) for r in topics.collect()) == [(0, "aa_bb"), (1, "cc_bb")]
