@@ -51,14 +51,16 @@ def compress(ids: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT, base: i
     n_rules, least = 0, None
     while len(symbols) > 1:
         keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        at = np.flatnonzero(~opens[1:])
-        cells = (keys[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        count = np.bincount(cells.astype(np.int64), minlength=1)
-        top = int(count.max(initial=0))
+        cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+        across = np.flatnonzero(opens[1:])  # pairs of two documents
+        count = np.bincount(cells, minlength=1 << 18) - np.bincount(cells[across], minlength=1 << 18)
+        top = int(count.max())
         if top < min_count:
             break
         least = max(min_count, min(top // 8, least // 2 if least else top))
-        at = at[count[cells.astype(np.int64)] >= least]  # a superset: pairs may share a cell
+        frequent = (count >= least)[cells]  # a superset: pairs may share a cell
+        frequent[across] = False
+        at = np.flatnonzero(frequent)
         pairs, which, count = np.unique(keys[at], return_inverse=True, return_counts=True)
         marked = count[which] >= least
         at, which = at[marked], which[marked]

@@ -1,7 +1,8 @@
 """Token ids of texts with a public word tokenizer, a word at a time.
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its
-words in order. Each distinct word of a batch is encoded once and kept in a bounded cache.
+words in order. Each distinct word of a batch is encoded once and kept in a bounded cache. When the cache
+is full, the words that fewest batches had make room, so that frequent ones are not encoded again.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,12 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def _cut(pool: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges of ``pool`` that begin at ``starts`` and have ``n`` ids, end to end."""
+    ends = np.cumsum(n)
+    return pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts. ``path``: a ``tokenizers`` file that lower-cases, drops white space, keeps runs
     of letters and runs of punctuation apart, and marks the last piece of each run."""
@@ -49,7 +57,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = array("I"), array("q"), array("q")
+        self.pool, self.starts, self.lengths, self.uses = array("I"), array("q"), array("q"), array("f")
+
+    def _forget_rare(self) -> None:
+        """Keep three quarters of the bound: the words that most batches had, older batches counting half with each call."""
+        starts, lengths, uses = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.uses, np.float32)
+        kept = np.zeros(len(uses), bool)
+        kept[np.argsort(-uses, kind="stable")[: MAX_CACHED_WORDS * 3 // 4]] = True
+        words = list(compress(self.known, kept.tolist()))  # a word's row is its place in the dictionary
+        ids, n = _cut(np.array(self.pool, np.uint32), starts[kept], lengths[kept]), lengths[kept]
+        self._forget()
+        self._learn(words, ids, n)
+        self.uses = array("f", (uses[kept] / 2).tobytes())
 
     def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         ends = np.cumsum(n)
@@ -57,6 +76,7 @@ class Encoder:
         self.starts.frombytes((ends - n + len(self.pool)).astype(np.int64).tobytes())
         self.lengths.frombytes(n.astype(np.int64).tobytes())
         self.pool.frombytes(ids.astype(np.uint32).tobytes())
+        self.uses.frombytes(bytes(4 * len(words)))
 
     def _each(self, words: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -64,11 +84,19 @@ class Encoder:
 
     def _words(self, dictionary: pa.Array) -> np.ndarray:
         if len(self.known) > MAX_CACHED_WORDS:
-            self._forget()
-        words, known = dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
-        new = [w for w in words if w not in known]
-        plain = pc.match_substring_regex(pa.array(new, pa.string()), self.PLAIN).to_pylist()
-        runs, others = [w for w, p in zip(new, plain, strict=True) if p], [w for w, p in zip(new, plain, strict=True) if not p]
+            self._forget_rare()
+        known, words = self.known, dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = dictionary.take(pa.array(missing))
+            plain = pc.match_substring_regex(new, self.PLAIN)
+            self._encode_new(new.filter(plain).to_pylist(), new.filter(pc.invert(plain)).to_pylist())
+            rows[missing] = np.fromiter((known[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        np.frombuffer(self.uses, np.float32)[rows] += 1
+        return rows
+
+    def _encode_new(self, runs: list[str], others: list[str]) -> None:
         for at in range(0, len(runs), 2000):  # each is one run, so the last pieces tell them apart
             part = runs[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -79,7 +107,6 @@ class Encoder:
                 others += part
         if others:
             self._each(others)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32) and the number of ids of each text; a null text has none."""
@@ -107,9 +134,8 @@ class Encoder:
         lengths = np.frombuffer(self.lengths, np.int64)[rows]
         pool = np.array(self.pool, np.uint32)
         n = lengths[codes]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])]
-        ends = np.concatenate(([0], ends))
+        ids = _cut(pool, starts[codes], n)
+        ends = np.concatenate(([0], np.cumsum(n)))
         words_end = np.cumsum(per_text)
         return ids, ends[words_end] - ends[words_end - per_text]
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from quire.llm import grammar, packing, queries
+from quire.llm import grammar, packing, queries, tokens
 from quire.llm.common import stored
 from quire.llm.tokens import Encoder, vocabulary
 
@@ -41,6 +41,28 @@ def test_encoder_equals_tokenizer(words):
         assert ids.tolist() == one + ids[n[0] : n[0] + n[2]].tolist() + one
 
 
+def test_frequent_words_are_encoded_once_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_CACHED_WORDS", 400)
+    words, asked = Encoder(vocabulary()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return whole.encode_batch_fast(texts, **options)
+
+    whole, words.tokenizer = words.tokenizer, Counted()
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdefghéß") for _ in range(12))
+    frequent = [name() for _ in range(100)] + ["555-7228", "(988)", "it's"]
+    for _ in range(20):
+        texts = [" ".join(rng.sample(frequent + [name() for _ in range(90)], 193)) for _ in range(2)]
+        ids, n = words.encode(pa.array(texts))
+        assert len(words.known) <= 400 + 300
+        ends = np.cumsum(n)
+        assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) > 2000 and all(asked.count(w) == 1 for w in frequent)
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 6, rng.integers(1, 400)) for _ in range(60)] + [np.array([7] * 5000), np.array([1])]
