@@ -42,18 +42,40 @@ BLOCK_SCHEMA = (
 DOC_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids binary"
 
 
+def _cells(keys: np.ndarray) -> np.ndarray:
+    """A number below 2^18 for each pair."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+
+
+def _places(pairs: np.ndarray, keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The keys' places in the sorted ``pairs``, -1 where a key is none of them. ``cells``: those of the keys."""
+    if not len(pairs):
+        return np.full(len(keys), -1)
+    last, number = np.zeros(1 << 18, np.int64), np.arange(len(pairs))
+    last[_cells(pairs)] = number
+    which = last[cells]
+    which[pairs[which] != keys] = -1
+    hidden = np.flatnonzero(last[_cells(pairs)] != number)  # a later pair has their cell
+    if len(hidden):
+        rest = np.flatnonzero(which < 0)
+        near = hidden[np.searchsorted(pairs[hidden[:-1]], keys[rest])]
+        found = pairs[near] == keys[rest]
+        which[rest[found]] = near[found]
+    return which
+
+
 def compress(ids: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT, base: int = BASE) -> dict:
     """Grammar of the documents whose ids lie end to end in ``ids``, ``n`` of each (at least one)."""
     symbols = ids.astype(np.uint64)
-    opens = np.zeros(len(symbols), bool)
-    opens[np.cumsum(n) - n] = True
+    starts = np.cumsum(n) - n
     rules: list[tuple[np.ndarray, np.ndarray]] = []
     n_rules, least = 0, None
     while len(symbols) > 1:
         keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
-        across = np.flatnonzero(opens[1:])  # pairs of two documents
-        count = np.bincount(cells, minlength=1 << 18) - np.bincount(cells[across], minlength=1 << 18)
+        cells = _cells(keys)
+        across = starts[1:] - 1  # pairs of two documents
+        count = np.bincount(cells, minlength=1 << 18)
+        np.subtract.at(count, cells[across], 1)
         top = int(count.max())
         if top < min_count:
             break
@@ -61,8 +83,10 @@ def compress(ids: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT, base: i
         frequent = (count >= least)[cells]  # a superset: pairs may share a cell
         frequent[across] = False
         at = np.flatnonzero(frequent)
-        pairs, which, count = np.unique(keys[at], return_inverse=True, return_counts=True)
-        marked = count[which] >= least
+        pairs, count = np.unique(keys[at], return_counts=True)
+        pairs = pairs[count >= least]
+        which = _places(pairs, keys[at], cells[at])
+        marked = np.flatnonzero(which >= 0)
         at, which = at[marked], which[marked]
         # in a run of adjacent marked places every second one is taken
         place = np.arange(len(at))
@@ -83,7 +107,7 @@ def compress(ids: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT, base: i
         symbols[at] = (number[which] + (base + n_rules)).astype(np.uint64)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, opens = symbols[keep], opens[keep]
+        symbols, starts = symbols[keep], starts - np.searchsorted(at, starts)  # a document's first symbol is never the second of a pair
         rules.append(((chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
         n_rules += len(chosen)
     left = np.concatenate([x for x, _ in rules] or [np.zeros(0, np.uint32)])
@@ -95,7 +119,6 @@ def compress(ids: np.ndarray, n: np.ndarray, min_count: int = MIN_COUNT, base: i
     for k in levels.tolist():
         length[done : done + k] = size(left[done : done + k], done) + size(right[done : done + k], done)
         done += k
-    starts = np.flatnonzero(opens)
     return {
         "symbols": symbols.astype(np.uint32), "rule_left": left, "rule_right": right, "rule_length": length.astype(np.uint32),
         "levels": levels, "doc_symbols": np.diff(np.append(starts, len(symbols))).astype(np.int32),
@@ -127,15 +150,15 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that the symbols stand for."""
+        rule = symbols >= self.base
+        if not rule.any():
+            return symbols.astype(np.uint32)
         n = self.sizes(symbols)
         ends = np.cumsum(n)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        rule = symbols >= self.base
+        first = np.zeros(len(symbols), np.int64)
+        first[rule] = self.first[symbols[rule].astype(np.int64) - self.base]
+        out = self.flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
         out[(ends - n)[~rule]] = symbols[~rule]
-        n, at = n[rule], (ends - n)[rule]
-        if len(n):
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(at, n) + within] = self.flat[np.repeat(self.first[symbols[rule].astype(np.int64) - self.base], n) + within]
         return out
 
     def document(self, k: int) -> np.ndarray:

@@ -27,12 +27,6 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def _cut(pool: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The ranges of ``pool`` that begin at ``starts`` and have ``n`` ids, end to end."""
-    ends = np.cumsum(n)
-    return pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class Encoder:
     """Ids of texts. ``path``: a ``tokenizers`` file that lower-cases, drops white space, keeps runs
     of letters and runs of punctuation apart, and marks the last piece of each run."""
@@ -43,13 +37,18 @@ class Encoder:
     #: A text with the opening of a special token goes to the tokenizer whole.
     SPECIAL = "<|"
     PLAIN = r"^(\p{L}+|[.,!?;:*$%&#]+)$"
+    #: Of these, the ones that normalisation leaves as they are; they need no more than their bytes' symbols and the merges.
+    READY = "^([a-z\u00df-\u00f6\u00f8-\u00ff]+|[.,!?;:*$%&#]+)$"
     SUFFIX = "</w>"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.ready_steps = None, Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith(self.SUFFIX)]] = True
@@ -57,56 +56,71 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.starts, self.lengths, self.uses = array("I"), array("q"), array("q"), array("f")
+        self.pool, self.ends, self.uses = array("I"), array("q", [0]), array("f")  # a word's ids lie from its row's end to the next
 
     def _forget_rare(self) -> None:
         """Keep three quarters of the bound: the words that most batches had, older batches counting half with each call."""
-        starts, lengths, uses = np.array(self.starts, np.int64), np.array(self.lengths, np.int64), np.array(self.uses, np.float32)
+        uses = np.array(self.uses, np.float32)
         kept = np.zeros(len(uses), bool)
         kept[np.argsort(-uses, kind="stable")[: MAX_CACHED_WORDS * 3 // 4]] = True
         words = list(compress(self.known, kept.tolist()))  # a word's row is its place in the dictionary
-        ids, n = _cut(np.array(self.pool, np.uint32), starts[kept], lengths[kept]), lengths[kept]
+        lists = self._lists().filter(pa.array(kept))
         self._forget()
-        self._learn(words, ids, n)
+        self._learn(words, lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
         self.uses = array("f", (uses[kept] / 2).tobytes())
 
-    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        ends = np.cumsum(n)
-        self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts.frombytes((ends - n + len(self.pool)).astype(np.int64).tobytes())
-        self.lengths.frombytes(n.astype(np.int64).tobytes())
+    def _lists(self) -> pa.Array:
+        """The ids of all rows."""
+        return pa.LargeListArray.from_arrays(np.array(self.ends, np.int64), np.array(self.pool, np.uint32))
+
+    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Append the words, whose ids lie end to end with ``n`` of each, and tell their rows."""
+        rows = np.arange(len(self.known), len(self.known) + len(words))
+        self.known.update(zip(words, rows.tolist(), strict=True))
+        self.ends.frombytes((np.cumsum(n) + len(self.pool)).astype(np.int64).tobytes())
         self.pool.frombytes(ids.astype(np.uint32).tobytes())
         self.uses.frombytes(bytes(4 * len(words)))
-
-    def _each(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._learn(words, np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return rows
 
     def _words(self, dictionary: pa.Array) -> np.ndarray:
         if len(self.known) > MAX_CACHED_WORDS:
             self._forget_rare()
-        known, words = self.known, dictionary.to_numpy(zero_copy_only=False).tolist()
-        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        words = dictionary.to_numpy(zero_copy_only=False)
+        rows = np.fromiter(map(self.known.get, words.tolist(), repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new = dictionary.take(pa.array(missing))
-            plain = pc.match_substring_regex(new, self.PLAIN)
-            self._encode_new(new.filter(plain).to_pylist(), new.filter(pc.invert(plain)).to_pylist())
-            rows[missing] = np.fromiter((known[words[i]] for i in missing.tolist()), np.int64, len(missing))
+            rows[missing] = self._encode_new(dictionary.take(pa.array(missing)), words[missing])
         np.frombuffer(self.uses, np.float32)[rows] += 1
         return rows
 
-    def _encode_new(self, runs: list[str], others: list[str]) -> None:
-        for at in range(0, len(runs), 2000):  # each is one run, so the last pieces tell them apart
-            part = runs[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                self._learn(part, ids, np.diff(ends, prepend=0))
-            else:
-                others += part
-        if others:
-            self._each(others)
+    def _encode_new(self, words: pa.Array, names: np.ndarray) -> np.ndarray:
+        rows = np.empty(len(words), np.int64)
+        plain, ready = (pc.match_substring_regex(words, x).to_numpy(zero_copy_only=False) for x in (self.PLAIN, self.READY))
+        others = [np.flatnonzero(~plain)]
+        for own, steps in ((ready, self.ready_steps), (plain & ~ready, self.steps)):
+            own = np.flatnonzero(own)
+            for part in (own[at : at + 2000] for at in range(0, len(own), 2000)):  # each is one run, so the last pieces tell them apart
+                runs = names[part].tolist()
+                ids = np.concatenate(self._ids([" ".join(runs[at : at + 200]) for at in range(0, len(runs), 200)], steps))
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    rows[part] = self._learn(runs, ids, np.diff(ends, prepend=0))
+                else:
+                    others.append(part)
+        rest = np.concatenate(others)
+        if len(rest):
+            runs = names[rest].tolist()
+            ids = self._ids(runs, self.steps)
+            rows[rest] = self._learn(runs, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return rows
+
+    def _ids(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
+        """The tokenizer's ids of each text; ``steps``: what it does to a text before the merges."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        try:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32) and the number of ids of each text; a null text has none."""
@@ -129,15 +143,10 @@ class Encoder:
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         rows = self._words(coded.dictionary)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.frombuffer(self.starts, np.int64)[rows]
-        lengths = np.frombuffer(self.lengths, np.int64)[rows]
-        pool = np.array(self.pool, np.uint32)
-        n = lengths[codes]
-        ids = _cut(pool, starts[codes], n)
-        ends = np.concatenate(([0], np.cumsum(n)))
+        lists = self._lists().take(pa.array(rows)).take(coded.indices)
+        ends = lists.offsets.to_numpy()
         words_end = np.cumsum(per_text)
-        return ids, ends[words_end] - ends[words_end - per_text]
+        return lists.values.to_numpy(), ends[words_end] - ends[words_end - per_text]
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -63,6 +63,44 @@ def test_frequent_words_are_encoded_once_when_the_cache_is_full(monkeypatch):
     assert len(asked) > 2000 and all(asked.count(w) == 1 for w in frequent)
 
 
+def test_words_that_normalisation_leaves_alone_are_not_normalised():
+    from tokenizers import Tokenizer
+
+    words, whole, raw, steps = Encoder(vocabulary()), Tokenizer.from_file(vocabulary()), [], []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            tokenizer.normalizer, tokenizer.pre_tokenizer = self.normalizer, self.pre_tokenizer
+            steps.append(self.normalizer)
+            if self.normalizer is None:
+                raw.extend(w for t in texts for w in t.split(" "))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    tokenizer, words.tokenizer = words.tokenizer, Watched()
+    rng = random.Random(5)
+    name = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+    ready = [name("abcdefgxyzßàéñöøýÿ") for _ in range(3000)] + ["...", "?!", "#"]
+    others = [name("abÀÉÞ×÷İΣжЖ一e\u0301ﬁſKÅ'7-_") for _ in range(2000)] + ["it's", "'s", "don't", "ÿ\u0308"]
+    mixed = rng.sample(ready + others, len(ready) + len(others))
+    texts = [" ".join(mixed[at : at + 7]) for at in range(0, len(mixed), 7)] + mixed
+    ids, n = words.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(ready) <= set(raw) and any(s is not None for s in steps)
+    assert words.tokenizer.normalizer is not None
+
+
+def test_pairs_that_share_a_cell_are_told_apart():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 62, 40_000).astype(np.uint64)
+    pairs = np.unique(keys[:20_000])
+    asked = rng.permutation(np.concatenate((keys, pairs)))
+    assert len(np.unique(grammar._cells(pairs))) < len(pairs)
+    for some in (pairs, pairs[:1], pairs[:0]):
+        number = {p: k for k, p in enumerate(some.tolist())}
+        assert grammar._places(some, asked, grammar._cells(asked)).tolist() == [number.get(k, -1) for k in asked.tolist()]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 6, rng.integers(1, 400)) for _ in range(60)] + [np.array([7] * 5000), np.array([1])]
