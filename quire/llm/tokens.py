@@ -8,9 +8,7 @@ is full, the words that fewest batches had make room, so that frequent ones are
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,64 +53,52 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.ends, self.uses = array("I"), array("q", [0]), array("f")  # a word's ids lie from its row's end to the next
+        self.known = pa.array([], pa.large_string())
+        self.lists = pa.array([], pa.large_list(pa.uint32()))  # a word's ids
+        self.uses = np.zeros(0, np.float32)
 
     def _forget_rare(self) -> None:
         """Keep three quarters of the bound: the words that most batches had, older batches counting half with each call."""
-        uses = np.array(self.uses, np.float32)
-        kept = np.zeros(len(uses), bool)
-        kept[np.argsort(-uses, kind="stable")[: MAX_CACHED_WORDS * 3 // 4]] = True
-        words = list(compress(self.known, kept.tolist()))  # a word's row is its place in the dictionary
-        lists = self._lists().filter(pa.array(kept))
-        self._forget()
-        self._learn(words, lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
-        self.uses = array("f", (uses[kept] / 2).tobytes())
-
-    def _lists(self) -> pa.Array:
-        """The ids of all rows."""
-        return pa.LargeListArray.from_arrays(np.array(self.ends, np.int64), np.array(self.pool, np.uint32))
-
-    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Append the words, whose ids lie end to end with ``n`` of each, and tell their rows."""
-        rows = np.arange(len(self.known), len(self.known) + len(words))
-        self.known.update(zip(words, rows.tolist(), strict=True))
-        self.ends.frombytes((np.cumsum(n) + len(self.pool)).astype(np.int64).tobytes())
-        self.pool.frombytes(ids.astype(np.uint32).tobytes())
-        self.uses.frombytes(bytes(4 * len(words)))
-        return rows
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: MAX_CACHED_WORDS * 3 // 4])
+        self.known, self.lists, self.uses = self.known.take(pa.array(kept)), self.lists.take(pa.array(kept)), self.uses[kept] / 2
 
-    def _words(self, dictionary: pa.Array) -> np.ndarray:
+    def _words(self, words: pa.Array) -> np.ndarray:
+        """The words' rows in the cache."""
         if len(self.known) > MAX_CACHED_WORDS:
             self._forget_rare()
-        words = dictionary.to_numpy(zero_copy_only=False)
-        rows = np.fromiter(map(self.known.get, words.tolist(), repeat(-1)), np.int64, len(words))
+        rows = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            rows[missing] = self._encode_new(dictionary.take(pa.array(missing)), words[missing])
-        np.frombuffer(self.uses, np.float32)[rows] += 1
+            new = words.take(pa.array(missing))
+            order, lists = self._encode_new(new)
+            rows[missing[order]] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+            self.lists = pa.concat_arrays([self.lists, *lists])
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.float32)))
+        self.uses[rows] += 1
         return rows
 
-    def _encode_new(self, words: pa.Array, names: np.ndarray) -> np.ndarray:
-        rows = np.empty(len(words), np.int64)
+    def _encode_new(self, words: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """The words' places in the order of encoding, and their ids in this order."""
         plain, ready = (pc.match_substring_regex(words, x).to_numpy(zero_copy_only=False) for x in (self.PLAIN, self.READY))
-        others = [np.flatnonzero(~plain)]
+        order, lists, others = [], [], [np.flatnonzero(~plain)]
         for own, steps in ((ready, self.ready_steps), (plain & ~ready, self.steps)):
             own = np.flatnonzero(own)
             for part in (own[at : at + 2000] for at in range(0, len(own), 2000)):  # each is one run, so the last pieces tell them apart
-                runs = names[part].tolist()
-                ids = np.concatenate(self._ids([" ".join(runs[at : at + 200]) for at in range(0, len(runs), 200)], steps))
+                lines = pa.ListArray.from_arrays(np.append(np.arange(0, len(part), 200), len(part)).astype(np.int32), words.take(pa.array(part)))
+                ids = np.concatenate(self._ids(pc.binary_join(lines, pa.scalar(" ", pa.large_string())).to_pylist(), steps))
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(part) and ends[-1] == len(ids):
-                    rows[part] = self._learn(runs, ids, np.diff(ends, prepend=0))
+                    order.append(part)
+                    lists.append(pa.LargeListArray.from_arrays(np.append(0, ends), ids))
                 else:
                     others.append(part)
         rest = np.concatenate(others)
         if len(rest):
-            runs = names[rest].tolist()
-            ids = self._ids(runs, self.steps)
-            rows[rest] = self._learn(runs, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
-        return rows
+            ids = self._ids(words.take(pa.array(rest)).to_pylist(), self.steps)
+            order.append(rest)
+            lists.append(pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, ids)]), np.concatenate(ids)))
+        return np.concatenate(order), lists
 
     def _ids(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
         """The tokenizer's ids of each text; ``steps``: what it does to a text before the merges."""
@@ -126,14 +112,14 @@ class Encoder:
         """All ids in order (uint32) and the number of ids of each text; a null text has none."""
         texts = texts.fill_null("")
         whole = pc.match_substring(texts, self.SPECIAL)
-        if pc.any(whole).as_py():
-            parts = [self._plain_texts(texts.slice(i, 1)) if not w else self._whole_text(texts[i].as_py()) for i, w in enumerate(whole.to_pylist())]
-            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
-        return self._plain_texts(texts)
-
-    def _whole_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return ids, np.array([len(ids)])
+        if not pc.any(whole).as_py():
+            return self._plain_texts(texts)
+        ids, n = self._plain_texts(pc.if_else(whole, "", texts))
+        found = [self._ids([t], self.steps)[0] for t in texts.filter(whole).to_pylist()]
+        places, sizes = np.flatnonzero(whole.to_numpy(zero_copy_only=False)), np.fromiter(map(len, found), np.int64)
+        ids = np.insert(ids, np.repeat(np.cumsum(n)[places], sizes), np.concatenate(found))
+        n[places] = sizes
+        return ids, n
 
     def _plain_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         spaced = pc.replace_substring_regex(pc.ascii_lower(texts), self.CLOSING, r"\1 \2\3")
@@ -142,8 +128,8 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        rows = self._words(coded.dictionary)
-        lists = self._lists().take(pa.array(rows)).take(coded.indices)
+        rows = self._words(coded.dictionary.cast(pa.large_string()))
+        lists = self.lists.take(pa.array(rows)).take(coded.indices)
         ends = lists.offsets.to_numpy()
         words_end = np.cumsum(per_text)
         return lists.values.to_numpy(), ends[words_end] - ends[words_end - per_text]

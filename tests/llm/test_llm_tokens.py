@@ -63,6 +63,18 @@ def test_frequent_words_are_encoded_once_when_the_cache_is_full(monkeypatch):
     assert len(asked) > 2000 and all(asked.count(w) == 1 for w in frequent)
 
 
+def test_texts_with_special_tokens_take_their_places(words, monkeypatch):
+    asked, look = [], words._words
+    monkeypatch.setattr(words, "_words", lambda found: asked.append(len(found)) or look(found))
+    texts = ["<|endoftext|> a b", "<|x", "it is.", None, "", "<|startoftext|><|endoftext|>", "é is <|", "a b", "<|"] * 20
+    ids, n = words.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [plain(words, t, 0)[:-1] for t in texts]
+    assert len(asked) == 1  # words are looked up once a slice
+    ids, n = words.encode(pa.array(["<|", None]))
+    assert ids.tolist() == plain(words, "<|", 0)[:-1] and n.tolist() == [len(ids), 0]
+
+
 def test_words_that_normalisation_leaves_alone_are_not_normalised():
     from tokenizers import Tokenizer
 
